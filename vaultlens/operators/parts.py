@@ -1,0 +1,29 @@
+"""Bounded grouping of rows into documents.
+
+A report document holds all items of a group. A group may be far larger than
+one task should hold, so it is divided by the hash of its items into as many
+parts as its size needs. A group of normal size has exactly one part.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_PART_ROWS = 100_000
+
+
+def with_parts(
+    rows: DataFrame, group: list[str], item: list[str], part_rows: int = DEFAULT_PART_ROWS
+) -> DataFrame:
+    """Add ``part`` and ``parts`` so that a (group, part) has about ``part_rows`` rows.
+
+    The sizes come from a partial aggregate; joining them back is an inner
+    equi-join, which AQE broadcasts when small and splits when skewed.
+    """
+    sizes = rows.groupBy(*group).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).alias("parts")
+    )
+    return rows.join(sizes, group).withColumn(
+        "part", F.pmod(F.xxhash64(*item), F.col("parts"))
+    )
