@@ -27,6 +27,11 @@ def timestamp_text(ts: Column | str) -> Column:
     return F.concat(as_column(ts).cast("string"), F.lit("+00"))
 
 
+def decimal_text(value: Column, pattern: str) -> Column:
+    """Digits by pattern, rounded half to even on the exact value."""
+    return F.call_function("format_number", value, F.lit(pattern))
+
+
 def percent(numerator: Column | str, denominator: Column | str) -> Column:
     """Ratio times 100, and 0.0 when there is nothing to divide by."""
     num = as_column(numerator).cast("double")
@@ -35,8 +40,8 @@ def percent(numerator: Column | str, denominator: Column | str) -> Column:
 
 
 def percent_text(value: Column | str) -> Column:
-    """One decimal, rounded half to even on the exact value."""
-    return F.concat(F.format_number(as_column(value), "0.0"), F.lit("%"))
+    """One decimal and a percent sign."""
+    return F.concat(decimal_text(as_column(value), "0.0"), F.lit("%"))
 
 
 def bytes_text(value: Column | str) -> Column:
@@ -48,8 +53,8 @@ def bytes_text(value: Column | str) -> Column:
         scaled = amount.cast("double") / F.lit(float(divisor))
         whole = scaled == F.floor(scaled)
         label = F.concat(
-            F.when(whole, F.format_number(scaled, "0")).otherwise(
-                F.format_number(scaled, "0.00")
+            F.when(whole, decimal_text(scaled, "0")).otherwise(
+                decimal_text(scaled, "0.00")
             ),
             F.lit(f" {unit}"),
         )
