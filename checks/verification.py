@@ -62,6 +62,11 @@ def verification_report(view: View):
 
 @query("verification_stats", _oracle(_STATS))
 def verification_stats(view: View):
+    return verification.count(*_sides(view))
+
+
+@query("verification_compared_stats", _oracle(_STATS))
+def verification_compared_stats(view: View):
     return verification.stats(verification.compare(*_sides(view)))
 
 
@@ -82,7 +87,7 @@ def verification_repeats_report(view: View):
 
 @query("verification_repeats_stats", _oracle(_STATS, "_repeats"))
 def verification_repeats_stats(view: View):
-    return verification.stats(verification.compare(*_sides(view, "_repeats")))
+    return verification.count(*_sides(view, "_repeats"))
 
 
 @query("verification_onepass_repeats_stats", _oracle(_STATS, "_repeats"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.functions.text import join_locations, split_locations
@@ -100,28 +100,31 @@ def collection_delta(totals: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def _files(rows: DataFrame, *figures: Column) -> DataFrame:
+    """WARC rows grouped by file.
+
+    Always grouped before anything is matched by collection: a join by
+    collection first would leave a large collection whole in one task.
+    """
+    return rows.where(F.col("filetype") == WARC).groupBy(*FILE_KEY).agg(*figures)
+
+
 def new_files(rows: DataFrame, known: DataFrame, delta: DataFrame | None = None) -> DataFrame:
     """Rows of the catalogue to append: unknown (collection, filename) pairs.
 
     Of several rows for one file the first listed is kept. ``delta`` leaves out
     the collections it marks as skipped.
     """
-    candidates = _in_scope(rows, delta)
     columns = [name for name in rows.columns if name not in ("position", *FILE_KEY)]
-    return (
-        candidates.groupBy(*FILE_KEY)
-        .agg(F.min_by(F.struct(*columns), "position").alias("first"))
+    fresh = (
+        _files(rows, F.min_by(F.struct(*columns), "position").alias("first"))
         .join(known.select(*FILE_KEY), FILE_KEY, "left_anti")
         .select(*FILE_KEY, "first.*")
     )
-
-
-def _in_scope(rows: DataFrame, delta: DataFrame | None) -> DataFrame:
-    scope = rows.where(F.col("filetype") == WARC)
-    if delta is not None:
-        wanted = delta.where(~F.col("skip")).select("collection_id")
-        scope = scope.join(wanted, "collection_id", "left_semi")
-    return scope
+    if delta is None:
+        return fresh
+    wanted = delta.where(~F.col("skip")).select("collection_id")
+    return fresh.join(wanted, "collection_id", "left_semi")
 
 
 def run_stats(rows: DataFrame, known: DataFrame, delta: DataFrame) -> DataFrame:
@@ -130,31 +133,31 @@ def run_stats(rows: DataFrame, known: DataFrame, delta: DataFrame) -> DataFrame:
     A file counts as added once; all other rows of processed collections and
     all files of skipped collections count as known.
     """
-    files = (
-        _in_scope(rows, delta)
-        .groupBy(*FILE_KEY)
-        .agg(F.count(F.lit(1)).alias("listed"))
-        .join(
-            known.select(*FILE_KEY).distinct().withColumn("recorded", F.lit(True)),
-            FILE_KEY,
-            "left",
-        )
+    recorded = known.select(*FILE_KEY).distinct().withColumn("recorded", F.lit(True))
+    per_collection = (
+        _files(rows, F.count(F.lit(1)).alias("listed"))
+        .join(recorded, FILE_KEY, "left")
+        .groupBy("collection_id")
         .agg(
             F.count_if(F.col("recorded").isNull()).alias("new_files"),
-            F.coalesce(F.sum("listed"), F.lit(0)).alias("listed"),
+            F.sum("listed").alias("listed"),
         )
     )
-    collections = delta.agg(
-        F.count_if(~F.col("skip")).alias("collections_processed"),
-        F.count_if(F.col("skip")).alias("collections_skipped"),
-        F.coalesce(F.sum(F.when(F.col("skip"), F.col("known"))), F.lit(0)).alias("skipped_hits"),
+    processed = ~F.col("skip")
+    hits = F.when(F.col("skip"), F.col("known_files")).otherwise(
+        F.coalesce(F.col("listed") - F.col("new_files"), F.lit(0))
     )
-    new, listed = files.select("new_files").scalar(), files.select("listed").scalar()
-    return collections.select(
-        "collections_processed",
-        "collections_skipped",
-        new.alias("new_files"),
-        (F.col("skipped_hits") + listed - new).alias("cache_hits"),
+    return (
+        delta.select("collection_id", "skip", F.col("known").alias("known_files"))
+        .join(per_collection, "collection_id", "left")
+        .agg(
+            F.count_if(processed).alias("collections_processed"),
+            F.count_if(F.col("skip")).alias("collections_skipped"),
+            F.coalesce(F.sum(F.when(processed, F.col("new_files"))), F.lit(0)).alias(
+                "new_files"
+            ),
+            F.coalesce(F.sum(hits), F.lit(0)).alias("cache_hits"),
+        )
     )
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vaultlens.functions.names import first_path_segment, is_folder_marker
 from vaultlens.functions.text import size_or_zero, timestamp_text
-from vaultlens.operators.parts import DEFAULT_PART_ROWS
+from vaultlens.operators.parts import DEFAULT_PART_ROWS, with_parts
 
 STATE_COLUMNS = [
     "bucket",
@@ -88,12 +88,7 @@ def stats_documents(prefixes: DataFrame, part_rows: int = DEFAULT_PART_ROWS) ->
     A bucket with more than ``part_rows`` prefixes has several parts; the
     totals of each are those of the whole bucket.
     """
-    totals = bucket_totals(prefixes).select(
-        "bucket",
-        "total_files",
-        "total_size",
-        F.ceil(F.col("prefix_count") / F.lit(part_rows)).alias("parts"),
-    )
+    totals = bucket_totals(prefixes).drop("prefix_count")
     entries = prefixes.select(
         "bucket",
         F.struct(
@@ -101,12 +96,14 @@ def stats_documents(prefixes: DataFrame, part_rows: int = DEFAULT_PART_ROWS) ->
             F.struct("total_files", "total_size").alias("value"),
         ).alias("entry"),
     )
-    return (
-        entries.join(totals, "bucket")
-        .withColumn("part", F.pmod(F.xxhash64("entry.key"), F.col("parts")))
-        .groupBy("bucket", "part", "parts", "total_files", "total_size")
+    maps = (
+        with_parts(entries, ["bucket"], ["entry.key"], part_rows)
+        .groupBy("bucket", "part", "parts")
         .agg(F.map_from_entries(F.sort_array(F.collect_list("entry"))).alias("by_prefix"))
     )
+    return maps.join(totals, "bucket").select(
+        "bucket", "part", "parts", "total_files", "total_size", "by_prefix"
+    )
 
 
 def distinct_states(snapshots: DataFrame) -> DataFrame:

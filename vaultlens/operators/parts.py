@@ -19,11 +19,12 @@ def with_parts(
     """Add ``part`` and ``parts`` so that a (group, part) has about ``part_rows`` rows.
 
     The sizes come from a partial aggregate; joining them back is an inner
-    equi-join, which AQE broadcasts when small and splits when skewed.
+    equi-join, which AQE broadcasts when small and splits when skewed. The rows
+    are then spread by group and part: without that, a grouping by part could
+    keep the partitioning of the join, with all parts of a group in one task.
     """
     sizes = rows.groupBy(*group).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).alias("parts")
     )
-    return rows.join(sizes, group).withColumn(
-        "part", F.pmod(F.xxhash64(*item), F.col("parts"))
-    )
+    part = F.pmod(F.xxhash64(*item), F.col("parts"))
+    return rows.join(sizes, group).withColumn("part", part).repartition(*group, "part")

@@ -38,20 +38,26 @@ REPORT_COLUMNS = [
     "checksum_replication",
 ]
 
-_MESSAGE = "checksum_base64 STRING, checksumAlgorithm STRING, malformed STRING"
-_FACTS = ["bucket", "key", "version_id", "task_status", "checksum", "checksum_algorithm"]
-
+COUNTS = [
+    "matches",
+    "mismatches",
+    "missing_replica",
+    "missing_source",
+    "failed_source",
+    "failed_replication",
+]
 
-def _message(column: str = "result_message") -> Column:
-    return F.from_json(column, _MESSAGE, {"columnNameOfCorruptRecord": "malformed"})
+_MESSAGE = "checksum_base64 STRING, checksumAlgorithm STRING"
+_FACTS = ["bucket", "key", "version_id", "task_status", "checksum", "checksum_algorithm"]
 
 
 def with_checksums(results: DataFrame) -> DataFrame:
     """Job results with the checksum taken out of the JSON message.
 
-    The message is parsed once and dropped here, before any shuffle.
+    The message is parsed once and dropped here, before any shuffle. One that
+    is not valid JSON counts as having no checksum, see :func:`bad_messages`.
     """
-    return results.withColumn("message", _message()).select(
+    return results.withColumn("message", F.from_json("result_message", _MESSAGE)).select(
         "bucket",
         "key",
         "version_id",
@@ -63,7 +69,11 @@ def with_checksums(results: DataFrame) -> DataFrame:
 
 def bad_messages(results: DataFrame) -> DataFrame:
     """Count of messages that are present but are not valid JSON."""
-    message = _message()
+    message = F.from_json(
+        "result_message",
+        f"{_MESSAGE}, malformed STRING",
+        {"columnNameOfCorruptRecord": "malformed"},
+    )
     return results.agg(
         F.count_if(
             F.col("result_message").isNotNull()
@@ -72,8 +82,8 @@ def bad_messages(results: DataFrame) -> DataFrame:
     )
 
 
-def _folded(side: DataFrame) -> DataFrame:
-    return side.groupBy(*_FACTS).agg(F.count(F.lit(1)).alias("copies"))
+def _folded(side: DataFrame, facts: list[str] = _FACTS) -> DataFrame:
+    return side.groupBy(*facts).agg(F.count(F.lit(1)).alias("copies"))
 
 
 def _failed(side: DataFrame, status: str) -> DataFrame:
@@ -159,13 +169,16 @@ def compare(source: DataFrame, replication: DataFrame) -> DataFrame:
     AQE can split a skewed left side of either; the right side of the
     anti-join is reduced to distinct keys by the shuffle that the join needs.
     """
-    left, right = _folded(source), _folded(replication)
-    source_side = left.where(F.col("task_status") == SUCCEEDED).join(
-        _as_partner(right), _same_object(), "left"
+    source_side = (
+        _folded(source.where(F.col("task_status") == SUCCEEDED))
+        .join(_as_partner(_folded(replication)), _same_object(), "left")
     )
     keys = source.select("key", "version_id").distinct()
+    # No checksum is needed here, so the messages are not parsed for it.
     missing_source = (
-        right.where(F.col("task_status") == SUCCEEDED)
+        _folded(
+            replication.where(F.col("task_status") == SUCCEEDED), ["bucket", "key", "version_id"]
+        )
         .join(keys, ["key", "version_id"], "left_anti")
         .select(*_listed(F.lit("missing_source")), "copies")
     )
@@ -238,31 +251,76 @@ def report(compared: DataFrame) -> DataFrame:
 
 
 def stats(compared: DataFrame) -> DataFrame:
-    """One row of six counts, their total and the verdict.
-
-    A missing replica alone is no error: replication lags.
-    """
+    """Stats of a finished comparison, see :func:`with_verdict`."""
     counts = compared.agg(
         *[
             F.coalesce(
                 F.sum(F.when(F.col("status") == status, F.col("copies"))), F.lit(0)
             ).alias(name)
-            for status, name in zip(
-                STATUSES,
-                [
-                    "matches",
-                    "mismatches",
-                    "missing_replica",
-                    "missing_source",
-                    "failed_source",
-                    "failed_replication",
-                ],
-            )
+            for status, name in zip(STATUSES, COUNTS)
         ]
     )
     return with_verdict(counts)
 
 
+def _tally(side: DataFrame, own: str, other: str) -> DataFrame:
+    done = (F.col("task_status") == SUCCEEDED).cast("bigint")
+    failed = (F.col("task_status") == FAILED).cast("bigint")
+    none = F.lit(0).cast("bigint")
+    return side.select(
+        "key",
+        "version_id",
+        "checksum",
+        F.lit(1).cast("bigint").alias(f"{own}_rows"),
+        F.coalesce(done, F.lit(0)).alias(f"{own}_done"),
+        F.coalesce(failed, F.lit(0)).alias(f"{own}_failed"),
+        *[none.alias(f"{other}_{name}") for name in ("rows", "done", "failed")],
+    )
+
+
+def count(source: DataFrame, replication: DataFrame) -> DataFrame:
+    """Stats without the report, by counting instead of joining.
+
+    The rows of a key that agree are the product of the counts of each
+    checksum, those that differ are the rest of the product of both totals.
+    Both aggregates combine before they shuffle, so neither a key that fills
+    the table nor one with many checksums makes a large task, and no pair of
+    rows is ever formed.
+    """
+    names = [f"{side}_{name}" for side in ("s", "r") for name in ("rows", "done", "failed")]
+    per_checksum = (
+        _tally(source, "s", "r")
+        .unionByName(_tally(replication, "r", "s"))
+        .groupBy("key", "version_id", "checksum")
+        .agg(*[F.sum(name).alias(name) for name in names])
+    )
+    known = F.col("checksum").isNotNull()
+    per_object = per_checksum.groupBy("key", "version_id").agg(
+        *[F.sum(name).alias(name) for name in names],
+        F.sum(F.when(known, F.col("s_done"))).alias("s_known"),
+        F.sum(F.when(known, F.col("r_done"))).alias("r_known"),
+        F.sum(F.when(known, F.col("s_done") * F.col("r_done"))).alias("equal_pairs"),
+    )
+    # A key or version that is NULL has no partner.
+    paired = F.col("key").isNotNull() & F.col("version_id").isNotNull()
+    figures = [
+        F.when(paired, F.col("equal_pairs")),
+        F.when(paired, F.col("s_known") * F.col("r_known") - F.col("equal_pairs")),
+        F.when(~paired | (F.col("r_rows") == 0), F.col("s_done")),
+        F.when(~paired | (F.col("s_rows") == 0), F.col("r_done")),
+        F.col("s_failed"),
+        F.col("r_failed"),
+    ]
+    return with_verdict(
+        per_object.agg(
+            *[
+                F.coalesce(F.sum(figure), F.lit(0)).alias(name)
+                for figure, name in zip(figures, COUNTS)
+            ]
+        )
+    )
+
+
 def with_verdict(counts: DataFrame) -> DataFrame:
     """Add ``total_objects`` (counted report rows) and ``is_ok``."""
     total = (
