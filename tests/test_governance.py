@@ -1,0 +1,441 @@
+"""Buckets, names, jobs, users and drift."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from vaultlens import schemas
+from vaultlens.functions import names
+from vaultlens.operators import buckets, drift, jobs, users
+
+# Stack names of identifiers, valid and not.
+STACKS = {
+    "acme-main-data": "acme-main",
+    "acme-main-data-public-repl": "acme-main",
+    "ab-cd-": "ab-cd",
+    "Acme-Main-x": "acme-main",
+    "acme2-main3-x": "acme2-main3",
+    "acme-main": None,
+    "a-main-x": None,
+    "1acme-main-x": None,
+    "ac_me-main-x": None,
+    "": None,
+}
+
+# Requested names and why they are refused.
+PROBLEMS = {
+    "books": None,
+    "Books-2": None,
+    "livres-été": None,
+    "": "empty",
+    "-books": "affix",
+    "books.": "affix",
+    ".": "affix",
+    "rare_books": "invalid_character",
+    "rare books": "invalid_character",
+    "books\n": "invalid_character",
+    "a" * 64: "too_long",
+    "é" * 32: "too_long",
+    "a" * 48: None,
+    "a" * 49: "too_long",
+    "acme-main-x": "reserved",
+    "x-managed": "reserved",
+    "x-repl": "reserved",
+    "x-request": "reserved",
+}
+
+
+@pytest.fixture(scope="module")
+def one(spark):
+    def evaluate(column):
+        return spark.range(1).select(column).first()[0]
+
+    return evaluate
+
+
+@pytest.mark.parametrize("name", list(STACKS))
+def test_stack_of_a_name(one, name):
+    assert one(names.stack_of(F.lit(name))) == STACKS[name]
+
+
+@pytest.mark.parametrize("name", list(PROBLEMS))
+def test_requested_names(one, name):
+    assert one(names.request_problem(F.lit("acme-main"), F.lit(name))) == PROBLEMS[name]
+
+
+@pytest.mark.parametrize(
+    ("key", "stem"),
+    [("a/b.csv", "b"), ("a/b.tar.gz", "b.tar"), ("b.csv", "b"), ("a.b/c", None), ("x", None), ("a/.x", "")],
+)
+def test_file_stem(one, key, stem):
+    assert one(names.file_stem(F.lit(key))) == stem
+
+
+def test_classes_and_rights(one):
+    assert one(names.transition_class(F.lit("GLACIER_IR"))) == "GLACIER_IR"
+    assert one(names.transition_class(F.lit("STANDARD"))) is None
+    assert one(names.default_transition_class(F.lit("replication"))) == "DEEP_ARCHIVE"
+    assert one(names.default_transition_class(F.lit("public"))) == "INTELLIGENT_TIERING"
+    assert one(names.bucket_rights(F.lit("acme-managed"))) == ["list", "download"]
+    assert one(names.bucket_rights(F.lit("acme-private"))) == ["*"]
+
+
+def tagged(spark, *entries):
+    return spark.createDataFrame(
+        [
+            (name, {"Stack": stack, "BucketType": kind, "BucketOrigin": origin})
+            for name, stack, kind, origin in entries
+        ],
+        schemas.BUCKET_TAGS,
+    )
+
+
+def test_stack_buckets(spark, rows):
+    frame = tagged(
+        spark,
+        ("acme-main-a", "acme-main", "standard", "bucket-request"),
+        ("acme-main-b", "acme-main", "public", "terraform"),
+        ("acme-main-c", "acme-other", "standard", "bucket-request"),
+        ("acme-mainly-d", "acme-main", "standard", "bucket-request"),
+        ("acme-main-e", "acme-main", "strange", "bucket-request"),
+    )
+    found = buckets.of_stack(frame, "acme-main")
+    assert [r[0] for r in rows(found.select("name"))] == ["acme-main-a", "acme-main-b"]
+    assert [r.name for r in buckets.requested(found).collect()] == ["acme-main-a"]
+    assert [r.name for r in buckets.of_types(found, ["public"]).collect()] == ["acme-main-b"]
+    assert buckets.of_types(found, []).count() == 0
+
+
+def typed(spark, *entries):
+    return spark.createDataFrame(list(entries), "name string, bucket_type string")
+
+
+def test_pairs(spark, rows):
+    frame = typed(
+        spark,
+        ("s-a", "standard"),
+        ("s-a-repl", "replication"),
+        ("s-b-public", "public"),
+        ("s-c", "internal"),
+        ("s-x-repl", "replication"),
+        ("s-odd", "replication"),
+    )
+    assert rows(buckets.pairs(frame)) == [("s-a", "s-a-repl"), ("s-b-public", None)]
+    assert rows(buckets.unpaired(frame)) == [("s-b-public",)]
+    with pytest.raises(Exception, match="no replication bucket found for 's-b-public'"):
+        buckets.strict_pairs(frame).collect()
+    assert rows(buckets.strict_pairs(frame.where("name <> 's-b-public'"))) == [("s-a", "s-a-repl")]
+    assert rows(buckets.pair_by_name(frame, "s-b-public")) == [("s-b-public", "s-b-public-repl")]
+    assert buckets.pair_by_name(frame, "s-c").count() == 0
+
+
+def lines(spark, **requests):
+    return spark.createDataFrame(
+        [(r, n, name) for r, listed in requests.items() for n, name in enumerate(listed)],
+        "request string, line_no int, name string",
+    )
+
+
+def test_first_five(spark):
+    frame = lines(spark, a=[f"n{n}" for n in range(9)], b=["x"])
+    found = buckets.first_names(frame).collect()
+    assert sorted(r.name for r in found) == ["n0", "n1", "n2", "n3", "n4", "x"]
+    plan = buckets.first_names(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_one_bad_name_refuses_the_request(spark, rows):
+    frame = lines(
+        spark,
+        good=["Maps", "site-Public"],
+        bad=["fine", "not_fine"],
+        late=["a", "b", "c", "d", "e", "not_fine"],
+    )
+    found = rows(buckets.expand_requests(frame, "acme-main").where("request <> 'late'"))
+    assert found == [
+        ("good", 0, "acme-main-maps", "standard", "acme-main-maps-repl"),
+        ("good", 1, "acme-main-site-public", "public", "acme-main-site-public-repl"),
+    ]
+    assert buckets.expand_requests(frame, "acme-main").where("request = 'late'").count() == 5
+
+
+def status(spark, **jobs_):
+    return spark.createDataFrame(
+        [(job, *entry) for job, entry in jobs_.items()], schemas.JOB_STATUS
+    )
+
+
+READY = ("Complete", [])
+EMPTY = ("Failed", ["InvalidManifestContent"])
+BROKEN = ("Failed", ["InternalError"])
+RUNNING = ("Active", [])
+
+
+@pytest.mark.parametrize(
+    ("source", "repl", "state"),
+    [
+        (READY, READY, "ready"),
+        (EMPTY, READY, "empty_source"),
+        (EMPTY, BROKEN, "empty_source"),
+        (BROKEN, READY, "source_failed"),
+        (RUNNING, EMPTY, "source_not_ready"),
+        (READY, EMPTY, "empty_replica"),
+        (READY, BROKEN, "repl_failed"),
+        (READY, RUNNING, "repl_not_ready"),
+        (None, READY, "source_unknown"),
+        (READY, None, "repl_unknown"),
+    ],
+)
+def test_readiness(spark, source, repl, state):
+    receipts = spark.createDataFrame([("s", "r")], "source_job_id string, repl_job_id string")
+    known = {k: v for k, v in (("s", source), ("r", repl)) if v}
+    assert jobs.readiness(receipts, status(spark, **known)).first().state == state
+
+
+def test_readiness_needs_manifests(spark):
+    receipts = spark.createDataFrame([("s", "r")], "source_job_id string, repl_job_id string")
+    both = status(spark, s=READY, r=READY)
+
+    def state(*found):
+        manifests = spark.createDataFrame([(j,) for j in found], "job_id string")
+        return jobs.readiness(receipts, both, manifests).first().state
+
+    assert state("s", "r") == "ready"
+    assert state("s") == "repl_manifest_not_found"
+    assert state("r") == "source_manifest_not_found"
+
+
+def test_receipt_keys(spark, rows):
+    receipts = spark.createDataFrame([("sb", "sj", "rb", "rj", "now")], schemas.JOB_RECEIPT)
+    found = jobs.receipt_keys(receipts, "2024-01-31").select("identifier", "report_date")
+    assert rows(found) == [
+        ("rj", jobs.LATEST),
+        ("sb", jobs.LATEST),
+        ("sb", "2024-01-31"),
+        ("sj", jobs.LATEST),
+    ]
+
+
+def test_latest_status(spark):
+    frame = spark.createDataFrame(
+        [
+            ("j", "Complete", [], dt.datetime(2024, 1, 2)),
+            ("j", "Active", [], dt.datetime(2024, 1, 1)),
+        ],
+        "job_id string, status string, failure_codes array<string>, time timestamp",
+    )
+    assert [tuple(r) for r in jobs.latest_status(frame).collect()] == [("j", "Complete", [])]
+
+
+def test_result_files(spark):
+    entries = [("succeeded", "b", "m", "1"), ("SUCCEEDED", "b", "m", "2"), ("failed", "b", "m", "3")]
+    manifests = spark.createDataFrame([("f", "d", [*entries, (None, "b", "m", "4")], "s")], schemas.BATCH_MANIFEST)
+    assert [r.key for r in jobs.succeeded_results(manifests).collect()] == ["1", "2"]
+    assert [r.key for r in jobs.rejected_results(manifests).collect()] == ["3", "4"]
+
+
+def test_dispatch(spark, rows):
+    frame = spark.createDataFrame([("a", None), ("b", "denied")], "name string, error string")
+    assert rows(jobs.issues(frame)) == [("b", "b: denied")]
+    assert tuple(jobs.dispatch_summary(frame).first()) == (1, 1, False)
+
+
+def test_entitlements(spark, rows):
+    people = spark.createDataFrame(
+        [
+            ("jo", "jo@x", ["acme-main-users", "admins"]),
+            ("al", None, ["acme-main-users"]),
+            ("bo", "bo@x", []),
+        ],
+        schemas.USERS,
+    )
+    frame = tagged(
+        spark,
+        ("acme-main-a", "acme-main", "standard", ""),
+        ("acme-main-managed", "acme-main", "internal", ""),
+        ("acme-main-a-repl", "acme-main", "replication", ""),
+        ("acme-two-a", "acme-two", "standard", ""),
+    ).withColumn("bucket_type", F.element_at("tags", "BucketType"))
+    found = users.entitlements(people, frame)
+    assert rows(found.select("user_name", "bucket")) == [
+        ("jo", "acme-main-a"),
+        ("jo", "acme-main-managed"),
+    ]
+    assert rows(users.access_rights(found)) == [
+        ("jo", "/", ["list"]),
+        ("jo", "/acme-main-a", ["*"]),
+        ("jo", "/acme-main-managed", ["list", "download"]),
+    ]
+
+
+CLASS = "INTELLIGENT_TIERING"
+
+
+def expire(**changes):
+    rule = ["ExpireOldVersions", "Enabled", 3, 14, True, []]
+    return tuple(changes.get(str(n), value) for n, value in enumerate(rule))
+
+
+def moving(name=CLASS, days=3, count=1, status="Enabled"):
+    return (name, status, None, None, None, [(days, name)] * count)
+
+
+def replication(name, role="role", minutes=15, **changes):
+    fields = ["ReplicateAll", "Enabled", 1, "", f"arn:aws:s3:::{name}-repl", "Enabled", minutes]
+    fields += ["Enabled", 15, "Enabled"]
+    return (role, [tuple(changes.get(str(n), value) for n, value in enumerate(fields))])
+
+
+def policy(name, principal='"*"'):
+    return (
+        '{"Statement":[{"Sid":"AllowPublicRead","Effect":"Allow","Principal":'
+        f'{principal},"Action":"s3:GetObject","Resource":"arn:aws:s3:::{name}/*"}}]}}'
+    )
+
+
+def config(name="acme-main-a", kind="public", **changes):
+    """A bucket that is as it should be, apart from the changes."""
+    row = {
+        "name": name,
+        "bucket_type": kind,
+        "stack": "acme-main",
+        "account_id": "1",
+        "replication_role": "role",
+        "tags": {"TransitionStorageClass": CLASS},
+        "versioning": "Enabled",
+        "lifecycle": [expire(), moving()],
+        "replication": replication(name),
+        "event_bridge": True,
+        "logging": ("acme-main-managed", f"audit/{name}/"),
+        "inventory": (
+            "inventory",
+            True,
+            "Current",
+            "Daily",
+            "arn:aws:s3:::acme-main-managed",
+            "Parquet",
+            "manifests",
+            "1",
+            ["Size", "LastModifiedDate", "StorageClass", "ReplicationStatus", "ETag"],
+        ),
+        "public_access": (False, False, False, False),
+        "policy": policy(name),
+    }
+    row.update(changes)
+    return tuple(row.get(field) for field in schemas.BUCKET_CONFIG.fieldNames())
+
+
+REPLICA = config(
+    "acme-main-a-repl",
+    "replication",
+    tags={"TransitionStorageClass": "DEEP_ARCHIVE"},
+    lifecycle=[expire(), moving("DEEP_ARCHIVE")],
+)
+
+
+def found_steps(spark, *configs):
+    frame = spark.createDataFrame([*configs], schemas.BUCKET_CONFIG)
+    return {
+        r.step: r.status
+        for r in drift.steps(frame).where("name = 'acme-main-a'").collect()
+    }
+
+
+def test_clean_buckets(spark, rows):
+    frame = spark.createDataFrame([config(), REPLICA], schemas.BUCKET_CONFIG)
+    steps = drift.steps(frame)
+    assert steps.count() == 9 + 3
+    assert {r.status for r in steps.collect()} == {"ok"}
+    assert tuple(drift.summary(drift.bucket_status(steps)).first()) == (2, 2, 0, 0, True)
+
+
+@pytest.mark.parametrize(
+    ("changes", "step", "status"),
+    [
+        ({"tags": {}}, "transition-tag", "drift"),
+        ({"tags": None, "tags_error": "NoSuchTagSet"}, "transition-tag", "drift"),
+        ({"tags": None, "tags_error": "AccessDenied"}, "transition-tag", "error"),
+        ({"tags": {}, "lifecycle": None, "lifecycle_error": "AccessDenied"}, "transition-tag", "error"),
+        ({"versioning": "Suspended"}, "versioning", "drift"),
+        ({"versioning": None}, "versioning", "drift"),
+        ({"versioning": None, "versioning_error": "x"}, "versioning", "error"),
+        ({"lifecycle": [moving()]}, "lifecycle", "drift"),
+        ({"lifecycle": [expire()]}, "lifecycle", "drift"),
+        ({"lifecycle": [expire(**{"3": 15}), moving()]}, "lifecycle", "drift"),
+        ({"lifecycle": [expire(**{"4": None}), moving()]}, "lifecycle", "drift"),
+        ({"lifecycle": [expire(), moving(days=4)]}, "lifecycle", "drift"),
+        ({"lifecycle": [expire(), moving(count=2)]}, "lifecycle", "drift"),
+        ({"lifecycle": [expire(), moving("GLACIER")]}, "lifecycle", "drift"),
+        ({"lifecycle": None, "lifecycle_error": "NoSuchLifecycleConfiguration"}, "lifecycle", "drift"),
+        ({"lifecycle": None, "lifecycle_error": "AccessDenied"}, "lifecycle", "error"),
+        ({"replication": replication("acme-main-a", role="other")}, "replication", "drift"),
+        ({"replication": replication("acme-main-a", minutes=30)}, "replication", "drift"),
+        ({"replication": replication("acme-main-b")}, "replication", "drift"),
+        ({"replication": replication("acme-main-a", **{"3": None})}, "replication", "drift"),
+        ({"replication": ("role", replication("acme-main-a")[1] * 2)}, "replication", "drift"),
+        ({"replication": None}, "replication", "drift"),
+        ({"replication": None, "replication_error": "ReplicationConfigurationNotFound"}, "replication", "drift"),
+        ({"replication": None, "replication_error": "AccessDenied"}, "replication", "error"),
+        ({"event_bridge": None}, "notifications", "drift"),
+        ({"notifications_error": "x"}, "notifications", "error"),
+        ({"logging": None}, "logging", "drift"),
+        ({"logging": ("acme-main-managed", "audit/")}, "logging", "drift"),
+        ({"logging_error": "x"}, "logging", "error"),
+        ({"inventory": None}, "inventory", "drift"),
+        ({"inventory": None, "inventory_error": "NoSuchConfiguration"}, "inventory", "drift"),
+        ({"inventory_error": "AccessDenied"}, "inventory", "error"),
+        ({"public_access": (False, False, True, False)}, "public-access", "drift"),
+        ({"public_access": (False, False, None, False)}, "public-access", "drift"),
+        ({"public_access": None, "public_access_error": "NoSuchPublicAccessBlockConfiguration"}, "public-access", "drift"),
+        ({"public_access_error": "AccessDenied"}, "public-access", "error"),
+        ({"policy": None}, "bucket-policy", "drift"),
+        ({"policy": None, "policy_error": "NoSuchBucketPolicy"}, "bucket-policy", "drift"),
+        ({"policy_error": "AccessDenied"}, "bucket-policy", "error"),
+        ({"policy": "{broken"}, "bucket-policy", "error"),
+        ({"policy": ""}, "bucket-policy", "error"),
+        ({"policy": "{}"}, "bucket-policy", "drift"),
+        ({"policy": policy("other")}, "bucket-policy", "drift"),
+        ({"policy": policy("acme-main-a", '{"AWS":"*"}')}, "bucket-policy", "drift"),
+        ({"policy": '{"Statement":{"Sid":"AllowPublicRead"}}'}, "bucket-policy", "drift"),
+    ],
+)
+def test_one_change(spark, changes, step, status):
+    found = found_steps(spark, config(**changes), REPLICA)
+    assert found[step] == status
+
+
+def test_no_replica_is_an_error(spark):
+    assert found_steps(spark, config())["replication"] == "error"
+
+
+def test_class_comes_from_the_rules_without_a_tag(spark):
+    found = found_steps(
+        spark, config(tags={}, lifecycle=[expire(), moving("GLACIER")]), REPLICA
+    )
+    assert found["transition-tag"] == "drift" and found["lifecycle"] == "ok"
+
+
+def test_unsupported_type(spark):
+    assert found_steps(spark, config(kind="internal")) == {"setup": "error"}
+
+
+def test_summary_precedence(spark):
+    frame = spark.createDataFrame(
+        [
+            config("acme-main-a", "standard", versioning="Suspended"),
+            REPLICA,
+            config("acme-main-b", "standard", versioning="Suspended"),
+        ],
+        schemas.BUCKET_CONFIG,
+    )
+    found = drift.bucket_status(drift.steps(frame))
+    assert {r.name: r.status for r in found.collect()} == {
+        "acme-main-a": "drift",
+        "acme-main-a-repl": "ok",
+        "acme-main-b": "error",
+    }
+    assert tuple(drift.summary(found).first()) == (3, 1, 1, 1, True)
+    assert not drift.summary(found, fail_on_drift=True).first().is_ok
