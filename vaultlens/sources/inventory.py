@@ -27,10 +27,11 @@ def require_parquet(manifests: DataFrame) -> DataFrame:
             F.lit(f"expected inventory format {SUPPORTED_FORMAT}, got "),
             F.coalesce("fileFormat", F.lit("none")),
         )
-    ).cast("string")
-    return manifests.withColumn(
-        "fileFormat",
-        F.when(F.col("fileFormat") == SUPPORTED_FORMAT, F.col("fileFormat")).otherwise(wrong),
+    )
+    return manifests.where(
+        F.when(F.col("fileFormat") == SUPPORTED_FORMAT, F.lit(True)).otherwise(
+            wrong.cast("boolean")
+        )
     )
 
 

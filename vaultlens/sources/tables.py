@@ -68,8 +68,7 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .where(F.col("value") != "")
         .select(
             F.col("_metadata.file_path").alias("request"),
