@@ -196,6 +196,7 @@ def test_verification_run(spark, tmp_path):
     out = str(tmp_path / "out")
     found = plans.verification_report(
         spark,
+        "s",
         str(tmp_path / "s-manifest.json"),
         str(tmp_path / "r-manifest.json"),
         str(tmp_path),
@@ -204,7 +205,7 @@ def test_verification_run(spark, tmp_path):
     ).first()
     assert (found.matches, found.mismatches, found.missing_replica, found.missing_source) == (1, 1, 1, 1)
     assert found.total_objects == 4 and not found.is_ok
-    for path in (reports.dated_path(f"{out}/reports/checksums", DAY), reports.latest_path(f"{out}/reports/checksums")):
+    for path in (reports.dated_path(f"{out}/reports/checksums/s", DAY), reports.latest_path(f"{out}/reports/checksums/s")):
         lines = [line for part in header_lines(path) for line in part if not line.startswith("bucket,")]
         assert lines == [
             "s,a,v,ok,SHA256,AA,AA",
@@ -212,23 +213,23 @@ def test_verification_run(spark, tmp_path):
             "s,c,v,missing_replica,,,",
             "r,d,v,missing_source,,,",
         ]
-    text = "".join(p.read_text() for p in Path(reports.latest_path(f"{out}/metadata/checksums/stats")).glob("part-*"))
+    text = "".join(p.read_text() for p in Path(reports.latest_path(f"{out}/metadata/checksums/stats/s")).glob("part-*"))
     assert json.loads(text)["total_objects"] == 4
 
 
 def test_inventory_and_storage_run(spark, tmp_path):
     manifest = inventory_files(spark, tmp_path / "in", OBJECTS)
     out = str(tmp_path / "out")
-    prefixes = plans.inventory_report(spark, manifest, str(tmp_path / "in"), out, DAY)
+    prefixes = plans.inventory_report(spark, "acme-main-a", manifest, str(tmp_path / "in"), out, DAY)
     assert sorted(tuple(r) for r in prefixes.collect()) == [
         ("acme-main-a", "", 1, 50),
         ("acme-main-a", "images", 2, 100),
     ]
     report = reports.read_csv(
-        spark, reports.latest_path(f"{out}/reports/manifests"), schemas.INVENTORY_REPORT
+        spark, reports.latest_path(f"{out}/reports/manifests/acme-main-a"), schemas.INVENTORY_REPORT
     )
     assert sorted(r.key for r in report.collect()) == ["images/a", "images/b", 'ro"ot, x']
-    assert inventory_source.read_report(spark, reports.latest_path(f"{out}/reports/manifests")).count() == 3
+    assert inventory_source.read_report(spark, reports.latest_path(f"{out}/reports/manifests/acme-main-a")).count() == 3
 
     wanted = spark.createDataFrame([("acme-main-a",), ("acme-main-z",)], "bucket string")
     summary = plans.storage_report(
@@ -244,7 +245,12 @@ def test_inventory_and_storage_run(spark, tmp_path):
         [("acme-main-a", "images/a", 1, "x", "crc", None, None, None)], schemas.OBJECT_HEAD
     )
     stats = plans.checksum_inventory(
-        spark, reports.latest_path(f"{out}/reports/manifests"), heads, out, DAY
+        spark,
+        "acme-main-a",
+        reports.latest_path(f"{out}/reports/manifests/acme-main-a"),
+        heads,
+        out,
+        DAY,
     ).first()
     assert tuple(stats) == (3, 2)
 
@@ -339,7 +345,7 @@ def test_manifest_stream(spark, tmp_path):
     def handle(batch, _):
         for row in batch.select("manifest_path").toLocalIterator():
             stats = plans.inventory_report(
-                spark, row.manifest_path, str(tmp_path / "in"), str(tmp_path / "out"), DAY
+                spark, "a", row.manifest_path, str(tmp_path / "in"), str(tmp_path / "out"), DAY
             )
             done.append(stats.count())
 
@@ -396,3 +402,40 @@ def test_prefix_table_of_published_documents(spark, tmp_path, rows):
     reports.publish_json(inventory.stats_documents(prefixes), base, DAY)
     read = tables.read_bucket_stats(spark, reports.latest_path(base))
     assert rows(storage.prefixes_of_documents(read)) == rows(prefixes)
+
+
+def test_views_for_sql(spark, tmp_path):
+    from tests.test_objects import LINE
+    from vaultlens.plans.views import register_views
+
+    write(tmp_path / "audit/x/1", LINE + "\n")
+    spark.createDataFrame(OBJECTS, schemas.INVENTORY).write.parquet(str(tmp_path / "inv/a/data"))
+    register_views(
+        tables.read_access_log(spark, str(tmp_path / "audit")),
+        inventory_source.read_snapshots(spark, str(tmp_path / "inv")),
+    )
+    who = spark.sql(
+        "SELECT regexp_extract(requester, 'assumed-role/[^/]+/(.+)$', 1) AS who, http_status"
+        " FROM audit WHERE operation IN ('REST.GET.OBJECT') AND requester LIKE '%:assumed-role/%'"
+        " ORDER BY event_time"
+    ).collect()
+    assert [tuple(r) for r in who] == [("jo/x", 200)]
+    usage = spark.sql(
+        "SELECT bucket, COUNT(*) AS objects, SUM(size) AS total_bytes FROM inventory"
+        " GROUP BY bucket ORDER BY bucket"
+    ).collect()
+    assert [tuple(r) for r in usage] == [("acme-main-a", 4, 150)]
+
+
+def test_shuffles_grow_with_the_data(spark):
+    from vaultlens import configure
+    from vaultlens.session import PARTITION_BYTES
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        configure(spark, data_bytes=1000 * PARTITION_BYTES + 1)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1001"
+        configure(spark, data_bytes=5)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1001"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

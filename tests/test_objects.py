@@ -37,6 +37,12 @@ def test_log_record(spark):
     assert row.user_agent == "cli/1.0 (x)" and row.access_point_arn is None
 
 
+def test_log_schema(spark):
+    assert access_log.parsed(log(spark, LINE)).dtypes == [
+        (f.name, f.dataType.simpleString()) for f in schemas.ACCESS_LOG
+    ]
+
+
 def test_log_time_has_its_offset(spark):
     frame = access_log.parsed(log(spark, LINE)).select(
         F.col("event_time").cast("timestamp_ntz").alias("t")

@@ -36,6 +36,7 @@ def written(rows: DataFrame, purpose: str) -> DataFrame:
 
 def verification_report(
     spark: SparkSession,
+    name: str,
     source_manifest: str,
     replication_manifest: str,
     results_root: str,
@@ -44,6 +45,8 @@ def verification_report(
 ) -> DataFrame:
     """Publish the verification report and stats of one bucket pair.
 
+    ``name`` is the source bucket, under which both are published.
+
     Returns the one-row stats with the verdict. Report and stats come from one
     comparison.
     """
@@ -63,34 +66,39 @@ def verification_report(
         F.col("version_id").asc_nulls_last(),
     ]
     reports.publish_csv(
-        verification.report(compared), f"{out}/reports/checksums", report_date, order
+        verification.report(compared), f"{out}/reports/checksums/{name}", report_date, order
     )
     counts = verification.stats(compared)
-    reports.publish_json(
-        counts.select(*STATS_COLUMNS), f"{out}/metadata/checksums/stats", report_date
-    )
-    stored = tables.read_verification_stats(
-        spark, reports.dated_path(f"{out}/metadata/checksums/stats", report_date)
-    )
+    stats = f"{out}/metadata/checksums/stats/{name}"
+    reports.publish_json(counts.select(*STATS_COLUMNS), stats, report_date)
+    stored = tables.read_verification_stats(spark, reports.dated_path(stats, report_date))
     return verification.with_verdict(stored)
 
 
 def inventory_report(
-    spark: SparkSession, manifest: str | list[str], data_root: str, out: str, report_date: str
+    spark: SparkSession,
+    name: str,
+    manifest: str | list[str],
+    data_root: str,
+    out: str,
+    report_date: str,
 ) -> DataFrame:
     """Publish the inventory report and the stats documents of its buckets.
 
-    Returns the long prefix table the documents were built from.
+    ``name`` is the bucket, or any name for the manifests of several buckets
+    in one run. Returns the long prefix table the documents were built from.
     """
     manifests = inventory_source.read_manifests(spark, manifest)
     paths = inventory_source.file_paths(manifests, data_root)
     rows = inventory_source.read_files(spark, paths)
     reports.publish_csv(
-        inventory.report(rows), f"{out}/reports/manifests", report_date
+        inventory.report(rows), f"{out}/reports/manifests/{name}", report_date
     )
     prefixes = written(inventory.prefix_stats(rows), "prefix-stats")
     reports.publish_json(
-        inventory.stats_documents(prefixes), f"{out}/metadata/manifests/stats", report_date
+        inventory.stats_documents(prefixes),
+        f"{out}/metadata/manifests/stats/{name}",
+        report_date,
     )
     return prefixes
 
@@ -114,7 +122,7 @@ def storage_report(
     one-row summary.
     """
     latest = tables.read_bucket_stats(
-        spark, reports.latest_path(f"{out}/metadata/manifests/stats")
+        spark, reports.latest_path(f"{out}/metadata/manifests/stats/*")
     )
     documents = storage.with_latest_stats(buckets.select("bucket"), latest)
     if transfer is None:
@@ -141,12 +149,17 @@ def storage_report(
 
 
 def checksum_inventory(
-    spark: SparkSession, inventory_report_path: str, heads: DataFrame, out: str, report_date: str
+    spark: SparkSession,
+    name: str,
+    inventory_report_path: str,
+    heads: DataFrame,
+    out: str,
+    report_date: str,
 ) -> DataFrame:
     """Publish the recorded checksums of the objects of an inventory report."""
     listed = inventory_source.read_report(spark, inventory_report_path)
     rows = written(checksums.checksum_inventory(listed, heads), "checksum-inventory")
-    reports.publish_csv(rows, f"{out}/reports/checksum-inventory", report_date)
+    reports.publish_csv(rows, f"{out}/reports/checksum-inventory/{name}", report_date)
     return checksums.stats(rows)
 
 

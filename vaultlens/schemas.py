@@ -32,6 +32,34 @@ INVENTORY = _struct(
     ("replication_status", _S),
 )
 
+ACCESS_LOG = _struct(
+    ("bucket_owner", _S),
+    ("bucket", _S),
+    ("event_time", TimestampType()),
+    ("remote_ip", _S),
+    ("requester", _S),
+    ("request_id", _S),
+    ("operation", _S),
+    ("key", _S),
+    ("request_uri", _S),
+    ("http_status", _I),
+    ("error_code", _S),
+    ("bytes_sent", _L),
+    ("object_size", _L),
+    ("total_time_ms", _I),
+    ("turn_around_time_ms", _I),
+    ("referer", _S),
+    ("user_agent", _S),
+    ("version_id", _S),
+    ("host_id", _S),
+    ("sig_v", _S),
+    ("cipher_suite", _S),
+    ("auth_type", _S),
+    ("host_header", _S),
+    ("tls_version", _S),
+    ("access_point_arn", _S),
+)
+
 #: The inventory report as written: sizes are filled, times are text.
 INVENTORY_REPORT = _struct(
     ("bucket", _S),

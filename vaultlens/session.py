@@ -20,11 +20,23 @@ SETTINGS = {
 }
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Apply :data:`SETTINGS` to a running session and return it."""
+#: Shuffled bytes one partition should hold before AQE joins small ones.
+PARTITION_BYTES = 256 << 20
+
+
+def configure(spark: SparkSession, data_bytes: int | None = None) -> SparkSession:
+    """Apply :data:`SETTINGS` to a running session and return it.
+
+    With ``data_bytes``, the size of the largest input, shuffles get enough
+    partitions for it; a session that already has more keeps them.
+    """
     for name, value in SETTINGS.items():
         if spark.conf.get(name, None) != value:
             spark.conf.set(name, value)
+    if data_bytes:
+        needed = -(-data_bytes // PARTITION_BYTES)
+        if int(spark.conf.get("spark.sql.shuffle.partitions")) < needed:
+            spark.conf.set("spark.sql.shuffle.partitions", str(needed))
     return spark
 
 
