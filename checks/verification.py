@@ -72,17 +72,17 @@ def verification_compared_stats(view: View):
 
 @query("verification_onepass_report", _oracle(_REPORT))
 def verification_onepass_report(view: View):
-    return verification.report(verification.compare_in_one_join(*_sides(view)))
+    return verification.report(verification.join_once(*_sides(view)))
 
 
 @query("verification_onepass_stats", _oracle(_STATS))
 def verification_onepass_stats(view: View):
-    return verification.stats(verification.compare_in_one_join(*_sides(view)))
+    return verification.stats(verification.join_once(*_sides(view)))
 
 
 @query("verification_repeats_report", _oracle(_REPORT, "_repeats"))
 def verification_repeats_report(view: View):
-    return verification.unfolded(verification.compare(*_sides(view, "_repeats")))
+    return verification.unfolded(verification.join_folded(*_sides(view, "_repeats")))
 
 
 @query("verification_repeats_stats", _oracle(_STATS, "_repeats"))
@@ -90,9 +90,23 @@ def verification_repeats_stats(view: View):
     return verification.count(*_sides(view, "_repeats"))
 
 
+@query("verification_routed_repeats_report", _oracle(_REPORT, "_repeats"))
+def verification_routed_repeats_report(view: View):
+    """The most repeated versions on their own, the others in one join."""
+    source, replication = _sides(view, "_repeats")
+    top = (
+        source.groupBy(F.xxhash64("key", "version_id").alias("item"))
+        .count()
+        .orderBy(F.desc("count"), "item")
+        .limit(20)
+    )
+    frequent = [row.item for row in top.collect()]
+    return verification.compare(source, replication, frequent)
+
+
 @query("verification_onepass_repeats_stats", _oracle(_STATS, "_repeats"))
 def verification_onepass_repeats_stats(view: View):
-    return verification.stats(verification.compare_in_one_join(*_sides(view, "_repeats")))
+    return verification.stats(verification.join_once(*_sides(view, "_repeats")))
 
 
 @query(
@@ -106,7 +120,7 @@ def verification_onepass_repeats_stats(view: View):
 def verification_category_counts(view: View):
     compared = verification.compare(*_sides(view))
     return compared.groupBy(verification.category_order().alias("sort"), "status").agg(
-        F.sum("copies").alias("listed")
+        F.count(F.lit(1)).alias("listed")
     )
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vaultlens import schemas
 from vaultlens.operators import verification as v
@@ -53,35 +54,26 @@ def brute(source, replication):
     return Counter(out)
 
 
-def all_forms(spark, source, replication):
-    s, r = side(spark, source), side(spark, replication)
-    reports = [
-        Counter(tuple(row) for row in v.unfolded(form(s, r)).collect())
-        for form in (v.compare, v.compare_in_one_join)
-    ]
-    stats = [
-        frame.first().asDict()
-        for frame in (
-            v.count(s, r),
-            v.stats(v.compare(s, r)),
-            v.stats(v.compare_in_one_join(s, r)),
-        )
-    ]
-    return reports, stats
+def counted(rows):
+    return Counter(tuple(row) for row in rows.collect())
 
 
-def check(spark, source, replication):
+def check(spark, source, replication, every_form=False):
+    s, r = side(spark, source), side(spark, replication)
     expected = brute(source, replication)
-    reports, stats = all_forms(spark, source, replication)
-    for report in reports:
-        assert report == expected
+    assert counted(v.join_once(s, r)) == expected
+    if every_form:
+        hashes = s.select(F.xxhash64("key", "version_id").alias("h")).distinct().collect()
+        assert counted(v.compare(s, r)) == expected
+        assert counted(v.compare(s, r, [row.h for row in hashes][::2])) == expected
+        assert counted(v.unfolded(v.join_folded(s, r))) == expected
     counts = Counter()
     for row, n in expected.items():
         counts[row[3]] += n
-    for found in stats:
-        assert [found[name] for name in v.COUNTS] == [counts[s] for s in v.STATUSES]
-        assert found["total_objects"] == sum(counts.values())
-    return stats[0]
+    found = v.count(s, r).first().asDict()
+    assert [found[name] for name in v.COUNTS] == [counts[status] for status in v.STATUSES]
+    assert found["total_objects"] == sum(counts.values())
+    return found
 
 
 def test_equal_pairs(spark):
@@ -121,7 +113,7 @@ def test_one_of_each_category(spark):
     source.append(src("f2"))
     replication = [rep("ok"), rep("differs", checksum="B"), rep("other"), rep("f1")]
     replication.append(rep("f2", status="failed"))
-    found = check(spark, source, replication)
+    found = check(spark, source, replication, every_form=True)
     assert [found[n] for n in v.COUNTS] == [1, 1, 1, 1, 1, 1]
     assert not found["is_ok"]
 
@@ -159,7 +151,7 @@ def test_a_third_of_all_rows_in_one_key(spark):
     """Repeats multiply as in a plain join, without forming pairs before the end."""
     source = [src("hot", checksum=c) for c in "ABCA" * 10] + [src(f"k{n}") for n in range(80)]
     replication = [rep("hot", checksum=c) for c in "AB" * 20] + [rep(f"k{n}") for n in range(70)]
-    found = check(spark, source, replication)
+    found = check(spark, source, replication, every_form=True)
     assert found["matches"] == 20 * 20 + 10 * 20 + 70
     assert found["mismatches"] == 40 * 40 - 600
 
@@ -167,7 +159,7 @@ def test_a_third_of_all_rows_in_one_key(spark):
 def test_many_copies_unfold(spark):
     source = side(spark, [src("hot")]).crossJoin(spark.range(1200)).drop("id")
     replication = side(spark, [rep("hot")]).crossJoin(spark.range(1000)).drop("id")
-    report = v.unfolded(v.compare(source, replication))
+    report = v.unfolded(v.join_folded(source, replication))
     assert report.count() == 1_200_000
     assert v.count(source, replication).first()["matches"] == 1_200_000
 
@@ -208,7 +200,7 @@ row = st.tuples(
 
 
 @settings(
-    max_examples=12,
+    max_examples=4,
     deadline=None,
     suppress_health_check=[HealthCheck.function_scoped_fixture],
 )
@@ -218,10 +210,30 @@ def test_forms_agree_on_any_rows(spark, source, replication):
         spark,
         [("b", *r[:3], r[3], "SHA256") for r in source],
         [("b-repl", *r[:3], r[3], "SHA256") for r in replication],
+        every_form=True,
+    )
+
+
+def test_frequent_objects_are_found_and_compared_apart(spark, monkeypatch):
+    monkeypatch.setattr(v, "FREQUENT_ROWS", 100)
+    hot = [src("hot", checksum=f"c{n % 3}") for n in range(150)]
+    cold = [src(f"k{n}") for n in range(300)]
+    source = side(spark, hot + cold)
+    replication = side(spark, [rep("hot", checksum="c1"), rep("k1"), rep("new")])
+    found = v.frequent_objects(source, replication)
+    assert found == [
+        r.h for r in source.where("key = 'hot'").select(F.xxhash64("key", "version_id").alias("h")).distinct().collect()
+    ]
+    routed = v.compare(source, replication)
+    assert Counter(tuple(r) for r in routed.collect()) == brute(
+        hot + cold, [rep("hot", checksum="c1"), rep("k1"), rep("new")]
+    )
+    assert "isin" in str(routed._jdf.queryExecution().analyzed()) or " IN (" in str(
+        routed._jdf.queryExecution().analyzed().toString()
     )
 
 
-@pytest.mark.parametrize("form", [v.compare, v.compare_in_one_join])
+@pytest.mark.parametrize("form", [v.compare, v.join_once, v.join_folded])
 def test_no_cross_join(spark, form):
     frame = form(side(spark, [src("a")]), side(spark, [rep("a")]))
     plan = frame._jdf.queryExecution().executedPlan().toString()

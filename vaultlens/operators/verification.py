@@ -5,9 +5,11 @@ NULL version never finds a partner. The six categories are neither exclusive
 nor exhaustive: an object that failed on both sides is listed twice, and one
 verified on both sides without a recorded checksum is not listed at all.
 
-Equal rows are folded to one row with a ``copies`` count before the join, with
-map-side combine, so a key repeated many times reaches the join as a few rows.
-Counts multiply through the join; :func:`report` unfolds them again.
+The normal case, in which an object version is listed about once per side, is
+one full outer join. Spark does not split the partitions of such a join, so
+object versions that fill a noticeable share of the rows are found beforehand
+with a sketch and compared on their own, folded to distinct rows with a count.
+Both ways are exact; the sketch only decides which one a row takes.
 """
 
 from __future__ import annotations
@@ -28,6 +30,12 @@ STATUSES = [
 SUCCEEDED = "succeeded"
 FAILED = "failed"
 
+#: Sketch of frequent object versions: how many it may report and track, and
+#: the number of rows from which a version is compared on its own.
+SKETCH_ITEMS = 1_000
+SKETCH_TRACKED = 100_000
+FREQUENT_ROWS = 100_000
+
 REPORT_COLUMNS = [
     "bucket",
     "key",
@@ -82,27 +90,81 @@ def bad_messages(results: DataFrame) -> DataFrame:
     )
 
 
-def _folded(side: DataFrame, facts: list[str] = _FACTS) -> DataFrame:
-    return side.groupBy(*facts).agg(F.count(F.lit(1)).alias("copies"))
+def _object_hash() -> Column:
+    return F.xxhash64("key", "version_id")
+
+
+def _has_identity() -> Column:
+    return F.col("key").isNotNull() & F.col("version_id").isNotNull()
+
+
+def frequent_objects(source: DataFrame, replication: DataFrame) -> list[int]:
+    """Hashes of object versions that fill a noticeable share of either side.
+
+    A frequent-items sketch over two columns: one pass, no shuffle of rows, and
+    never more than :data:`SKETCH_ITEMS` numbers on the driver. A version with
+    more than about one in 30,000 rows does not escape it.
+    """
+    found: set[int] = set()
+    for side in (source, replication):
+        sketch = side.where(_has_identity()).agg(
+            F.expr(f"approx_top_k(xxhash64(key, version_id), {SKETCH_ITEMS}, {SKETCH_TRACKED})")
+            .alias("items")
+        )
+        frequent = sketch.select(F.inline("items")).where(F.col("count") > FREQUENT_ROWS)
+        found.update(row.item for row in frequent.collect())
+    return sorted(found)
+
+
+def compare(
+    source: DataFrame, replication: DataFrame, frequent: list[int] | None = None
+) -> DataFrame:
+    """Every report row, in no order; inputs as from :func:`with_checksums`.
+
+    ``frequent`` are the hashes of :func:`frequent_objects`, which is asked
+    when they are not given.
+    """
+    if frequent is None:
+        frequent = frequent_objects(source, replication)
+    if not frequent:
+        return join_once(source, replication)
+    apart = F.coalesce(_object_hash().isin(frequent), F.lit(False))
+    return join_once(source.where(~apart), replication.where(~apart)).unionByName(
+        unfolded(join_folded(source.where(apart), replication.where(apart)))
+    )
 
 
 def _failed(side: DataFrame, status: str) -> DataFrame:
     """Failed tasks are listed as they are; they need no partner and no shuffle."""
-    return side.where(F.col("task_status") == FAILED).select(
-        *_listed(F.lit(status)), F.lit(1).cast("bigint").alias("copies")
+    return side.where(F.col("task_status") == FAILED).select(*_listed(F.lit(status)))
+
+
+def _unidentified(side: DataFrame, status: str) -> DataFrame:
+    """Rows without a key or version have no partner, which needs no join."""
+    return side.where(~_has_identity() & (F.col("task_status") == SUCCEEDED)).select(
+        *_listed(F.lit(status))
+    )
+
+
+def _without_join(source: DataFrame, replication: DataFrame) -> DataFrame:
+    return (
+        _failed(source, "failed_source")
+        .unionByName(_failed(replication, "failed_replication"))
+        .unionByName(_unidentified(source, "missing_replica"))
+        .unionByName(_unidentified(replication, "missing_source"))
     )
 
 
-def _listed(status: Column, algorithm=None, source=None, replica=None) -> list[Column]:
+def _listed(status: Column) -> list[Column]:
     none = F.lit(None).cast("string")
     return [
         F.col("bucket"),
         F.col("key"),
         F.col("version_id"),
         status.alias("status"),
-        (none if algorithm is None else algorithm).alias("checksum_algorithm"),
-        (none if source is None else source).alias("checksum_source"),
-        (none if replica is None else replica).alias("checksum_replication"),
+        none.alias("checksum_algorithm"),
+        none.alias("checksum_source"),
+        none.alias("checksum_replication"),
     ]
 
 
@@ -121,32 +183,6 @@ def _partner_status() -> Column:
     )
 
 
-def _listing(joined: DataFrame, status: Column) -> DataFrame:
-    """Report rows of a join of folded sides; at most one per joined row."""
-    paired = F.col("status").isin("ok", "mismatch")
-    replica_only = F.col("copies").isNull()
-
-    def own(name: str) -> Column:
-        return F.when(replica_only, F.col(f"r_{name}")).otherwise(F.col(name)).alias(name)
-
-    return (
-        joined.withColumn("status", status)
-        .where(F.col("status").isNotNull())
-        .select(
-            own("bucket"),
-            own("key"),
-            own("version_id"),
-            "status",
-            F.when(paired, F.col("checksum_algorithm")).alias("checksum_algorithm"),
-            F.when(paired, F.col("checksum")).alias("checksum_source"),
-            F.when(paired, F.col("r_checksum")).alias("checksum_replication"),
-            (F.coalesce("copies", F.lit(1)) * F.coalesce("r_copies", F.lit(1))).alias(
-                "copies"
-            ),
-        )
-    )
-
-
 def _as_partner(side: DataFrame) -> DataFrame:
     return side.select(
         F.col("bucket").alias("r_bucket"),
@@ -154,7 +190,7 @@ def _as_partner(side: DataFrame) -> DataFrame:
         F.col("version_id").alias("r_version_id"),
         F.col("task_status").alias("r_status"),
         F.col("checksum").alias("r_checksum"),
-        F.col("copies").alias("r_copies"),
+        *[F.col(name).alias(f"r_{name}") for name in side.columns if name == "copies"],
     )
 
 
@@ -162,57 +198,84 @@ def _same_object() -> Column:
     return (F.col("key") == F.col("r_key")) & (F.col("version_id") == F.col("r_version_id"))
 
 
-def compare(source: DataFrame, replication: DataFrame) -> DataFrame:
-    """Every report row once, with ``copies``; inputs as from :func:`with_checksums`.
+def _shown(name: str, checksum: Column) -> Column:
+    """Checksums are shown for compared pairs only."""
+    return F.when(F.col("status").isin("ok", "mismatch"), checksum).alias(name)
+
+
+def _checksums_shown() -> list[Column]:
+    return [
+        _shown("checksum_algorithm", F.col("checksum_algorithm")),
+        _shown("checksum_source", F.col("checksum")),
+        _shown("checksum_replication", F.col("r_checksum")),
+    ]
+
+
+def join_once(source: DataFrame, replication: DataFrame) -> DataFrame:
+    """Every report row from one full outer join: one shuffle of each side.
 
-    A left join settles the source side and an anti-join the replica side.
-    AQE can split a skewed left side of either; the right side of the
-    anti-join is reduced to distinct keys by the shuffle that the join needs.
+    At most one status comes from a joined row, as failed tasks and rows
+    without a partner key are listed apart.
     """
-    source_side = (
-        _folded(source.where(F.col("task_status") == SUCCEEDED))
-        .join(_as_partner(_folded(replication)), _same_object(), "left")
-    )
-    keys = source.select("key", "version_id").distinct()
-    # No checksum is needed here, so the messages are not parsed for it.
-    missing_source = (
-        _folded(
-            replication.where(F.col("task_status") == SUCCEEDED), ["bucket", "key", "version_id"]
-        )
-        .join(keys, ["key", "version_id"], "left_anti")
-        .select(*_listed(F.lit("missing_source")), "copies")
+    joined = source.where(_has_identity()).join(
+        _as_partner(replication.where(_has_identity())), _same_object(), "full_outer"
     )
+    replica_only = F.col("key").isNull()
+    status = F.when(
+        replica_only, F.when(F.col("r_status") == SUCCEEDED, F.lit("missing_source"))
+    ).when(F.col("task_status") == SUCCEEDED, _partner_status())
+
+    def own(name: str) -> Column:
+        return F.when(replica_only, F.col(f"r_{name}")).otherwise(F.col(name)).alias(name)
+
     return (
-        _listing(source_side, _partner_status())
-        .unionByName(missing_source)
-        .unionByName(_failed(source, "failed_source"))
-        .unionByName(_failed(replication, "failed_replication"))
+        joined.withColumn("status", status)
+        .where(F.col("status").isNotNull())
+        .select(own("bucket"), own("key"), own("version_id"), "status", *_checksums_shown())
+        .unionByName(_without_join(source, replication))
     )
 
 
-def compare_in_one_join(source: DataFrame, replication: DataFrame) -> DataFrame:
-    """The same rows from one full outer join of the folded sides.
+def _folded(side: DataFrame, facts: list[str] = _FACTS) -> DataFrame:
+    return side.groupBy(*facts).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def join_folded(source: DataFrame, replication: DataFrame) -> DataFrame:
+    """Every report row once, with the number of its ``copies``.
 
-    Two shuffles fewer than :func:`compare`, but Spark does not split skewed
-    partitions of a full outer join. For results in which (key, version_id) is
-    close to unique, as batch jobs deliver them.
+    Equal rows are counted with map-side combine first; the counts multiply in
+    the join. A left join settles the source side and an anti-join the replica
+    side: AQE splits skewed partitions of both, as it cannot for an outer join
+    of both sides.
     """
-    joined = _folded(source).join(
-        _as_partner(_folded(replication)), _same_object(), "full_outer"
+    done = F.col("task_status") == SUCCEEDED
+    own = source.where(_has_identity())
+    other = replication.where(_has_identity())
+    source_side = (
+        _folded(own.where(done))
+        .join(_as_partner(_folded(other)), _same_object(), "left")
+        .withColumn("status", _partner_status())
+        .where(F.col("status").isNotNull())
+        .select(
+            "bucket",
+            "key",
+            "version_id",
+            "status",
+            *_checksums_shown(),
+            (F.col("copies") * F.coalesce("r_copies", F.lit(1))).alias("copies"),
+        )
     )
-    # Only a row without a left side has no count on the left.
-    status = F.when(
-        F.col("copies").isNull(),
-        F.when(F.col("r_status") == SUCCEEDED, F.lit("missing_source")),
-    ).when(F.col("task_status") == SUCCEEDED, _partner_status())
-    return (
-        _listing(joined, status)
-        .unionByName(_failed(source, "failed_source"))
-        .unionByName(_failed(replication, "failed_replication"))
+    # No checksum is needed here, so the messages are not parsed for it.
+    missing_source = (
+        _folded(other.where(done), ["bucket", "key", "version_id"])
+        .join(own.select("key", "version_id").distinct(), ["key", "version_id"], "left_anti")
+        .select(*_listed(F.lit("missing_source")), "copies")
     )
+    single = _without_join(source, replication).withColumn("copies", F.lit(1).cast("bigint"))
+    return source_side.unionByName(missing_source).unionByName(single)
 
 
-def unfolded(compared: DataFrame) -> DataFrame:
+def unfolded(folded: DataFrame) -> DataFrame:
     """One row per listed object, repeated by its number of copies.
 
     Two nested repeats of about the square root keep each array small even
@@ -226,7 +289,7 @@ def unfolded(compared: DataFrame) -> DataFrame:
         )
     )
     return (
-        compared.withColumn("width", width)
+        folded.withColumn("width", width)
         .select("*", outer.alias("begin"))
         .select(*REPORT_COLUMNS, inner.alias("repeat"))
         .drop("repeat")
@@ -239,28 +302,27 @@ def category_order() -> Column:
     return F.array_position(order, F.col("status")).cast("int") - F.lit(1)
 
 
-def report(compared: DataFrame) -> DataFrame:
-    """The report in category order.
+def report(rows: DataFrame) -> DataFrame:
+    """Compared rows in category order.
 
     The key columns break ties, so the range partitioning stays even although
     nearly all rows share one category.
     """
-    return unfolded(compared).orderBy(
+    return rows.select(*REPORT_COLUMNS).orderBy(
         category_order(), "bucket", "key", F.col("version_id").asc_nulls_last()
     )
 
 
-def stats(compared: DataFrame) -> DataFrame:
-    """Stats of a finished comparison, see :func:`with_verdict`."""
-    counts = compared.agg(
-        *[
-            F.coalesce(
-                F.sum(F.when(F.col("status") == status, F.col("copies"))), F.lit(0)
-            ).alias(name)
-            for status, name in zip(STATUSES, COUNTS)
-        ]
+def stats(rows: DataFrame) -> DataFrame:
+    """Stats of compared rows, see :func:`with_verdict`."""
+    return with_verdict(
+        rows.agg(
+            *[
+                F.count_if(F.col("status") == status).alias(name)
+                for status, name in zip(STATUSES, COUNTS)
+            ]
+        )
     )
-    return with_verdict(counts)
 
 
 def _tally(side: DataFrame, own: str, other: str) -> DataFrame:
