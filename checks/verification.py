@@ -87,7 +87,7 @@ def verification_repeats_report(view: View):
 
 @query("verification_repeats_stats", _oracle(_STATS, "_repeats"))
 def verification_repeats_stats(view: View):
-    return verification.count(*_sides(view, "_repeats"))
+    return verification.count_by_checksum(*_sides(view, "_repeats"))
 
 
 @query("verification_routed_repeats_report", _oracle(_REPORT, "_repeats"))

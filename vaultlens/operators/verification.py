@@ -99,21 +99,24 @@ def _has_identity() -> Column:
 
 
 def frequent_objects(source: DataFrame, replication: DataFrame) -> list[int]:
-    """Hashes of object versions that fill a noticeable share of either side.
+    """Hashes of object versions that fill a noticeable share of the rows.
 
     A frequent-items sketch over two columns: one pass, no shuffle of rows, and
     never more than :data:`SKETCH_ITEMS` numbers on the driver. A version with
     more than about one in 30,000 rows does not escape it.
     """
-    found: set[int] = set()
-    for side in (source, replication):
-        sketch = side.where(_has_identity()).agg(
-            F.expr(f"approx_top_k(xxhash64(key, version_id), {SKETCH_ITEMS}, {SKETCH_TRACKED})")
-            .alias("items")
-        )
-        frequent = sketch.select(F.inline("items")).where(F.col("count") > FREQUENT_ROWS)
-        found.update(row.item for row in frequent.collect())
-    return sorted(found)
+    identified = source.where(_has_identity()).select(_object_hash().alias("item")).unionByName(
+        replication.where(_has_identity()).select(_object_hash().alias("item"))
+    )
+    sketch = identified.agg(
+        F.expr(f"approx_top_k(item, {SKETCH_ITEMS}, {SKETCH_TRACKED})").alias("items")
+    )
+    frequent = sketch.select(F.inline("items")).where(F.col("count") > FREQUENT_ROWS)
+    return sorted(row.item for row in frequent.collect())
+
+
+def _apart(frequent: list[int]) -> Column:
+    return F.coalesce(_object_hash().isin(frequent), F.lit(False))
 
 
 def compare(
@@ -128,7 +131,7 @@ def compare(
         frequent = frequent_objects(source, replication)
     if not frequent:
         return join_once(source, replication)
-    apart = F.coalesce(_object_hash().isin(frequent), F.lit(False))
+    apart = _apart(frequent)
     return join_once(source.where(~apart), replication.where(~apart)).unionByName(
         unfolded(join_folded(source.where(apart), replication.where(apart)))
     )
@@ -340,8 +343,30 @@ def _tally(side: DataFrame, own: str, other: str) -> DataFrame:
     )
 
 
-def count(source: DataFrame, replication: DataFrame) -> DataFrame:
-    """Stats without the report, by counting instead of joining.
+def count(
+    source: DataFrame, replication: DataFrame, frequent: list[int] | None = None
+) -> DataFrame:
+    """Stats without the report; ``frequent`` as for :func:`compare`.
+
+    Frequent object versions are counted without forming their pairs.
+    """
+    if frequent is None:
+        frequent = frequent_objects(source, replication)
+    if not frequent:
+        return stats(join_once(source, replication))
+    apart = _apart(frequent)
+    both = (
+        stats(join_once(source.where(~apart), replication.where(~apart)))
+        .select(*COUNTS)
+        .unionByName(
+            count_by_checksum(source.where(apart), replication.where(apart)).select(*COUNTS)
+        )
+    )
+    return with_verdict(both.agg(*[F.sum(name).alias(name) for name in COUNTS]))
+
+
+def count_by_checksum(source: DataFrame, replication: DataFrame) -> DataFrame:
+    """Stats by counting instead of joining.
 
     The rows of a key that agree are the product of the counts of each
     checksum, those that differ are the rest of the product of both totals.
