@@ -443,7 +443,7 @@ worst AS (SELECT name, bucket_type, CASE max(CASE status WHEN 'error' THEN 2 WHE
 
 @query("drift_steps", _DRIFT + "SELECT * FROM steps")
 def drift_steps(view: View):
-    return drift.steps(_config(view))
+    return drift.report(drift.steps(_config(view)))
 
 
 @query("drift_bucket_status", _DRIFT + "SELECT * FROM worst")

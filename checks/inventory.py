@@ -278,6 +278,33 @@ def storage_percent_text(view: View):
     )
 
 
+_FORMATTED = ", shown AS (SELECT *, {size} AS size_text FROM (SELECT *, total_size AS v FROM {table}))".replace(
+    "{size}", _bytes_oracle()
+)
+
+
+@query(
+    "storage_formatted_buckets",
+    _PREFIXES
+    + _FORMATTED.replace("{table}", "totals")
+    + f" SELECT bucket, total_files, size_text AS total_size, concat(printf('%.1f', {_pct('total_size', '(SELECT sum(total_size) FROM totals)')}),'%') AS pct_total_size,"
+    f" concat(printf('%.1f', {_pct('total_files', '(SELECT sum(total_files) FROM totals)')}),'%') AS pct_total_files, prefix_count FROM shown",
+)
+def storage_formatted_buckets(view: View):
+    return storage.formatted_buckets(_prefixes(view))
+
+
+@query(
+    "storage_formatted_prefixes",
+    _PREFIXES
+    + _FORMATTED.replace("{table}", "prefixes")
+    + f" SELECT p.bucket, p.prefix, p.total_files, p.size_text AS total_size, concat(printf('%.1f', {_pct('p.total_size', 't.total_size')}),'%') AS pct_bucket_size"
+    " FROM shown p, totals t WHERE p.bucket = t.bucket",
+)
+def storage_formatted_prefixes(view: View):
+    return storage.formatted_prefixes(_prefixes(view))
+
+
 _POINTS = """
 WITH newest AS (SELECT *, row_number() OVER (PARTITION BY bucket, metric, storage_type ORDER BY ts DESC, tie_breaker DESC) AS place
   FROM @metric_datapoint WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' AND ts < TIMESTAMP '2024-01-31 00:00:00')

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import View, query
 from vaultlens.functions import crc64
+from vaultlens.functions.names import file_stem
 from vaultlens.functions.text import join_locations
 from vaultlens.functions.times import expiry_cutoff, rfc3339
 from vaultlens.operators import access_log, archive, checksums, inventory
@@ -108,6 +109,37 @@ def checksum_inventory_stats(view: View):
     return checksums.stats(_checksum_rows(view))
 
 
+_TRIGGERS = """WITH t AS (SELECT concat('checksums/acme-main-b',CAST(o_orderkey AS STRING),'.txt') AS trigger,
+  concat('acme-main-b',CAST(o_orderkey AS STRING)) AS bucket FROM @orders),
+r AS (SELECT concat('acme-main-b',CAST(c_custkey AS STRING)) AS bucket, concat('reports/',CAST(c_custkey AS STRING)) AS path FROM @customer)
+"""
+
+
+def _triggers(view: View):
+    key = F.concat(F.lit("checksums/acme-main-b"), F.col("o_orderkey").cast("string"), F.lit(".txt"))
+    customer = F.col("c_custkey").cast("string")
+    return (
+        view("orders").select(key.alias("trigger")).withColumn("bucket", file_stem("trigger")),
+        view("customer").select(
+            F.concat(F.lit("acme-main-b"), customer).alias("bucket"),
+            F.concat(F.lit("reports/"), customer).alias("path"),
+        ),
+    )
+
+
+@query("checksum_requests", _TRIGGERS + "SELECT trigger, t.bucket, path FROM t, r WHERE t.bucket = r.bucket")
+def checksum_requests(view: View):
+    return checksums.requested(*_triggers(view))
+
+
+@query(
+    "checksum_requests_without_report",
+    _TRIGGERS + "SELECT trigger, bucket FROM t WHERE bucket NOT IN (SELECT bucket FROM r)",
+)
+def checksum_requests_without_report(view: View):
+    return checksums.without_report(*_triggers(view))
+
+
 @query("fixity_sha256", "SELECT doc_id, sha256(text) AS checksum FROM @documents")
 def fixity_sha256(view: View):
     return view("documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
@@ -151,15 +183,14 @@ def fixity_crc64nvme_chunked(view: View):
     offsets = F.sequence(
         F.lit(0), F.greatest(F.octet_length(body) - 1, F.lit(0)), F.lit(size)
     )
-    chunks = view("documents").select("doc_id", body.alias("body"), F.explode(offsets).alias("offset"))
-    return crc64.crc64_of_chunks(
-        chunks.select(
-            "doc_id",
-            F.substring(F.col("body"), F.col("offset") + 1, F.lit(size)).alias("content"),
-            F.col("offset").cast("bigint").alias("offset"),
+    chunks = F.transform(
+        offsets,
+        lambda offset: F.struct(
+            F.substring(body, offset + 1, F.lit(size)).alias("content"),
+            offset.cast("bigint").alias("offset"),
         ),
-        ["doc_id"],
     )
+    return crc64.crc64_of_chunks(view("documents").select("doc_id", F.inline(chunks)), ["doc_id"])
 
 
 def _rows(view: View):

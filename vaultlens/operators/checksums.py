@@ -76,6 +76,20 @@ def checksum_inventory(objects: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
+def requested(triggers: DataFrame, reports: DataFrame) -> DataFrame:
+    """Trigger files with the latest inventory report of the bucket they name.
+
+    ``triggers`` has trigger and bucket, ``reports`` one row per bucket with
+    its path.
+    """
+    return triggers.join(reports, "bucket").select("trigger", "bucket", "path")
+
+
+def without_report(triggers: DataFrame, reports: DataFrame) -> DataFrame:
+    """Trigger files that name a bucket without an inventory report."""
+    return triggers.join(reports, "bucket", "left_anti").select("trigger", "bucket")
+
+
 def stats(rows: DataFrame) -> DataFrame:
     """Rows, and rows that are not ok."""
     return rows.agg(

@@ -264,6 +264,11 @@ def steps(config: DataFrame) -> DataFrame:
     )
 
 
+def report(step_rows: DataFrame) -> DataFrame:
+    """Checks by bucket name, as the drift report lists them."""
+    return step_rows.orderBy("name", "step")
+
+
 def bucket_status(step_rows: DataFrame) -> DataFrame:
     """Worst status of each bucket."""
     severity = (

@@ -1,4 +1,4 @@
-"""Bounded grouping of rows into documents.
+"""Totals joined back to rows, and bounded grouping of rows into documents.
 
 A report document holds all items of a group. A group may be far larger than
 one task should hold, so it is divided by the hash of its items into as many
@@ -7,24 +7,60 @@ parts as its size needs. A group of normal size has exactly one part.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_PART_ROWS = 100_000
 
+#: Number of ways in which the rows of one group are spread in a join.
+SALTS = 32
+
+
+def join_totals(
+    rows: DataFrame, totals: DataFrame, group: list[str], item: list[str]
+) -> DataFrame:
+    """Each row with the totals of its group.
+
+    The totals, one row per group, are repeated for every salt, so the rows of
+    a group that fills the table still meet them in many tasks. When the totals
+    are small, Spark broadcasts them instead.
+    """
+    salts = F.array(*[F.lit(n) for n in range(SALTS)])
+    return (
+        rows.withColumn("salt", F.pmod(F.xxhash64(*item), F.lit(SALTS)).cast("int"))
+        .join(totals.withColumn("salt", F.explode(salts)), [*group, "salt"])
+        .drop("salt")
+    )
+
+
+def _parts(rows: Column, part_rows: int) -> Column:
+    return F.ceil(rows / F.lit(part_rows))
+
+
+def _part(item: list[str], parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*item), parts)
+
 
 def with_parts(
     rows: DataFrame, group: list[str], item: list[str], part_rows: int = DEFAULT_PART_ROWS
 ) -> DataFrame:
     """Add ``part`` and ``parts`` so that a (group, part) has about ``part_rows`` rows.
 
-    The sizes come from a partial aggregate; joining them back is an inner
-    equi-join, which AQE broadcasts when small and splits when skewed. The rows
-    are then spread by group and part: without that, a grouping by part could
-    keep the partitioning of the join, with all parts of a group in one task.
+    The rows are spread by group and part: without that, a grouping by part
+    could keep the partitioning of the join, with all parts of a group in one
+    task.
     """
-    sizes = rows.groupBy(*group).agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(part_rows)).alias("parts")
+    sizes = rows.groupBy(*group).agg(_parts(F.count(F.lit(1)), part_rows).alias("parts"))
+    return (
+        join_totals(rows, sizes, group, item)
+        .withColumn("part", _part(item, F.col("parts")))
+        .repartition(*group, "part")
     )
-    part = F.pmod(F.xxhash64(*item), F.col("parts"))
-    return rows.join(sizes, group).withColumn("part", part).repartition(*group, "part")
+
+
+def with_parts_of_all(
+    rows: DataFrame, item: list[str], part_rows: int = DEFAULT_PART_ROWS
+) -> DataFrame:
+    """:func:`with_parts` for a table that is one group."""
+    parts = rows.agg(_parts(F.count(F.lit(1)), part_rows)).scalar()
+    return rows.withColumn("parts", parts).withColumn("part", _part(item, F.col("parts")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultlens.functions.text import bytes_text, percent, percent_text
 from vaultlens.operators import inventory
-from vaultlens.operators.parts import DEFAULT_PART_ROWS, with_parts
+from vaultlens.operators.parts import DEFAULT_PART_ROWS, join_totals, with_parts_of_all
 
 
 def with_latest_stats(buckets: DataFrame, stats: DataFrame) -> DataFrame:
@@ -49,13 +49,13 @@ def bucket_shares(prefixes: DataFrame) -> DataFrame:
 def prefix_shares(prefixes: DataFrame) -> DataFrame:
     """Files and bytes of each prefix, and its percent of the bucket.
 
-    A join with the bucket totals rather than a window: no bucket has to fit
-    into one task.
+    A salted join with the bucket totals rather than a window: no bucket has
+    to fit into one task.
     """
     totals = inventory.bucket_totals(prefixes).select(
         "bucket", F.col("total_size").alias("bucket_size")
     )
-    return prefixes.join(totals, "bucket").select(
+    return join_totals(prefixes, totals, ["bucket"], ["prefix"]).select(
         "bucket",
         "prefix",
         "total_files",
@@ -87,8 +87,8 @@ def summary(prefixes: DataFrame, capacity: int | None = None) -> DataFrame:
 
 
 def formatted_buckets(prefixes: DataFrame) -> DataFrame:
-    """Bucket rows as the report shows them."""
-    return bucket_shares(prefixes).select(
+    """Bucket rows as the report shows them, by name."""
+    return bucket_shares(prefixes).orderBy("bucket").select(
         "bucket",
         "total_files",
         bytes_text("total_size").alias("total_size"),
@@ -99,8 +99,8 @@ def formatted_buckets(prefixes: DataFrame) -> DataFrame:
 
 
 def formatted_prefixes(prefixes: DataFrame) -> DataFrame:
-    """Prefix rows as the report shows them."""
-    return prefix_shares(prefixes).select(
+    """Prefix rows as the report shows them, by bucket and prefix."""
+    return prefix_shares(prefixes).orderBy("bucket", "prefix").select(
         "bucket",
         "prefix",
         "total_files",
@@ -115,14 +115,12 @@ def chart_series(prefixes: DataFrame, part_rows: int = DEFAULT_PART_ROWS) -> Dat
     ``part`` is 0 and ``parts`` is 1 unless there are more than ``part_rows``
     buckets.
     """
-    points = inventory.bucket_totals(prefixes).select(
-        "bucket",
-        F.explode(
-            F.create_map(F.lit("size"), "total_size", F.lit("files"), "total_files")
-        ).alias("chart", "value"),
-    )
+    points = F.explode(
+        F.create_map(F.lit("size"), "total_size", F.lit("files"), "total_files")
+    ).alias("chart", "value")
     return (
-        with_parts(points, ["chart"], ["bucket"], part_rows)
+        with_parts_of_all(inventory.bucket_totals(prefixes), ["bucket"], part_rows)
+        .select("bucket", "part", "parts", points)
         .groupBy("chart", "part", "parts")
         .agg(F.sort_array(F.collect_list(F.struct("bucket", "value"))).alias("points"))
         .select(
@@ -150,12 +148,11 @@ def report_documents(
     """
     totals = documents.select("bucket", "total_files", "total_size").distinct()
     entries = documents.select(
-        F.lit(0).alias("report"),
         "bucket",
         F.struct("bucket", "total_files", "total_size", "by_prefix").alias("entry"),
     )
     body = (
-        with_parts(entries, ["report"], ["bucket"], part_rows)
+        with_parts_of_all(entries, ["bucket"], part_rows)
         .groupBy("part", "parts")
         .agg(F.collect_list("entry").alias("entries"))
         .select(
