@@ -10,6 +10,7 @@ from checks.registry import View, query
 from vaultlens import schemas
 from vaultlens.functions.text import bytes_text, percent, percent_text
 from vaultlens.operators import inventory, metrics, storage
+from vaultlens.plans.reports import written
 from vaultlens.sources.inventory import data_files
 
 SNAPSHOT_DAY = dt.date(1996, 3, 2)
@@ -35,6 +36,11 @@ def _prefixes(view: View):
     return inventory.prefix_stats(view("inventory"))
 
 
+def _stored_prefixes(view: View):
+    """The prefix table, written once for queries that read it more than once."""
+    return written(_prefixes(view), "prefixes")
+
+
 @query(
     "inventory_report",
     "SELECT bucket, key, coalesce(size,0) AS size, concat(CAST(last_modified_date AS VARCHAR),'+00') AS last_modified_date,"
@@ -73,7 +79,7 @@ def inventory_bucket_totals(view: View):
   FROM totals t, prefixes p WHERE t.bucket = p.bucket GROUP BY t.bucket, t.total_files, t.total_size""",
 )
 def inventory_stats_documents(view: View):
-    return inventory.stats_documents(_prefixes(view)).select(
+    return inventory.stats_documents(_stored_prefixes(view)).select(
         "bucket",
         F.to_json(F.struct("total_files", "total_size", "by_prefix")).alias("document"),
     )
@@ -149,7 +155,7 @@ def inventory_manifest_files(view: View):
     f" {_pct('total_files', '(SELECT sum(total_files) FROM totals)')} AS pct_total_files FROM totals",
 )
 def storage_bucket_shares(view: View):
-    return storage.bucket_shares(_prefixes(view))
+    return storage.bucket_shares(_stored_prefixes(view))
 
 
 @query(
@@ -159,7 +165,7 @@ def storage_bucket_shares(view: View):
     " FROM prefixes p, totals t WHERE p.bucket = t.bucket",
 )
 def storage_prefix_shares(view: View):
-    return storage.prefix_shares(_prefixes(view))
+    return storage.prefix_shares(_stored_prefixes(view))
 
 
 @query(
@@ -183,7 +189,7 @@ UNION ALL SELECT 'files', concat('[',string_agg(concat('"',bucket,'"'),',' ORDER
   concat('[',string_agg(CAST(total_files AS VARCHAR),',' ORDER BY bucket),']') FROM totals""",
 )
 def storage_chart_series(view: View):
-    return storage.chart_series(_prefixes(view)).select(
+    return storage.chart_series(_stored_prefixes(view)).select(
         "chart", F.to_json("labels").alias("labels"), F.to_json("values").alias("points")
     )
 
@@ -199,7 +205,7 @@ SELECT concat('{"owner":"Acme","stack_name":"acme-main","generated_at":"2024-01-
   string_agg(entry,',' ORDER BY bucket),']}') AS document FROM entries""",
 )
 def storage_report_document(view: View):
-    prefixes = _prefixes(view)
+    prefixes = _stored_prefixes(view)
     none = F.lit(None)
     header = metrics.transfer_out(view("cost_usage"), "nobody", COSTS_AS_OF).select(
         F.lit("Acme").alias("owner"),
@@ -222,7 +228,7 @@ def storage_report_document(view: View):
 def storage_buckets_with_stats(view: View):
     rows = view("inventory")
     wanted = rows.where(F.col("bucket") != "acme-main-p").select("bucket").distinct()
-    documents = inventory.stats_documents(inventory.prefix_stats(rows))
+    documents = inventory.stats_documents(written(inventory.prefix_stats(rows), "prefixes"))
     return storage.with_latest_stats(wanted, documents).select(
         "bucket", "total_files", "total_size"
     )
@@ -291,7 +297,7 @@ _FORMATTED = ", shown AS (SELECT *, {size} AS size_text FROM (SELECT *, total_si
     f" concat(printf('%.1f', {_pct('total_files', '(SELECT sum(total_files) FROM totals)')}),'%') AS pct_total_files, prefix_count FROM shown",
 )
 def storage_formatted_buckets(view: View):
-    return storage.formatted_buckets(_prefixes(view))
+    return storage.formatted_buckets(_stored_prefixes(view))
 
 
 @query(
@@ -302,7 +308,7 @@ def storage_formatted_buckets(view: View):
     " FROM shown p, totals t WHERE p.bucket = t.bucket",
 )
 def storage_formatted_prefixes(view: View):
-    return storage.formatted_prefixes(_prefixes(view))
+    return storage.formatted_prefixes(_stored_prefixes(view))
 
 
 _POINTS = """

@@ -62,19 +62,24 @@ SELECT 'acme-main-data-repl' AS bucket, concat('k/',CAST(o_orderkey AS STRING))
   CASE WHEN o_orderkey % 31 = 0 THEN 'failed' ELSE 'succeeded' END AS task_status,
   CASE WHEN o_orderkey % 41 = 0 THEN '{}' ELSE concat('{"checksum_base64":"',md5(concat(CAST(o_orderkey AS STRING),CASE WHEN o_orderkey % 37 = 0 THEN 'x' ELSE '' END)),'","checksumAlgorithm":"CRC64NVME"}') END AS result_message
 FROM @orders WHERE o_orderkey % 17 <> 0""",
-    # Line items listed under a key they share with others: repeated rows.
+    # Line items under the key of their order and one of two versions, orders
+    # with one or two rows for each version: a few repeated rows per key.
     "source_repeats": """
-SELECT 'acme-main-data' AS bucket, concat('k/',CAST(l_orderkey % 2000 AS STRING)) AS key,
-  concat('v',CAST(l_linenumber AS STRING)) AS version_id,
+SELECT 'acme-main-data' AS bucket, concat('k/',CAST(l_orderkey AS STRING)) AS key,
+  concat('v',CAST(l_linenumber % 2 AS STRING)) AS version_id,
   CASE WHEN l_partkey % 29 = 0 THEN 'failed' ELSE 'succeeded' END AS task_status,
   concat('{"checksum_base64":"',l_returnflag,'","checksumAlgorithm":"SHA256"}') AS result_message
 FROM @lineitem WHERE l_orderkey % 13 <> 0""",
     "replication_repeats": """
-SELECT 'acme-main-data-repl' AS bucket, concat('k/',CAST(o_orderkey % 2000 AS STRING)) AS key,
-  concat('v',CAST(o_orderkey % 3 + 1 AS STRING)) AS version_id,
+SELECT 'acme-main-data-repl' AS bucket, concat('k/',CAST(o_orderkey AS STRING)) AS key,
+  CASE WHEN o_custkey % 5 = 0 THEN 'v1' ELSE 'v0' END AS version_id,
   CASE WHEN o_orderkey % 31 = 0 THEN 'failed' ELSE 'succeeded' END AS task_status,
   concat('{"checksum_base64":"',CASE WHEN o_custkey % 2 = 0 THEN 'N' ELSE 'R' END,'","checksumAlgorithm":"SHA256"}') AS result_message
-FROM @orders""",
+FROM @orders
+UNION ALL
+SELECT 'acme-main-data-repl' AS bucket, concat('k/',CAST(o_orderkey AS STRING)) AS key, 'v1' AS version_id,
+  'succeeded' AS task_status, '{"checksum_base64":"N","checksumAlgorithm":"SHA256"}' AS result_message
+FROM @orders WHERE o_orderkey % 3 <> 0""",
     "result_lines": """
 SELECT concat('acme-main-data,k/',CAST(o_orderkey AS STRING),',v',CAST(o_custkey AS STRING),',succeeded,200,,',
   '"{""checksum_base64"":""',md5(CAST(o_orderkey AS STRING)),'"",""checksumAlgorithm"":""SHA256""}"') AS line

@@ -42,7 +42,8 @@ def prefix_stats(inventory: DataFrame) -> DataFrame:
     """Files and bytes per bucket and first path segment.
 
     The aggregate every other inventory figure is computed from: it combines
-    before the shuffle, so a bucket with most of the rows costs no more.
+    before the shuffle, so a bucket with most of the rows costs no more. Write
+    it once where several figures are wanted; they read it more than once.
     """
     return (
         objects(inventory)

@@ -137,24 +137,23 @@ def compare(
     )
 
 
-def _failed(side: DataFrame, status: str) -> DataFrame:
-    """Failed tasks are listed as they are; they need no partner and no shuffle."""
-    return side.where(F.col("task_status") == FAILED).select(*_listed(F.lit(status)))
+def _alone(side: DataFrame, failed: str, missing: str) -> DataFrame:
+    """Rows that are listed without looking for a partner.
 
-
-def _unidentified(side: DataFrame, status: str) -> DataFrame:
-    """Rows without a key or version have no partner, which needs no join."""
-    return side.where(~_has_identity() & (F.col("task_status") == SUCCEEDED)).select(
-        *_listed(F.lit(status))
+    Failed tasks are listed as they are, and a row without a key or version has
+    no partner: neither needs a shuffle, and one scan finds both.
+    """
+    status = F.when(F.col("task_status") == FAILED, F.lit(failed)).when(
+        ~_has_identity() & (F.col("task_status") == SUCCEEDED), F.lit(missing)
+    )
+    return side.withColumn("status", status).where(F.col("status").isNotNull()).select(
+        *_listed(F.col("status"))
     )
 
 
 def _without_join(source: DataFrame, replication: DataFrame) -> DataFrame:
-    return (
-        _failed(source, "failed_source")
-        .unionByName(_failed(replication, "failed_replication"))
-        .unionByName(_unidentified(source, "missing_replica"))
-        .unionByName(_unidentified(replication, "missing_source"))
+    return _alone(source, "failed_source", "missing_replica").unionByName(
+        _alone(replication, "failed_replication", "missing_source")
     )
 
 
