@@ -236,6 +236,23 @@ def receipt_lookup(view: View):
     return jobs.receipt_keys(view("receipts"), "2024-01-31")
 
 
+@query(
+    "receipt_newest",
+    """WITH r AS (SELECT * FROM @receipts), d AS (SELECT unnest(['2024-01-30','2024-01-31']) AS created_at),
+k AS (SELECT source_job_id AS identifier, r.* FROM r UNION ALL SELECT repl_job_id, r.* FROM r UNION ALL SELECT source_bucket, r.* FROM r)
+SELECT identifier, '0000-00-00-LATEST' AS report_date, '2024-01-31' AS created_at, source_bucket, source_job_id, repl_bucket, repl_job_id FROM k
+UNION ALL SELECT source_bucket, created_at, created_at, source_bucket, source_job_id, repl_bucket, repl_job_id FROM r, d""",
+)
+def receipt_newest(view: View):
+    """Each receipt stored on two days."""
+    receipts = view("receipts")
+    days = [
+        jobs.receipt_keys(receipts.withColumn("created_at", F.lit(day)), day)
+        for day in ("2024-01-30", "2024-01-31")
+    ]
+    return jobs.newest_receipts(days[0].unionByName(days[1]))
+
+
 @query(
     "dispatch_issues",
     "SELECT name, concat(name,': ',error) AS issue FROM @dispatch_results WHERE error IS NOT NULL",

@@ -114,12 +114,22 @@ def test_messages_with_quotes(spark, tmp_path):
 
 
 def test_receipts_and_events(spark, tmp_path):
-    receipt = {"source_bucket": "sb", "source_job_id": "sj", "repl_bucket": "rb", "repl_job_id": "rj"}
+    receipt = {"source_bucket": "sb", "source_job_id": "sj", "repl_bucket": "rb", "repl_job_id": "rj", "created_at": "2024-01-31"}
     write(tmp_path / "receipts/1.json", json.dumps(receipt))
     frame = job_source.read_receipts(spark, str(tmp_path / "receipts"))
     receipt_sink.write_receipts(frame, str(tmp_path / "lookup"), DAY)
-    found = spark.read.json(str(tmp_path / "lookup")).where("identifier = 'rj'").collect()
-    assert [r.source_bucket for r in found] == ["sb"]
+    later = frame.withColumns({"source_job_id": F.lit("sj2"), "created_at": F.lit("2024-02-01")})
+    receipt_sink.write_receipts(later, str(tmp_path / "lookup"), "2024-02-01")
+    found = job_source.read_receipt_lookup(spark, str(tmp_path / "lookup"))
+    by_name = {(r.identifier, r.report_date): r.source_job_id for r in found.collect()}
+    assert by_name == {
+        ("sj", jobs.LATEST): "sj",
+        ("sj2", jobs.LATEST): "sj2",
+        ("rj", jobs.LATEST): "sj2",
+        ("sb", jobs.LATEST): "sj2",
+        ("sb", DAY): "sj",
+        ("sb", "2024-02-01"): "sj2",
+    }
 
     write(tmp_path / "events/1.json", event("sj", "Failed", ["InvalidManifestContent"], 1))
     row = jobs.events_to_status(job_source.read_events(spark, str(tmp_path / "events"))).first()

@@ -34,6 +34,17 @@ def receipt_keys(receipts: DataFrame, today: str) -> DataFrame:
     return receipts.select(F.inline(entries), "*")
 
 
+def newest_receipts(lookup: DataFrame) -> DataFrame:
+    """Newest receipt under each identifier and date, as a store that
+    overwrites would hold it."""
+    fields = ["source_bucket", "source_job_id", "repl_bucket", "repl_job_id"]
+    return (
+        lookup.groupBy("identifier", "report_date")
+        .agg(F.max(F.struct("created_at", *fields)).alias("newest"))
+        .select("identifier", "report_date", "newest.*")
+    )
+
+
 def events_to_status(events: DataFrame) -> DataFrame:
     """Status-change events as flat rows."""
     change = F.col("detail.serviceEventDetails")

@@ -8,7 +8,10 @@ from vaultlens.operators.jobs import receipt_keys
 
 
 def write_receipts(receipts: DataFrame, base: str, today: str) -> str:
-    """Append lookup rows, partitioned by their date; latest ones are replaced
-    on reading by the newest ``created_at``."""
+    """Append lookup rows, partitioned by their date.
+
+    A later receipt under the same name wins on reading, see
+    :func:`vaultlens.sources.jobs.read_receipt_lookup`.
+    """
     receipt_keys(receipts, today).write.mode("append").partitionBy("report_date").json(base)
     return base
