@@ -368,12 +368,9 @@ def test_large_collection_is_not_gathered(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    for line in plan.splitlines():
-        if "SortAggregate" in line and "partial_min_by" not in line and "min_by" in line:
-            break
-    below = plan.splitlines()[plan.splitlines().index(line) + 1]
-    below = below if "Exchange" in below else plan.splitlines()[plan.splitlines().index(line) + 2]
-    assert "hashpartitioning(collection_id" in below and "filename" in below
+    below_grouping = plan[plan.index("min_by(") :].splitlines()
+    exchange = next(line for line in below_grouping if "Exchange" in line)
+    assert "hashpartitioning(collection_id" in exchange and "filename" in exchange
 
 
 def test_catalogue_round_trip(spark):
