@@ -43,16 +43,28 @@ def configure(spark: SparkSession, data_bytes: int | None = None) -> SparkSessio
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for intermediate tables, below ``spark.checkpoint.dir``.
 
-    The cluster names the shared folder. Only where the session names none
-    (tests, one machine) is a temporary one created and set.
+    The cluster names the shared folder. Where it names none, the folder is
+    below the warehouse, which executors and driver share as well. The folders
+    stay until :func:`release_scratch`.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="vaultlens-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    folder = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    context._vaultlens_scratch = [*getattr(context, "_vaultlens_scratch", []), folder]
+    return folder
+
+
+def release_scratch(spark: SparkSession) -> None:
+    """Remove the folders :func:`scratch_dir` gave out; their readers are done."""
+    context = spark.sparkContext
+    for folder in getattr(context, "_vaultlens_scratch", []):
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    context._vaultlens_scratch = []
 
 
 def ship_package(spark: SparkSession) -> SparkSession:
