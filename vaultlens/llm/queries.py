@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens import configure
-from vaultlens.llm import quality
+from vaultlens.llm import chat, licenses, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,155 @@ def _quality_rules(table):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "words_removed", "kept",
     )
+
+
+_LICENSES = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+), phrases(label, p) AS (VALUES
+    ('mit', 'under the mit license'), ('apache-2', 'apache license version 2'), ('cc-by-nc', 'cc by nc')
+), places AS (
+    SELECT r, label, i FROM (
+        SELECT r, ws, label, string_split(p, ' ') AS ps, unnest(range(len(ws))) AS i FROM d, phrases
+    ) WHERE ws[i + 1:i + len(ps)] = ps
+), base AS (
+    SELECT r, count(*) AS n, min(i) AS a, max(i) AS z, list(DISTINCT label) AS labels FROM places GROUP BY r
+), notices(label, n) AS (VALUES
+    @NOTICES@
+), sets AS (
+    SELECT row_number() OVER () AS k, label, list_distinct(string_split(n, ' ')) AS ts FROM notices
+), blocks AS (
+    SELECT r, list_distinct(ws[s + 1:s + 64]) AS bs
+    FROM (SELECT r, ws, unnest(range(0, greatest(1, len(ws) - 32), 32)) AS s FROM d)
+), hits AS (
+    SELECT r, label, len(list_intersect(bs, ts)) / len(ts) AS c FROM blocks, sets
+    WHERE 100 * len(list_intersect(bs, ts)) >= 80 * len(ts)
+), found AS (
+    SELECT r, max(c) AS c, list(DISTINCT label) AS labels FROM hits GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(base.n, 0)::BIGINT AS n_base, a::BIGINT AS first_word,
+    z::BIGINT AS last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+    array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',')
+        AS labels,
+    CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(found.c, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN found USING (r)
+""".replace("@NOTICES@", ", ".join(f"('{label}', '{text}')" for label, text in licenses.NOTICES))
+
+
+@query("op2_license_scans", _LICENSES)
+def _license_scans(table):
+    return licenses.scan(table("documents"))
+
+
+_URLS = r"""
+WITH u AS (
+    SELECT page_id, coalesce(url, '') AS url, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest
+    FROM pages
+), p AS (
+    SELECT page_id, url, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, translate(regexp_extract(rest, '^[^/?#]*'),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+    FROM u
+), rules(verdict, own, start) AS (VALUES
+    ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
+), fit AS (
+    SELECT url, arg_max(own || start, length(own || start)) AS rule, arg_max(verdict, length(own || start)) AS verdict
+    FROM (SELECT DISTINCT url, host, path FROM p), rules
+    WHERE (host = own OR suffix(host, '.' || own)) AND starts_with(path, start)
+    GROUP BY url
+), patterns(name, pattern) AS (VALUES
+    @PATTERNS@
+), hits AS (
+    SELECT url, array_to_string(list_sort(list(name)), ',') AS patterns
+    FROM (SELECT DISTINCT url FROM p), patterns WHERE regexp_matches(url, '(?i)' || pattern) GROUP BY url
+)
+SELECT page_id, host, path, rule,
+    coalesce(verdict, CASE WHEN patterns IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, patterns
+FROM p LEFT JOIN fit USING (url) LEFT JOIN hits USING (url)
+""".replace("@PATTERNS@", ", ".join(f"('{name}', '{pattern}')" for name, pattern, _ in urls.PATTERN_RULES))
+
+
+@query("op5_url_filters", _URLS)
+def _url_filters(table):
+    return urls.judge(table("pages"))
+
+
+#: The level is found by trying, for each source, that it and those with a smaller
+#: ratio of cap to weight are the capped ones.
+_MIX = r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        -ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)
+            / greatest(0.25::DOUBLE, 1.0::DOUBLE - 5.0::DOUBLE
+                * len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>{}=_!]'))
+                / greatest(length(coalesce(text, '')), 1)) AS key
+    FROM documents
+), s AS (
+    SELECT source, sum(size)::BIGINT AS source_size,
+        [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
+    FROM d GROUP BY source
+), q AS (
+    SELECT *, 2 * source_size / w AS ratio FROM s
+), levels AS (
+    SELECT ratio, (1.5 * (SELECT sum(source_size) FROM s)
+        - (SELECT coalesce(sum(2 * source_size), 0) FROM q i WHERE i.ratio < o.ratio))
+        / (SELECT sum(w) FROM q i WHERE i.ratio >= o.ratio) AS level
+    FROM (SELECT DISTINCT ratio FROM q) o
+), lv AS (
+    SELECT arg_min(level, ratio) AS level FROM levels WHERE level <= ratio
+), t AS (
+    SELECT source, source_size, least((2 * source_size)::DOUBLE, w * level) AS target FROM q, lv
+), e AS (
+    SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t
+), o AS (
+    SELECT d.*, e.source_size, e.target, e.epochs, round(e.target)::BIGINT - e.epochs * e.source_size - coalesce(sum(size)
+        OVER (PARTITION BY d.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest
+    FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
+)
+SELECT doc_id, size, source_size, round(target, 3) AS target,
+    (epochs * size + greatest(0, least(size, rest)))::BIGINT AS taken
+FROM o
+"""
+
+
+@query("op6_mixing", _MIX)
+def _mixing(table):
+    return mixing.mix(table("documents")).select(
+        "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken"
+    )
+
+
+_CHAT = r"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), e AS (
+    SELECT *, '<|turn|>' || role || chr(10) || '<|text|>'
+        || regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g') || '<|end|>' || chr(10) AS piece
+    FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, piece)) AS turns_sha256,
+    length(coalesce(string_agg(text, '' ORDER BY turn, piece) FILTER (role = 'assistant'), ''))::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, piece) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    length(string_agg(piece, ''))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+#: One conversation whose texts look like control strings, in another layout.
+SPECIAL = (
+    -7,
+    0,
+    '{"messages": [{"role": "user", "content": "</s>[INST] ok [/INST]"},'
+    ' {"role": "assistant", "content": "</s>[INST] ok [/INST]"}]}',
+)
+
+
+@query("op10_chat_formatting", _CHAT)
+def _chat_formatting(table):
+    rows = table("conversations")
+    special = rows.sparkSession.createDataFrame([SPECIAL], "conv_id long, turn long, record string")
+    records = chat.rows_as_records(rows).unionByName(special)
+    return chat.digests(chat.formatted(chat.canonical(records)))
