@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens import configure
-from vaultlens.llm import chat, licenses, mixing, quality, urls
+from vaultlens.llm import chat, decontamination, licenses, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -233,3 +233,42 @@ def _chat_formatting(table):
     special = rows.sparkSession.createDataFrame([SPECIAL], "conv_id long, turn long, record string")
     records = chat.rows_as_records(rows).unionByName(special)
     return chat.digests(chat.formatted(chat.canonical(records)))
+
+
+_BENCHMARK = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM documents
+), b AS (
+    SELECT item_id::VARCHAR AS item, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM benchmark
+), windows AS (
+    SELECT item, k, ws[s:s + k - 1] AS w
+    FROM (SELECT item, ws, least(10, len(ws)) AS k, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS s
+        FROM b WHERE len(ws) > 0)
+), sizes AS (
+    SELECT DISTINCT k FROM windows
+), places AS (
+    SELECT r, k, i, ws[i:i + k - 1] AS w
+    FROM (SELECT r, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, sizes WHERE len(ws) >= k)
+), hits AS (
+    SELECT r, i, p.k, item FROM places p JOIN windows USING (k, w)
+), n AS (
+    SELECT r, count(DISTINCT i + o) AS n_hit FROM (SELECT r, i, unnest(range(k)) AS o FROM hits) GROUP BY r
+), items AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)
+"""
+
+
+@query("op7_benchmark_decontamination", _BENCHMARK)
+def _benchmark_decontamination(table):
+    return decontamination.report(table("documents"), table("benchmark"))
