@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens import configure
-from vaultlens.llm import chat, decontamination, licenses, mixing, quality, urls
+from vaultlens.llm import chat, decontamination, licenses, mixing, quality, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -272,3 +272,25 @@ FROM d LEFT JOIN n USING (r) LEFT JOIN items USING (r)
 @query("op7_benchmark_decontamination", _BENCHMARK)
 def _benchmark_decontamination(table):
     return decontamination.report(table("documents"), table("benchmark"))
+
+
+_WARC = r"""
+WITH p AS (
+    SELECT row_number() OVER () AS r, page_id, sha256(coalesce(html, '')) AS payload_digest,
+        octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes
+    FROM pages
+), f AS (
+    SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id,
+        row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS n
+    FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN n = 1 OR payload_bytes < 100 THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN n = 1 OR payload_bytes < 100 THEN NULL ELSE first_id END AS refers_to
+FROM f
+"""
+
+
+@query("op9_warc", _WARC)
+def _warc(table):
+    return warc.round_trip(table("pages"))
