@@ -25,7 +25,7 @@ TOTAL_PERCENT = 150
 #: No source gives more than so many times its words.
 MAX_EPOCHS = 2
 #: Documents of a source that are put in order within one task.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 
 
 def quality(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens import configure
-from vaultlens.llm import chat, decontamination, licenses, mixing, quality, urls, warc
+from vaultlens.llm import chat, decontamination, licenses, mixing, near_duplicates, quality, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -294,3 +294,8 @@ FROM f
 @query("op9_warc", _WARC)
 def _warc(table):
     return warc.round_trip(table("pages"))
+
+
+@query("op4_minhash_near_dedup")
+def _minhash_near_dedup(table):
+    return near_duplicates.find(table("documents"))
