@@ -10,7 +10,9 @@ pairs.
 
 Only links that can join components are looked for: first each posting's members
 with its smallest one; then, where a posting still has members of different
-components, those with each other. Every link is confirmed on the full sets.
+components, those with each other. The merge of such a posting runs inside a task
+on blocks of its members, skips pairs of one component, and emits only pairs that
+a bound on the common shingles allows. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ MIN_PERCENT = 75
 COORDINATES = 32
 #: Tokens that a pair must share.
 MATCHES = 10
+#: Bits of the map that bounds how many shingles two documents have in common.
+MAP_BITS = 1024
+#: Members of a posting that one task compares with as many others.
+BLOCK = 4096
 
 _SEEDS = hashing.mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _CHUNK = 1 << 14
@@ -83,6 +89,83 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(keep)
 
 
+def _with_map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        maps = []
+        for text in binaries(batch.column("text")):
+            bits = np.zeros(MAP_BITS, np.uint8)
+            bits[hashing.shingles(text, SHINGLE_WORDS) % np.uint64(MAP_BITS)] = 1
+            maps.append(np.packbits(bits).tobytes())
+        yield batch.append_column("map", pa.array(maps, pa.binary()))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of each posting (rows in order of token and blocks) that may be links."""
+    key, held = None, []
+
+    def flush():
+        pairs = _candidates(key, held) if len(held) > 1 else []
+        if pairs:
+            yield pa.RecordBatch.from_pydict({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}, _PAIR)
+
+    for batch in batches:
+        columns = [batch.column(n).to_pylist() for n in ("token", "low", "high", "own", "node", "component", "n", "shared", "map")]
+        for token, low, high, *member in zip(*columns, strict=True):
+            if (token, low, high) != key:
+                yield from flush()
+                key, held = (token, low, high), []
+            held.append(member)
+    yield from flush()
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _candidates(key: tuple[int, int, int], members: list) -> list[tuple[int, int]]:
+    """Pairs of different components and, for two blocks, of both of them.
+
+    Members of the largest component are not compared with each other. A pair is
+    left to the first posting, in the order of tokens, that both are in.
+    """
+    token, low, high = key
+    component = np.array([m[2] for m in members])
+    names, counts = np.unique(component, return_counts=True)
+    if len(names) < 2:
+        return []
+    order = np.argsort(component == names[counts.argmax()], kind="stable")
+    members = [members[i] for i in order]
+    component = component[order]
+    own = np.array([m[0] for m in members])
+    node = np.array([m[1] for m in members])
+    size = np.array([m[3] for m in members])
+    bits = np.frombuffer(b"".join(m[5] for m in members), np.uint64).reshape(len(members), -1)
+    set_bits = np.bitwise_count(bits).sum(axis=1).astype(np.int64)
+    loss = size - set_bits  # shingles that share a bit with another of the same set
+    tokens = [set(m[4]) for m in members]
+    prefixes = [m[4][: len(m[4]) - MATCHES + 1] for m in members]
+    out = []
+    for i in range(len(members) - int(counts.max())):
+        rest = slice(i + 1, None)
+        near = (component[rest] != component[i]) & (node[rest] != node[i])
+        near &= np.minimum(size[rest], size[i]) * 100 >= np.maximum(size[rest], size[i]) * MIN_PERCENT
+        if low != high:
+            near &= own[rest] != own[i]
+        others = np.flatnonzero(near) + i + 1
+        if not len(others):
+            continue
+        both = np.bitwise_count(bits[others] & bits[i]).sum(axis=1).astype(np.int64)
+        common = both + np.minimum(loss[others], loss[i])
+        allowed = common * (100 + MIN_PERCENT) >= MIN_PERCENT * (size[others] + size[i])
+        for j in others[allowed]:
+            shared = tokens[i] & tokens[j]
+            if len(shared) < MATCHES:
+                continue
+            ours, theirs = set(prefixes[i]), set(prefixes[j])
+            if min(ours & theirs) == token:
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+    return out
+
+
 def _written(frame: DataFrame, purpose: str) -> DataFrame:
     folder = scratch_dir(frame.sparkSession, purpose)
     frame.write.parquet(folder)
@@ -133,16 +216,42 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(_confirm, "a long, b long")
 
 
+def _across(held: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in postings (token, node, component)."""
+    several = (
+        held.groupBy("token")
+        .agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("members"))
+        .filter("x < y")
+        .select("token", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        held.join(several, "token")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("low", F.least("own", "other"))
+        .withColumn("high", F.greatest("own", "other"))
+        .join(nodes, "node")
+        .join(texts.select("node", "map"), "node")
+        .select("token", "low", "high", "own", "node", "component", "n", "shared", "map")
+    )
+    parts = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        dealt.repartition(parts, "token", "low", "high")
+        .sortWithinPartitions("token", "low", "high")
+        .mapInArrow(_merge, "a long, b long")
+        .distinct()
+    )
+
+
 def links(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component) of the classes with a link to another."""
     postings = _written(
         nodes.select("node", F.explode(F.slice("shared", 1, F.size("shared") - (MATCHES - 1))).alias("token")),
         "postings",
     )
-    texts = _written(
-        documents.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node"), "node", "left_semi"),
-        "texts",
-    )
+    texts = documents.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node"), "node", "left_semi")
+    texts = _written(texts.mapInArrow(_with_map, "node long, text string, map binary"), "texts")
     hubs = postings.groupBy("token").agg(F.min("node").alias("a"))
     stars = postings.join(hubs, "token").filter("node > a").select("a", F.col("node").alias("b")).distinct()
     stars = _written(_countable(stars, nodes), "stars")
@@ -150,12 +259,7 @@ def links(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     held = postings.join(components(first), "node", "left").select(
         "token", "node", F.coalesce("component", "node").alias("component")
     )
-    open_tokens = held.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-    held = _written(held.join(open_tokens.select("token"), "token", "left_semi"), "open")
-    x = held.select("token", F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = held.select("token", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = x.join(y, "token").filter("a < b AND ca <> cb").select("a", "b").distinct()
-    across = _written(_countable(across.join(stars, ["a", "b"], "left_anti"), nodes), "across")
+    across = _written(_across(held, nodes, texts), "across").join(stars, ["a", "b"], "left_anti")
     more = _written(_confirmed(across, texts), "links")
     return components(first.unionByName(more))
 
