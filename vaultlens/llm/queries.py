@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens import configure
-from vaultlens.llm import chat, decontamination, html, licenses, mixing, near_duplicates, quality, urls, warc
+from vaultlens.llm import chat, decontamination, html, language_model, licenses, mixing, near_duplicates, quality, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -304,3 +304,8 @@ def _minhash_near_dedup(table):
 @query("op8_html_extraction")
 def _html_extraction(table):
     return html.extract(table("pages"))
+
+
+@query("op1_lm_scoring")
+def _lm_scoring(table):
+    return language_model.score(table("documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import SparkSession
@@ -17,6 +18,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Another number of rows in the Arrow batches of the actions inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def binaries(column: pa.Array) -> list[bytes]:
     """Values of a string or binary column as bytes, empty for null."""
     if not pa.types.is_binary(column.type):
