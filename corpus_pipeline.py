@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vaultlens import configure
-from vaultlens.llm import quality
+from vaultlens.llm import decontamination, mixing, near_duplicates, quality
 from vaultlens.session import scratch_dir, ship_package
 
 
@@ -19,7 +19,30 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: that with the smallest id."""
+    ship_package(configure(spark))
+    return near_duplicates.keep_one(docs)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items are cut out; documents mostly made of them go."""
+    ship_package(configure(spark))
+    return decontamination.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document taken, its whole epochs and the words of a last part."""
+    configure(spark)
+    return mixing.sample(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("mixing_sources", mixing_sources),
+]
 
 #: SQL has no signatures and no connected components.
 ORACLE_SQL = None
