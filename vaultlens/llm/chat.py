@@ -144,11 +144,11 @@ def canonical(records: DataFrame) -> DataFrame:
 
 def _role_text(role: Column) -> Column:
     """A role without line breaks, reversibly."""
-    return F.regexp_replace(F.regexp_replace(role, r"\\", r"\\\\b"), "\n", r"\\\\n")
+    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n"))
 
 
 def _role_back(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\\n", "\n"), r"\\b", r"\\\\")
+    return F.replace(F.replace(text, F.lit("\\n"), F.lit("\n")), F.lit("\\b"), F.lit("\\"))
 
 
 def formatted(turns: DataFrame) -> DataFrame:

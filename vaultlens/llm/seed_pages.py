@@ -19,7 +19,7 @@ _TEXT = (
 _MAIN = [
     ('<article data-main="1">', "</article>"),
     ('<main data-main="1">', "</main>"),
-    ('<main><article class="post" data-main="1">', "</article></main>"),
+    ('<main data-main="1"><article class="post">', "</article></main>"),
     ('<div id="content" data-main="1">', "</div>"),
     ('<div class="main-content" data-main="1">', "</div>"),
     ('<section class="article-body" data-main="1">', "</section>"),
