@@ -189,6 +189,31 @@ def test_latest_follows_the_dated_copy(spark, tmp_path, rows):
     assert rows(reports.read_csv(spark, reports.dated_path(base, "2024-01-30"), frame.schema))[0][0] == "old"
 
 
+NASTY_KEYS = [" lead", "trail ", "a\nb", "a\r\nb", 'quo"te', "com,ma", '"', "\t", "plain", "é\n,\"x\" "]
+
+
+def test_keys_come_back_as_they_are(spark, tmp_path):
+    frame = spark.createDataFrame(
+        [("b", key, n, "t", "c", None) for n, key in enumerate(NASTY_KEYS)], schemas.INVENTORY_REPORT
+    )
+    base = str(tmp_path / "r")
+    dated = reports.publish_csv(frame.repartition(3), base, DAY)
+    for path in (dated, reports.latest_path(base)):
+        assert sorted(r.key for r in inventory_source.read_report(spark, path).collect()) == sorted(NASTY_KEYS)
+    copies = {p.name: p.read_bytes() for p in Path(reports.latest_path(base)).iterdir() if not p.name.startswith(".")}
+    assert copies == {p.name: p.read_bytes() for p in Path(dated).iterdir() if not p.name.startswith(".")}
+
+
+def test_appended_file_names_are_known_again(spark, tmp_path):
+    names = [row for row in schemas.ARCHIVE_INVENTORY.fieldNames()]
+    assert "filename" in names
+    for key in NASTY_KEYS:
+        row = tuple(key if name == "filename" else None for name in names)
+        reports.append_csv(spark.createDataFrame([row], schemas.ARCHIVE_INVENTORY), str(tmp_path / "a"))
+    found = tables.read_archive_inventory(spark, str(tmp_path / "a"))
+    assert sorted(r.filename for r in found.collect()) == sorted(NASTY_KEYS)
+
+
 def test_publishing_as_latest_writes_once(spark, tmp_path):
     base = str(tmp_path / "r")
     frame = spark.createDataFrame([("a",)], "a string")

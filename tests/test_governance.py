@@ -230,6 +230,14 @@ def test_latest_status(spark):
     assert [tuple(r) for r in jobs.latest_status(frame).collect()] == [("j", "Complete", [])]
 
 
+@pytest.mark.parametrize("ended", ["Complete", "Failed", "Cancelled"])
+def test_an_ended_job_stays_ended_on_equal_times(spark, ended):
+    time = dt.datetime(2024, 1, 2)
+    rows = [("j", status, [], time) for status in ("Preparing", ended, "Ready", "Active")]
+    frame = spark.createDataFrame(rows, "job_id string, status string, failure_codes array<string>, time timestamp")
+    assert [r.status for r in jobs.latest_status(frame).collect()] == [ended]
+
+
 def test_result_files(spark):
     entries = [("succeeded", "b", "m", "1"), ("SUCCEEDED", "b", "m", "2"), ("failed", "b", "m", "3")]
     manifests = spark.createDataFrame([("f", "d", [*entries, (None, "b", "m", "4")], "s")], schemas.BATCH_MANIFEST)

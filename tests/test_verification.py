@@ -58,22 +58,14 @@ def counted(rows):
     return Counter(tuple(row) for row in rows.collect())
 
 
-def check(spark, source, replication, every_form=False):
+def check(spark, source, replication):
     s, r = side(spark, source), side(spark, replication)
     expected = brute(source, replication)
-    assert counted(v.join_once(s, r)) == expected
-    if every_form:
-        hashes = s.select(F.xxhash64("key", "version_id").alias("h")).distinct().collect()
-        assert counted(v.compare(s, r)) == expected
-        assert counted(v.compare(s, r, [row.h for row in hashes][::2])) == expected
-        assert counted(v.unfolded(v.join_folded(s, r))) == expected
+    assert counted(v.compare(s, r)) == expected
     counts = Counter()
     for row, n in expected.items():
         counts[row[3]] += n
-    found = v.count_by_checksum(s, r).first().asDict()
-    if every_form:
-        assert v.count(s, r).first().asDict() == found
-        assert v.count(s, r, [row.h for row in hashes][::2]).first().asDict() == found
+    found = v.count(s, r).first().asDict()
     assert [found[name] for name in v.COUNTS] == [counts[status] for status in v.STATUSES]
     assert found["total_objects"] == sum(counts.values())
     return found
@@ -116,7 +108,7 @@ def test_one_of_each_category(spark):
     source.append(src("f2"))
     replication = [rep("ok"), rep("differs", checksum="B"), rep("other"), rep("f1")]
     replication.append(rep("f2", status="failed"))
-    found = check(spark, source, replication, every_form=True)
+    found = check(spark, source, replication)
     assert [found[n] for n in v.COUNTS] == [1, 1, 1, 1, 1, 1]
     assert not found["is_ok"]
 
@@ -154,17 +146,39 @@ def test_a_third_of_all_rows_in_one_key(spark):
     """Repeats multiply as in a plain join, without forming pairs before the end."""
     source = [src("hot", checksum=c) for c in "ABCA" * 10] + [src(f"k{n}") for n in range(80)]
     replication = [rep("hot", checksum=c) for c in "AB" * 20] + [rep(f"k{n}") for n in range(70)]
-    found = check(spark, source, replication, every_form=True)
+    found = check(spark, source, replication)
     assert found["matches"] == 20 * 20 + 10 * 20 + 70
     assert found["mismatches"] == 40 * 40 - 600
 
 
-def test_many_copies_unfold(spark):
-    source = side(spark, [src("hot")]).crossJoin(spark.range(1200)).drop("id")
-    replication = side(spark, [rep("hot")]).crossJoin(spark.range(1000)).drop("id")
-    report = v.unfolded(v.join_folded(source, replication))
-    assert report.count() == 1_200_000
-    assert v.count_by_checksum(source, replication).first()["matches"] == 1_200_000
+def test_many_copies_are_spread(spark, tmp_path):
+    """The pairs of one object version are joined, and sorted, in several tasks."""
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "4k")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.1")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        copies = lambda row, n: (
+            side(spark, [row]).join(spark.range(0, n, 1, 4), F.lit(True)).withColumn("checksum", F.col("id").cast("string")).drop("id")
+        )
+        source, replication = copies(src("hot"), 1200), copies(rep("hot"), 1000)
+        assert v.count(source, replication).first()["mismatches"] == 1_200_000 - 1000
+        pairs = v.compared_pairs(source, replication)
+        assert pairs.count() == 1_200_000
+        assert pairs.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        v.report(pairs).write.parquet(str(tmp_path / "report"))
+        sizes = spark.read.parquet(str(tmp_path / "report")).groupBy(F.input_file_name()).count().collect()
+        assert len(sizes) > 3 and max(r["count"] for r in sizes) < 600_000
+    finally:
+        for name in (
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.autoBroadcastJoinThreshold",
+        ):
+            spark.conf.unset(name)
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
 
 
 def test_report_order(spark):
@@ -208,35 +222,9 @@ row = st.tuples(
     suppress_health_check=[HealthCheck.function_scoped_fixture],
 )
 @given(source=st.lists(row, max_size=8), replication=st.lists(row, max_size=8))
-def test_forms_agree_on_any_rows(spark, source, replication):
+def test_any_rows(spark, source, replication):
     check(
         spark,
         [("b", *r[:3], r[3], "SHA256") for r in source],
         [("b-repl", *r[:3], r[3], "SHA256") for r in replication],
-        every_form=True,
     )
-
-
-def test_frequent_objects_are_found_and_compared_apart(spark, monkeypatch):
-    monkeypatch.setattr(v, "FREQUENT_ROWS", 100)
-    hot = [src("hot", checksum=f"c{n % 3}") for n in range(150)]
-    cold = [src(f"k{n}") for n in range(300)]
-    source = side(spark, hot + cold)
-    replication = side(spark, [rep("hot", checksum="c1"), rep("k1"), rep("new")])
-    found = v.frequent_objects(source, replication)
-    assert found == [
-        r.h for r in source.where("key = 'hot'").select(F.xxhash64("key", "version_id").alias("h")).distinct().collect()
-    ]
-    assert v.count(source, replication).first()["mismatches"] == 100
-    routed = v.compare(source, replication)
-    assert Counter(tuple(r) for r in routed.collect()) == brute(
-        hot + cold, [rep("hot", checksum="c1"), rep("k1"), rep("new")]
-    )
-    assert " IN (" in routed._jdf.queryExecution().analyzed().toString()
-
-
-@pytest.mark.parametrize("form", [v.compare, v.join_once, v.join_folded])
-def test_no_cross_join(spark, form):
-    frame = form(side(spark, [src("a")]), side(spark, [rep("a")]))
-    plan = frame._jdf.queryExecution().executedPlan().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan

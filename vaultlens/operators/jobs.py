@@ -12,6 +12,9 @@ LATEST = "0000-00-00-LATEST"
 
 STATUS_FIELDS = ["status", "failure_codes"]
 
+#: Statuses after which a job changes no more.
+ENDED = ("complete", "failed", "cancelled")
+
 
 def receipt_keys(receipts: DataFrame, today: str) -> DataFrame:
     """The four names under which a receipt can be looked up.
@@ -62,11 +65,21 @@ def with_receipt(events: DataFrame, receipts: DataFrame) -> DataFrame:
     return events.join(ids, "job_id", "left_semi")
 
 
+def status_order(status: str = "status") -> Column:
+    """What decides between events of one time: an ended job does not run again."""
+    return F.lower(status).isin(*ENDED)
+
+
+def newest_change() -> Column:
+    """Struct whose maximum is the newest status of a job."""
+    return F.struct("time", status_order().alias("ended"), *STATUS_FIELDS)
+
+
 def latest_status(status: DataFrame) -> DataFrame:
-    """Newest status of each job."""
+    """Newest status of each job; of equal times, one that ends it."""
     return (
         status.groupBy("job_id")
-        .agg(F.max(F.struct("time", *STATUS_FIELDS)).alias("newest"))
+        .agg(F.max(newest_change()).alias("newest"))
         .select("job_id", *[f"newest.{name}" for name in STATUS_FIELDS])
     )
 

@@ -5,11 +5,11 @@ NULL version never finds a partner. The six categories are neither exclusive
 nor exhaustive: an object that failed on both sides is listed twice, and one
 verified on both sides without a recorded checksum is not listed at all.
 
-The normal case, in which an object version is listed about once per side, is
-one full outer join. Spark does not split the partitions of such a join, so
-object versions that fill a noticeable share of the rows are found beforehand
-with a sketch and compared on their own, folded to distinct rows with a count.
-Both ways are exact; the sketch only decides which one a row takes.
+Compared pairs come from an inner join and objects without a partner from two
+anti-joins, all on (key, version_id). Spark splits skewed partitions of each of
+them, so an object version that fills the table is spread over many tasks. Write
+each parsed side once where the messages are costly to parse: the sides are read
+once for each join. The counts need no pairs at all, see :func:`count`.
 """
 
 from __future__ import annotations
@@ -30,12 +30,6 @@ STATUSES = [
 SUCCEEDED = "succeeded"
 FAILED = "failed"
 
-#: Sketch of frequent object versions: how many it may report and track, and
-#: the number of rows from which a version is compared on its own.
-SKETCH_ITEMS = 1_000
-SKETCH_TRACKED = 100_000
-FREQUENT_ROWS = 100_000
-
 REPORT_COLUMNS = [
     "bucket",
     "key",
@@ -56,7 +50,6 @@ COUNTS = [
 ]
 
 _MESSAGE = "checksum_base64 STRING, checksumAlgorithm STRING"
-_FACTS = ["bucket", "key", "version_id", "task_status", "checksum", "checksum_algorithm"]
 
 
 def with_checksums(results: DataFrame) -> DataFrame:
@@ -90,50 +83,43 @@ def bad_messages(results: DataFrame) -> DataFrame:
     )
 
 
-def _object_hash() -> Column:
-    return F.xxhash64("key", "version_id")
-
-
 def _has_identity() -> Column:
     return F.col("key").isNotNull() & F.col("version_id").isNotNull()
 
 
-def frequent_objects(source: DataFrame, replication: DataFrame) -> list[int]:
-    """Hashes of object versions that fill a noticeable share of the rows.
-
-    A frequent-items sketch over two columns: one pass, no shuffle of rows, and
-    never more than :data:`SKETCH_ITEMS` numbers on the driver. A version with
-    more than about one in 30,000 rows does not escape it.
-    """
-    identified = source.where(_has_identity()).select(_object_hash().alias("item")).unionByName(
-        replication.where(_has_identity()).select(_object_hash().alias("item"))
-    )
-    sketch = identified.agg(
-        F.expr(f"approx_top_k(item, {SKETCH_ITEMS}, {SKETCH_TRACKED})").alias("items")
+def compare(source: DataFrame, replication: DataFrame) -> DataFrame:
+    """Every report row, in no order; inputs as from :func:`with_checksums`."""
+    return (
+        compared_pairs(source, replication)
+        .unionByName(_without_partner(source, replication, "missing_replica"))
+        .unionByName(_without_partner(replication, source, "missing_source"))
+        .unionByName(_alone(source, "failed_source", "missing_replica"))
+        .unionByName(_alone(replication, "failed_replication", "missing_source"))
     )
-    frequent = sketch.select(F.inline("items")).where(F.col("count") > FREQUENT_ROWS)
-    return sorted(row.item for row in frequent.collect())
 
 
-def _apart(frequent: list[int]) -> Column:
-    return F.coalesce(_object_hash().isin(frequent), F.lit(False))
-
+def compared_pairs(source: DataFrame, replication: DataFrame) -> DataFrame:
+    """Pairs of succeeded rows that both have a checksum: ok or mismatch."""
+    usable = (F.col("task_status") == SUCCEEDED) & F.col("checksum").isNotNull()
+    other = replication.where(usable).select(
+        "key", "version_id", F.col("checksum").alias("checksum_replication")
+    )
+    same = F.col("checksum_source") == F.col("checksum_replication")
+    return (
+        source.where(usable)
+        .withColumnRenamed("checksum", "checksum_source")
+        .join(other, ["key", "version_id"])
+        .withColumn("status", F.when(same, F.lit("ok")).otherwise(F.lit("mismatch")))
+        .select(*REPORT_COLUMNS)
+    )
 
-def compare(
-    source: DataFrame, replication: DataFrame, frequent: list[int] | None = None
-) -> DataFrame:
-    """Every report row, in no order; inputs as from :func:`with_checksums`.
 
-    ``frequent`` are the hashes of :func:`frequent_objects`, which is asked
-    when they are not given.
-    """
-    if frequent is None:
-        frequent = frequent_objects(source, replication)
-    if not frequent:
-        return join_once(source, replication)
-    apart = _apart(frequent)
-    return join_once(source.where(~apart), replication.where(~apart)).unionByName(
-        unfolded(join_folded(source.where(apart), replication.where(apart)))
+def _without_partner(side: DataFrame, other: DataFrame, missing: str) -> DataFrame:
+    """Succeeded rows whose object version the other side does not list."""
+    return (
+        side.where(_has_identity() & (F.col("task_status") == SUCCEEDED))
+        .join(other.where(_has_identity()).select("key", "version_id"), ["key", "version_id"], "left_anti")
+        .select(*_listed(F.lit(missing)))
     )
 
 
@@ -151,12 +137,6 @@ def _alone(side: DataFrame, failed: str, missing: str) -> DataFrame:
     )
 
 
-def _without_join(source: DataFrame, replication: DataFrame) -> DataFrame:
-    return _alone(source, "failed_source", "missing_replica").unionByName(
-        _alone(replication, "failed_replication", "missing_source")
-    )
-
-
 def _listed(status: Column) -> list[Column]:
     none = F.lit(None).cast("string")
     return [
@@ -170,134 +150,6 @@ def _listed(status: Column) -> list[Column]:
     ]
 
 
-def _partner_status() -> Column:
-    """Category of a succeeded source row, NULL where it has none."""
-    both_known = (
-        (F.col("r_status") == SUCCEEDED)
-        & F.col("checksum").isNotNull()
-        & F.col("r_checksum").isNotNull()
-    )
-    return F.when(F.col("r_key").isNull(), F.lit("missing_replica")).when(
-        both_known,
-        F.when(F.col("checksum") == F.col("r_checksum"), F.lit("ok")).otherwise(
-            F.lit("mismatch")
-        ),
-    )
-
-
-def _as_partner(side: DataFrame) -> DataFrame:
-    return side.select(
-        F.col("bucket").alias("r_bucket"),
-        F.col("key").alias("r_key"),
-        F.col("version_id").alias("r_version_id"),
-        F.col("task_status").alias("r_status"),
-        F.col("checksum").alias("r_checksum"),
-        *[F.col(name).alias(f"r_{name}") for name in side.columns if name == "copies"],
-    )
-
-
-def _same_object() -> Column:
-    return (F.col("key") == F.col("r_key")) & (F.col("version_id") == F.col("r_version_id"))
-
-
-def _shown(name: str, checksum: Column) -> Column:
-    """Checksums are shown for compared pairs only."""
-    return F.when(F.col("status").isin("ok", "mismatch"), checksum).alias(name)
-
-
-def _checksums_shown() -> list[Column]:
-    return [
-        _shown("checksum_algorithm", F.col("checksum_algorithm")),
-        _shown("checksum_source", F.col("checksum")),
-        _shown("checksum_replication", F.col("r_checksum")),
-    ]
-
-
-def join_once(source: DataFrame, replication: DataFrame) -> DataFrame:
-    """Every report row from one full outer join: one shuffle of each side.
-
-    At most one status comes from a joined row, as failed tasks and rows
-    without a partner key are listed apart.
-    """
-    joined = source.where(_has_identity()).join(
-        _as_partner(replication.where(_has_identity())), _same_object(), "full_outer"
-    )
-    replica_only = F.col("key").isNull()
-    status = F.when(
-        replica_only, F.when(F.col("r_status") == SUCCEEDED, F.lit("missing_source"))
-    ).when(F.col("task_status") == SUCCEEDED, _partner_status())
-
-    def own(name: str) -> Column:
-        return F.when(replica_only, F.col(f"r_{name}")).otherwise(F.col(name)).alias(name)
-
-    return (
-        joined.withColumn("status", status)
-        .where(F.col("status").isNotNull())
-        .select(own("bucket"), own("key"), own("version_id"), "status", *_checksums_shown())
-        .unionByName(_without_join(source, replication))
-    )
-
-
-def _folded(side: DataFrame, facts: list[str] = _FACTS) -> DataFrame:
-    return side.groupBy(*facts).agg(F.count(F.lit(1)).alias("copies"))
-
-
-def join_folded(source: DataFrame, replication: DataFrame) -> DataFrame:
-    """Every report row once, with the number of its ``copies``.
-
-    Equal rows are counted with map-side combine first; the counts multiply in
-    the join. A left join settles the source side and an anti-join the replica
-    side: AQE splits skewed partitions of both, as it cannot for an outer join
-    of both sides.
-    """
-    done = F.col("task_status") == SUCCEEDED
-    own = source.where(_has_identity())
-    other = replication.where(_has_identity())
-    source_side = (
-        _folded(own.where(done))
-        .join(_as_partner(_folded(other)), _same_object(), "left")
-        .withColumn("status", _partner_status())
-        .where(F.col("status").isNotNull())
-        .select(
-            "bucket",
-            "key",
-            "version_id",
-            "status",
-            *_checksums_shown(),
-            (F.col("copies") * F.coalesce("r_copies", F.lit(1))).alias("copies"),
-        )
-    )
-    # No checksum is needed here, so the messages are not parsed for it.
-    missing_source = (
-        _folded(other.where(done), ["bucket", "key", "version_id"])
-        .join(own.select("key", "version_id").distinct(), ["key", "version_id"], "left_anti")
-        .select(*_listed(F.lit("missing_source")), "copies")
-    )
-    single = _without_join(source, replication).withColumn("copies", F.lit(1).cast("bigint"))
-    return source_side.unionByName(missing_source).unionByName(single)
-
-
-def unfolded(folded: DataFrame) -> DataFrame:
-    """One row per listed object, repeated by its number of copies.
-
-    Two nested repeats of about the square root keep each array small even
-    for a row that stands for very many.
-    """
-    width = F.ceil(F.sqrt(F.col("copies").cast("double")))
-    outer = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.col("width")))
-    inner = F.explode(
-        F.array_repeat(
-            F.lit(0), F.least(F.col("width"), F.col("copies") - F.col("begin")).cast("int")
-        )
-    )
-    return (
-        folded.withColumn("width", width)
-        .select("*", outer.alias("begin"))
-        .select(*REPORT_COLUMNS, inner.alias("repeat"))
-        .drop("repeat")
-    )
-
-
 def category_order() -> Column:
     """0 to 5, in the order in which the report lists the categories."""
     order = F.array(*[F.lit(status) for status in STATUSES])
@@ -308,10 +160,13 @@ def report(rows: DataFrame) -> DataFrame:
     """Compared rows in category order.
 
     The key columns break ties, so the range partitioning stays even although
-    nearly all rows share one category.
+    nearly all rows share one category. A place of their own, which is not kept,
+    spreads the rows of one object version too.
     """
-    return rows.select(*REPORT_COLUMNS).orderBy(
-        category_order(), "bucket", "key", F.col("version_id").asc_nulls_last()
+    return (
+        rows.select(*REPORT_COLUMNS, F.monotonically_increasing_id().alias("place"))
+        .orderBy(category_order(), "bucket", "key", F.col("version_id").asc_nulls_last(), "place")
+        .drop("place")
     )
 
 
@@ -342,30 +197,8 @@ def _tally(side: DataFrame, own: str, other: str) -> DataFrame:
     )
 
 
-def count(
-    source: DataFrame, replication: DataFrame, frequent: list[int] | None = None
-) -> DataFrame:
-    """Stats without the report; ``frequent`` as for :func:`compare`.
-
-    Frequent object versions are counted without forming their pairs.
-    """
-    if frequent is None:
-        frequent = frequent_objects(source, replication)
-    if not frequent:
-        return stats(join_once(source, replication))
-    apart = _apart(frequent)
-    both = (
-        stats(join_once(source.where(~apart), replication.where(~apart)))
-        .select(*COUNTS)
-        .unionByName(
-            count_by_checksum(source.where(apart), replication.where(apart)).select(*COUNTS)
-        )
-    )
-    return with_verdict(both.agg(*[F.sum(name).alias(name) for name in COUNTS]))
-
-
-def count_by_checksum(source: DataFrame, replication: DataFrame) -> DataFrame:
-    """Stats by counting instead of joining.
+def count(source: DataFrame, replication: DataFrame) -> DataFrame:
+    """Stats without the report, by counting instead of joining.
 
     The rows of a key that agree are the product of the counts of each
     checksum, those that differ are the rest of the product of both totals.

@@ -47,28 +47,21 @@ def verification_report(
 
     ``name`` is the source bucket, under which both are published.
 
-    Returns the one-row stats with the verdict. Report and stats come from one
-    comparison.
+    Returns the one-row stats with the verdict. The result files of each side are
+    parsed once.
     """
 
     def side(manifest: str) -> DataFrame:
         manifests = job_source.read_manifests(spark, manifest)
         paths = job_source.result_paths(manifests, results_root)
-        return verification.with_checksums(job_source.read_results(spark, paths))
+        parsed = verification.with_checksums(job_source.read_results(spark, paths))
+        return written(parsed, "verification-side")
 
-    compared = written(
-        verification.compare(side(source_manifest), side(replication_manifest)), "verification"
-    )
-    order = [
-        verification.category_order(),
-        "bucket",
-        "key",
-        F.col("version_id").asc_nulls_last(),
-    ]
+    sides = side(source_manifest), side(replication_manifest)
     reports.publish_csv(
-        verification.report(compared), f"{out}/reports/checksums/{name}", report_date, order
+        verification.report(verification.compare(*sides)), f"{out}/reports/checksums/{name}", report_date
     )
-    counts = verification.stats(compared)
+    counts = verification.count(*sides)
     stats = f"{out}/metadata/checksums/stats/{name}"
     reports.publish_json(counts.select(*STATS_COLUMNS), stats, report_date)
     stored = tables.read_verification_stats(spark, reports.dated_path(stats, report_date))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens import schemas
+from vaultlens.sinks.reports import read_csv
 
 SUPPORTED_FORMAT = "Parquet"
 
@@ -72,11 +73,4 @@ def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
     """Bucket and key of a published inventory report."""
-    return (
-        spark.read.schema(schemas.INVENTORY_REPORT)
-        .option("header", True)
-        .option("escape", '"')
-        .option("multiLine", False)
-        .csv(path)
-        .select("bucket", "key")
-    )
+    return read_csv(spark, path, schemas.INVENTORY_REPORT).select("bucket", "key")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vaultlens import schemas
+from vaultlens.sinks.reports import read_csv
 
 #: Tables of remote state by name: object metadata, bucket tags, bucket
 #: configuration, users, usage datapoints, costs and job status.
@@ -47,12 +48,7 @@ def read_access_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_archive_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Archive inventory CSV; an empty cell is NULL."""
-    return (
-        spark.read.schema(schemas.ARCHIVE_INVENTORY)
-        .option("header", True)
-        .option("escape", '"')
-        .csv(path)
-    )
+    return read_csv(spark, path, schemas.ARCHIVE_INVENTORY)
 
 
 def read_archive_catalogue(spark: SparkSession, path: str) -> DataFrame:
