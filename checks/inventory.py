@@ -71,17 +71,29 @@ def inventory_bucket_totals(view: View):
     return inventory.bucket_totals(_prefixes(view))
 
 
+_STATS_ROWS = _PREFIXES + """, stats_rows AS (
+  SELECT bucket, 'prefix' AS level, prefix, total_files, total_size FROM prefixes
+  UNION ALL SELECT bucket, 'bucket', NULL, total_files, total_size FROM totals)
+"""
+_ROW_DOCUMENT = """concat('{"level":"', level, '","bucket":"', bucket, '",', CASE WHEN prefix IS NULL THEN '' ELSE
+  concat('"prefix":"', prefix, '",') END, '"total_files":', total_files, ',"total_size":', total_size, '}')"""
+
+
+@query("inventory_stats_rows", _STATS_ROWS + "SELECT * FROM stats_rows")
+def inventory_stats_rows(view: View):
+    return inventory.stats_rows(_stored_prefixes(view))
+
+
 @query(
     "inventory_stats_documents",
-    _PREFIXES
-    + """SELECT t.bucket, concat('{"total_files":',t.total_files,',"total_size":',t.total_size,',"by_prefix":{',
-  string_agg(concat('"',p.prefix,'":{"total_files":',p.total_files,',"total_size":',p.total_size,'}'),',' ORDER BY p.prefix),'}}') AS document
-  FROM totals t, prefixes p WHERE t.bucket = p.bucket GROUP BY t.bucket, t.total_files, t.total_size""",
+    _STATS_ROWS + f"SELECT bucket, {_ROW_DOCUMENT} AS document FROM stats_rows",
 )
 def inventory_stats_documents(view: View):
-    return inventory.stats_documents(_stored_prefixes(view)).select(
+    """The rows as they are published."""
+    rows = inventory.stats_rows(_stored_prefixes(view))
+    return rows.select(
         "bucket",
-        F.to_json(F.struct("total_files", "total_size", "by_prefix")).alias("document"),
+        F.to_json(F.struct("level", "bucket", "prefix", "total_files", "total_size")).alias("document"),
     )
 
 
@@ -180,58 +192,54 @@ def storage_capacity(view: View):
     return storage.summary(_prefixes(view), CAPACITY)
 
 
-@query(
-    "storage_chart_series",
-    _PREFIXES
-    + """SELECT 'size' AS chart, concat('[',string_agg(concat('"',bucket,'"'),',' ORDER BY bucket),']') AS labels,
-  concat('[',string_agg(CAST(total_size AS VARCHAR),',' ORDER BY bucket),']') AS points FROM totals
-UNION ALL SELECT 'files', concat('[',string_agg(concat('"',bucket,'"'),',' ORDER BY bucket),']'),
-  concat('[',string_agg(CAST(total_files AS VARCHAR),',' ORDER BY bucket),']') FROM totals""",
-)
-def storage_chart_series(view: View):
-    return storage.chart_series(_stored_prefixes(view)).select(
-        "chart", F.to_json("labels").alias("labels"), F.to_json("values").alias("points")
-    )
+_POINTS_OF_CHARTS = _PREFIXES + """, placed AS (
+  SELECT *, row_number() OVER (ORDER BY bucket) - 1 AS position FROM totals)
+SELECT 'size' AS chart, position, bucket AS label, total_size AS value FROM placed
+UNION ALL SELECT 'files', position, bucket, total_files FROM placed"""
 
 
-@query(
-    "storage_report_document",
-    _PREFIXES
-    + """, entries AS (SELECT t.bucket, concat('{"bucket":"',t.bucket,'","total_files":',t.total_files,',"total_size":',t.total_size,',"by_prefix":{',
-  string_agg(concat('"',p.prefix,'":{"total_files":',p.total_files,',"total_size":',p.total_size,'}'),',' ORDER BY p.prefix),'}}') AS entry
-  FROM totals t, prefixes p WHERE t.bucket = p.bucket GROUP BY t.bucket, t.total_files, t.total_size)
-SELECT concat('{"owner":"Acme","stack_name":"acme-main","generated_at":"2024-01-31T00:00:00Z","storage_capacity_bytes":null,"total_files":',
-  (SELECT CAST(sum(total_files) AS BIGINT) FROM totals),',"total_size":',(SELECT CAST(sum(total_size) AS BIGINT) FROM totals),',"buckets":[',
-  string_agg(entry,',' ORDER BY bucket),']}') AS document FROM entries""",
-)
-def storage_report_document(view: View):
-    prefixes = _stored_prefixes(view)
-    none = F.lit(None)
-    header = metrics.transfer_out(view("cost_usage"), "nobody", COSTS_AS_OF).select(
+@query("storage_chart_points", _POINTS_OF_CHARTS)
+@query("storage_chart_series", _POINTS_OF_CHARTS)
+def storage_chart_points(view: View):
+    return storage.chart_points(_prefixes(view))
+
+
+_REPORT_ROWS = _STATS_ROWS + f""", used AS (SELECT CAST(round(sum(TRY_CAST(usage_quantity AS DOUBLE)) * 1e9) AS BIGINT) AS sent FROM @cost_usage
+  WHERE period >= TIMESTAMP '1996-01-01' AND period < TIMESTAMP '1996-06-01' AND service = 'Amazon Simple Storage Service'
+    AND usage_group = 'S3: Data Transfer - Internet (Out)' AND stack_tag = 'acme-main')
+SELECT level, bucket, prefix, {_ROW_DOCUMENT} AS document FROM stats_rows
+UNION ALL SELECT 'stack', NULL, NULL, concat('{{"level":"stack","owner":"Acme","stack_name":"acme-main","generated_at":"2024-01-31T00:00:00Z",',
+  '"storage_capacity_bytes":null,', CASE WHEN sent > 0 THEN concat('"data_transfer_out_bytes":', sent,
+  ',"data_transfer_out_period_start":"1996-01-01","data_transfer_out_period_end":"1996-06-01",') ELSE '' END,
+  '"total_files":', (SELECT CAST(sum(total_files) AS BIGINT) FROM totals), ',"total_size":',
+  (SELECT CAST(sum(total_size) AS BIGINT) FROM totals), '}}') FROM used"""
+
+
+@query("storage_report_rows", _REPORT_ROWS)
+@query("storage_report_document", _REPORT_ROWS)
+def storage_report_rows(view: View):
+    header = metrics.transfer_out(view("cost_usage"), "acme-main", COSTS_AS_OF).select(
         F.lit("Acme").alias("owner"),
         F.lit("acme-main").alias("stack_name"),
         F.lit("2024-01-31T00:00:00Z").alias("generated_at"),
-        none.cast("bigint").alias("storage_capacity_bytes"),
+        F.lit(None).cast("bigint").alias("storage_capacity_bytes"),
         "data_transfer_out_bytes",
         "data_transfer_out_period_start",
         "data_transfer_out_period_end",
     )
-    documents = inventory.stats_documents(prefixes)
-    return storage.report_documents(documents, header).select("document")
+    return storage.report_rows(inventory.stats_rows(_stored_prefixes(view)), header)
 
 
 @query(
     "storage_buckets_with_stats",
-    _PREFIXES
-    + "SELECT b.bucket, t.total_files, t.total_size FROM (SELECT DISTINCT bucket FROM @inventory WHERE bucket <> 'acme-main-p') b, totals t WHERE b.bucket = t.bucket",
+    _STATS_ROWS
+    + """SELECT bucket, level, prefix, total_files, total_size FROM stats_rows WHERE bucket IN
+  (SELECT bucket FROM @inventory UNION SELECT bucket FROM @manifests)""",
 )
 def storage_buckets_with_stats(view: View):
-    rows = view("inventory")
-    wanted = rows.where(F.col("bucket") != "acme-main-p").select("bucket").distinct()
-    documents = inventory.stats_documents(written(inventory.prefix_stats(rows), "prefixes"))
-    return storage.with_latest_stats(wanted, documents).select(
-        "bucket", "total_files", "total_size"
-    )
+    """Buckets of all inventories and manifests; those of manifests have no stats."""
+    wanted = view("inventory").select("bucket").union(view("manifests").select("bucket")).distinct()
+    return storage.with_latest_stats(wanted, inventory.stats_rows(_stored_prefixes(view)))
 
 
 @query(

@@ -272,9 +272,10 @@ def test_inventory_and_storage_run(spark, tmp_path):
     ).first()
     assert (summary.total_files, summary.total_size, summary.capacity_text) == (3, 150, "50.0% (of 300 B)")
     text = "".join(p.read_text() for p in Path(reports.latest_path(f"{out}/metadata/storage/stats")).glob("part-*"))
-    document = json.loads(text)
-    assert document["buckets"][0]["by_prefix"]["images"] == {"total_files": 2, "total_size": 100}
-    assert document["storage_capacity_bytes"] == 300 and "data_transfer_out_bytes" not in document
+    documents = [json.loads(line) for line in text.splitlines()]
+    assert {"level": "prefix", "bucket": "acme-main-a", "prefix": "images", "total_files": 2, "total_size": 100} in documents
+    stack = next(d for d in documents if d["level"] == "stack")
+    assert stack["storage_capacity_bytes"] == 300 and "data_transfer_out_bytes" not in stack
 
     heads = spark.createDataFrame(
         [("acme-main-a", "images/a", 1, "x", "crc", None, None, None)], schemas.OBJECT_HEAD
@@ -434,9 +435,9 @@ def test_prefix_table_of_published_documents(spark, tmp_path, rows):
         "bucket string, prefix string, total_files long, total_size long",
     )
     base = str(tmp_path / "stats")
-    reports.publish_json(inventory.stats_documents(prefixes), base, DAY)
+    reports.publish_json(inventory.stats_rows(prefixes), base, DAY)
     read = tables.read_bucket_stats(spark, reports.latest_path(base))
-    assert rows(storage.prefixes_of_documents(read)) == rows(prefixes)
+    assert rows(storage.prefixes_of_stats(read)) == rows(prefixes)
 
 
 def test_views_for_sql(spark, tmp_path):

@@ -61,24 +61,14 @@ def test_keys_are_taken_verbatim(spark):
     assert inventory.prefix_stats(frame).first().prefix == "a%2Fb"
 
 
-def test_documents_hold_sorted_prefixes(spark):
-    frame = table(spark, [("b", f"p{n}/x", n) for n in range(5)] + [("c", "x", 7)])
-    documents = inventory.stats_documents(inventory.prefix_stats(frame)).collect()
-    by_bucket = {d.bucket: d for d in documents}
-    assert list(by_bucket["b"].by_prefix) == ["p0", "p1", "p2", "p3", "p4"]
-    assert by_bucket["b"].total_files == 5 and by_bucket["b"].parts == 1
-    assert by_bucket["c"].by_prefix[""].total_size == 7
-
-
-def test_large_bucket_has_parts_that_add_up(spark):
-    """One bucket with most of the prefixes is divided, and nothing is lost."""
-    frame = table(spark, [("b", f"p{n}/x", 1) for n in range(60)] + [("c", "x/y", 1)])
-    documents = inventory.stats_documents(inventory.prefix_stats(frame), part_rows=10).collect()
-    parts = [d for d in documents if d.bucket == "b"]
-    assert len(parts) > 1 and {d.total_files for d in parts} == {60}
-    names = [name for d in parts for name in d.by_prefix]
-    assert sorted(names) == sorted({f"p{n}" for n in range(60)})
-    assert [d.parts for d in documents if d.bucket == "c"] == [1]
+def test_each_bucket_total_is_listed_once(spark):
+    """Also that of a bucket with very many prefixes."""
+    frame = table(spark, [("b", f"p{n}/x", n) for n in range(3000)] + [("c", "x", 7)])
+    found = inventory.stats_rows(inventory.prefix_stats(frame)).collect()
+    totals = {r.bucket: (r.total_files, r.total_size) for r in found if r.level == "bucket"}
+    assert totals == {"b": (3000, 2999 * 1500), "c": (1, 7)}
+    assert sum(r.level == "bucket" for r in found) == 2
+    assert {(r.bucket, r.prefix) for r in found if r.level == "prefix"} == {("b", f"p{n}") for n in range(3000)} | {("c", "")}
 
 
 def test_distinct_states_and_usage(spark, rows):
@@ -104,6 +94,9 @@ def test_latest_snapshot_prefers_today(spark, rows):
     assert rows(missing) == [("c",)]
 
 
+CHARTS = {"size": [("alpha", 60_000_000), ("beta", 40_000_000)], "files": [("alpha", 10), ("beta", 20)]}
+
+
 def stack(spark):
     return spark.createDataFrame(
         [("alpha", "", 10, 60_000_000), ("beta", "x", 20, 40_000_000)],
@@ -143,16 +136,19 @@ def test_shares_of_nothing_are_zero(spark):
     assert storage.bucket_shares(empty).first().pct_total_size == 0.0
 
 
-def test_chart_series(spark, rows):
-    series = {r.chart: r for r in storage.chart_series(stack(spark)).collect()}
-    assert series["size"].labels == ["alpha", "beta"]
-    assert series["size"]["values"] == [60_000_000, 40_000_000]
-    assert series["files"]["values"] == [10, 20]
-    parts = storage.chart_series(stack(spark), part_rows=1).collect()
-    assert sorted(label for p in parts if p.chart == "size" for label in p.labels) == [
-        "alpha",
-        "beta",
-    ]
+def test_chart_points(spark, rows):
+    assert rows(storage.chart_points(stack(spark))) == rows(
+        spark.createDataFrame(
+            [(chart, n, b, v) for chart, values in CHARTS.items() for n, (b, v) in enumerate(values)],
+            "chart string, position long, label string, value long",
+        )
+    )
+
+
+def test_positions_of_many_buckets(spark):
+    many = spark.range(5000).selectExpr("concat('b', lpad(id, 5, '0')) bucket", "'' prefix", "id total_files", "1L total_size")
+    found = storage.chart_points(many.repartition(9)).where("chart = 'files'").collect()
+    assert sorted((r.position, r.value) for r in found) == [(n, n) for n in range(5000)]
 
 
 def header(spark, capacity, transfer):
@@ -164,32 +160,34 @@ def header(spark, capacity, transfer):
     )
 
 
-def test_report_document(spark):
-    documents = inventory.stats_documents(stack(spark))
+def stack_row(rows):
+    return json.loads(next(r.document for r in rows.collect() if r.level == "stack"))
+
+
+def test_report_rows(spark):
     head = header(spark, None, (7, "2024-01-01", "2024-02-01"))
-    document = json.loads(storage.report_documents(documents, head).first().document)
+    found = storage.report_rows(inventory.stats_rows(stack(spark)), head)
+    document = stack_row(found)
     assert document["storage_capacity_bytes"] is None
     assert document["data_transfer_out_bytes"] == 7
-    assert document["total_size"] == 100_000_000
-    assert [b["bucket"] for b in document["buckets"]] == ["alpha", "beta"]
-    assert document["buckets"][1]["by_prefix"] == {
-        "x": {"total_files": 20, "total_size": 40_000_000}
-    }
+    assert (document["total_files"], document["total_size"]) == (30, 100_000_000)
+    others = [json.loads(r.document) for r in found.collect() if r.level != "stack"]
+    assert sorted(d["bucket"] for d in others if d["level"] == "bucket") == ["alpha", "beta"]
+    assert {"level": "prefix", "bucket": "beta", "prefix": "x", "total_files": 20, "total_size": 40_000_000} in others
 
 
-def test_report_document_without_transfer(spark):
-    documents = inventory.stats_documents(stack(spark))
-    text = storage.report_documents(documents, header(spark, 5, (None, None, None))).first()
-    assert "data_transfer" not in text.document
-    assert json.loads(text.document)["storage_capacity_bytes"] == 5
+def test_report_rows_without_transfer(spark):
+    document = stack_row(storage.report_rows(inventory.stats_rows(stack(spark)), header(spark, 5, (None, None, None))))
+    assert not [name for name in document if name.startswith("data_transfer")]
+    assert document["storage_capacity_bytes"] == 5
 
 
 def test_stats_join_and_warning(spark, rows):
-    documents = inventory.stats_documents(stack(spark))
+    stats = inventory.stats_rows(stack(spark))
     wanted = spark.createDataFrame([("alpha",), ("gamma",)], "bucket string")
-    assert storage.with_latest_stats(wanted, documents).count() == 1
-    assert rows(storage.without_stats(wanted, documents)) == [("gamma",)]
-    assert rows(storage.prefixes_of_documents(documents)) == rows(stack(spark))
+    assert storage.with_latest_stats(wanted, stats).count() == 2
+    assert rows(storage.without_stats(wanted, stats)) == [("gamma",)]
+    assert rows(storage.prefixes_of_stats(stats)) == rows(stack(spark))
 
 
 def test_sizes_as_text(spark):

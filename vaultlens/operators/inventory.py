@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from vaultlens.functions.names import first_path_segment, is_folder_marker
 from vaultlens.functions.text import size_or_zero, timestamp_text
-from vaultlens.operators.parts import DEFAULT_PART_ROWS, with_parts
 
 STATE_COLUMNS = [
     "bucket",
@@ -83,28 +82,21 @@ def bucket_totals(prefixes: DataFrame) -> DataFrame:
     )
 
 
-def stats_documents(prefixes: DataFrame, part_rows: int = DEFAULT_PART_ROWS) -> DataFrame:
-    """Totals of a bucket with a sorted map of its prefixes.
+def stats_rows(prefixes: DataFrame) -> DataFrame:
+    """Published stats: a row for each bucket and one for each of its prefixes.
 
-    A bucket with more than ``part_rows`` prefixes has several parts; the
-    totals of each are those of the whole bucket.
+    ``level`` is bucket or prefix; a bucket row has no prefix. The layout is the
+    same however many prefixes a bucket has, and no bucket is gathered in one
+    place. Bucket rows alone add up to the stack.
     """
-    totals = bucket_totals(prefixes).drop("prefix_count")
-    entries = prefixes.select(
+    totals = bucket_totals(prefixes).select(
         "bucket",
-        F.struct(
-            F.col("prefix").alias("key"),
-            F.struct("total_files", "total_size").alias("value"),
-        ).alias("entry"),
-    )
-    maps = (
-        with_parts(entries, ["bucket"], ["entry.key"], part_rows)
-        .groupBy("bucket", "part", "parts")
-        .agg(F.map_from_entries(F.sort_array(F.collect_list("entry"))).alias("by_prefix"))
-    )
-    return maps.join(totals, "bucket").select(
-        "bucket", "part", "parts", "total_files", "total_size", "by_prefix"
+        F.lit("bucket").alias("level"),
+        F.lit(None).cast("string").alias("prefix"),
+        "total_files",
+        "total_size",
     )
+    return totals.unionByName(prefixes.withColumn("level", F.lit("prefix")))
 
 
 def distinct_states(snapshots: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaultlens.functions.text import bytes_text, percent, percent_text
 from vaultlens.operators import inventory
-from vaultlens.operators.parts import DEFAULT_PART_ROWS, join_totals, with_parts_of_all
+from vaultlens.operators.places import numbered
 
 
 def with_latest_stats(buckets: DataFrame, stats: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def without_stats(buckets: DataFrame, stats: DataFrame) -> DataFrame:
     return buckets.join(stats.select("bucket").distinct(), "bucket", "left_anti")
 
 
-def prefixes_of_documents(documents: DataFrame) -> DataFrame:
-    """Stats documents back to the long prefix table."""
-    return documents.select("bucket", F.explode("by_prefix").alias("prefix", "stats")).select(
-        "bucket", "prefix", "stats.total_files", "stats.total_size"
+def prefixes_of_stats(stats: DataFrame) -> DataFrame:
+    """Published stats back to the prefix table."""
+    return stats.where(F.col("level") == "prefix").select(
+        "bucket", "prefix", "total_files", "total_size"
     )
 
 
@@ -49,13 +49,13 @@ def bucket_shares(prefixes: DataFrame) -> DataFrame:
 def prefix_shares(prefixes: DataFrame) -> DataFrame:
     """Files and bytes of each prefix, and its percent of the bucket.
 
-    A salted join with the bucket totals rather than a window: no bucket has
-    to fit into one task.
+    A join with the bucket totals rather than a window: Spark splits a bucket
+    with very many prefixes, so none has to fit into one task.
     """
     totals = inventory.bucket_totals(prefixes).select(
         "bucket", F.col("total_size").alias("bucket_size")
     )
-    return join_totals(prefixes, totals, ["bucket"], ["prefix"]).select(
+    return prefixes.join(totals, "bucket").select(
         "bucket",
         "prefix",
         "total_files",
@@ -109,65 +109,30 @@ def formatted_prefixes(prefixes: DataFrame) -> DataFrame:
     )
 
 
-def chart_series(prefixes: DataFrame, part_rows: int = DEFAULT_PART_ROWS) -> DataFrame:
-    """Labels and values by bucket name, one row per chart.
-
-    ``part`` is 0 and ``parts`` is 1 unless there are more than ``part_rows``
-    buckets.
-    """
-    points = F.explode(
+def chart_points(prefixes: DataFrame) -> DataFrame:
+    """Points of the two charts: label, value, and position by bucket name."""
+    point = F.explode(
         F.create_map(F.lit("size"), "total_size", F.lit("files"), "total_files")
     ).alias("chart", "value")
-    return (
-        with_parts_of_all(inventory.bucket_totals(prefixes), ["bucket"], part_rows)
-        .select("bucket", "part", "parts", points)
-        .groupBy("chart", "part", "parts")
-        .agg(F.sort_array(F.collect_list(F.struct("bucket", "value"))).alias("points"))
-        .select(
-            "chart",
-            "part",
-            "parts",
-            F.col("points.bucket").alias("labels"),
-            F.col("points.value").alias("values"),
-        )
-    )
+    return numbered(inventory.bucket_totals(prefixes), ["bucket"]).select(
+        F.col("bucket").alias("label"), "position", point
+    ).select("chart", "position", "label", "value")
 
 
-def report_documents(
-    documents: DataFrame,
-    header: DataFrame,
-    part_rows: int = DEFAULT_PART_ROWS,
-) -> DataFrame:
-    """The storage report as JSON text.
+def report_rows(stats: DataFrame, header: DataFrame) -> DataFrame:
+    """The storage report: level, bucket, prefix and a JSON document for each row.
 
-    ``documents`` are stats documents; ``header`` is one row with owner,
-    stack_name, generated_at, storage_capacity_bytes and the three
-    data_transfer_out columns. The capacity is always written, the transfer
-    fields only when known. More than ``part_rows`` buckets give several parts,
-    each with the header and the totals of the whole stack.
+    ``stats`` are rows as from :func:`vaultlens.operators.inventory.stats_rows`;
+    ``header`` is one row with owner, stack_name, generated_at,
+    storage_capacity_bytes and the three data_transfer_out columns. The stack
+    row has the header and the totals of all buckets; its capacity is always
+    written, the transfer fields only when known.
     """
-    totals = documents.select("bucket", "total_files", "total_size").distinct()
-    entries = documents.select(
-        "bucket",
-        F.struct("bucket", "total_files", "total_size", "by_prefix").alias("entry"),
-    )
-    body = (
-        with_parts_of_all(entries, ["bucket"], part_rows)
-        .groupBy("part", "parts")
-        .agg(F.collect_list("entry").alias("entries"))
-        .select(
-            "part",
-            "parts",
-            F.array_sort(
-                "entries",
-                lambda a, b: F.when(a["bucket"] < b["bucket"], -1)
-                .when(a["bucket"] > b["bucket"], 1)
-                .otherwise(0),
-            ).alias("buckets"),
-        )
-    )
+    totals = stats.where(F.col("level") == "bucket")
     fixed = F.to_json(
-        F.struct("owner", "stack_name", "generated_at", "storage_capacity_bytes"),
+        F.struct(
+            F.lit("stack").alias("level"), "owner", "stack_name", "generated_at", "storage_capacity_bytes"
+        ),
         {"ignoreNullFields": "false"},
     )
     optional = F.to_json(
@@ -175,28 +140,21 @@ def report_documents(
             "data_transfer_out_bytes",
             "data_transfer_out_period_start",
             "data_transfer_out_period_end",
-        ),
-        {"ignoreNullFields": "true"},
+            _grand_total(totals, "total_files").alias("total_files"),
+            _grand_total(totals, "total_size").alias("total_size"),
+        )
     )
-    head = header.select(fixed.alias("fixed"), optional.alias("optional"))
-    data = F.to_json(F.struct("total_files", "total_size", "buckets"))
-    inner = [_inside("fixed"), F.nullif(_inside("optional"), F.lit("")), _inside(data)]
-    return body.select(
-        "part",
-        "parts",
-        head.select("fixed").scalar().alias("fixed"),
-        head.select("optional").scalar().alias("optional"),
-        _grand_total(totals, "total_files").alias("total_files"),
-        _grand_total(totals, "total_size").alias("total_size"),
-        "buckets",
-    ).select(
-        "part",
-        "parts",
-        F.concat(F.lit("{"), F.concat_ws(",", *inner), F.lit("}")).alias("document"),
+    none = F.lit(None).cast("string")
+    stack = header.select(
+        F.lit("stack").alias("level"),
+        none.alias("bucket"),
+        none.alias("prefix"),
+        F.concat(F.lit("{"), _inside(fixed), F.lit(","), _inside(optional), F.lit("}")).alias("document"),
     )
+    own = F.to_json(F.struct("level", "bucket", "prefix", "total_files", "total_size"))
+    return stack.unionByName(stats.select("level", "bucket", "prefix", own.alias("document")))
 
 
-def _inside(text: Column | str) -> Column:
+def _inside(text: Column) -> Column:
     """A JSON object without its braces."""
-    text = F.col(text) if isinstance(text, str) else text
     return F.substr(text, F.lit(2), F.length(text) - F.lit(2))

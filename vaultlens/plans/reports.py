@@ -76,10 +76,10 @@ def inventory_report(
     out: str,
     report_date: str,
 ) -> DataFrame:
-    """Publish the inventory report and the stats documents of its buckets.
+    """Publish the inventory report and the stats of its buckets.
 
     ``name`` is the bucket, or any name for the manifests of several buckets
-    in one run. Returns the long prefix table the documents were built from.
+    in one run. Returns the prefix table the stats were built from.
     """
     manifests = inventory_source.read_manifests(spark, manifest)
     paths = inventory_source.file_paths(manifests, data_root)
@@ -89,7 +89,7 @@ def inventory_report(
     )
     prefixes = written(inventory.prefix_stats(rows), "prefix-stats")
     reports.publish_json(
-        inventory.stats_documents(prefixes),
+        inventory.stats_rows(prefixes),
         f"{out}/metadata/manifests/stats/{name}",
         report_date,
     )
@@ -117,7 +117,7 @@ def storage_report(
     latest = tables.read_bucket_stats(
         spark, reports.latest_path(f"{out}/metadata/manifests/stats/*")
     )
-    documents = storage.with_latest_stats(buckets.select("bucket"), latest)
+    stats = written(storage.with_latest_stats(buckets.select("bucket"), latest), "bucket-stats")
     if transfer is None:
         none = F.lit(None)
         transfer = spark.range(1).select(
@@ -134,11 +134,11 @@ def storage_report(
         }
     )
     reports.publish_text(
-        storage.report_documents(documents, header).select("document"),
+        storage.report_rows(stats, header).select("document"),
         f"{out}/metadata/storage/stats",
         report_date,
     )
-    return storage.summary(storage.prefixes_of_documents(documents), capacity)
+    return storage.summary(storage.prefixes_of_stats(stats), capacity)
 
 
 def checksum_inventory(

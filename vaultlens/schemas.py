@@ -128,15 +128,13 @@ VERIFICATION_STATS = _struct(
 
 PREFIX_STATS = _struct(("total_files", _L), ("total_size", _L))
 
-#: One stats document. ``part`` of ``parts`` is 0 of 1 except for buckets with
-#: a very large number of prefixes.
+#: Published stats: a row for each bucket and one for each of its prefixes.
 BUCKET_STATS = _struct(
     ("bucket", _S),
-    ("part", _L),
-    ("parts", _L),
+    ("level", _S),
+    ("prefix", _S),
     ("total_files", _L),
     ("total_size", _L),
-    ("by_prefix", MapType(_S, PREFIX_STATS)),
 )
 
 CHECKSUM_INVENTORY = _struct(

@@ -28,7 +28,7 @@ def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 
 def read_bucket_stats(spark: SparkSession, path: str) -> DataFrame:
-    """Published stats documents of all buckets."""
+    """Published stats rows of all buckets."""
     return spark.read.schema(schemas.BUCKET_STATS).json(path)
 
 
