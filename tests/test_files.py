@@ -345,65 +345,61 @@ def finish(query):
 
 
 def test_job_stream(spark, tmp_path):
-    receipts = spark.createDataFrame(
-        [("sb", "s1", "rb", "r1", "now"), ("sb2", "s2", "rb2", "r2", "now")], schemas.JOB_RECEIPT
-    )
-    seen: list[dict] = []
+    out = str(tmp_path / "out")
 
     def run():
-        state = streams.pair_readiness(
-            streams.job_events(spark, str(tmp_path / "events")), receipts
-        )
         finish(
-            streams.run_available(
-                state,
-                str(tmp_path / "checkpoint"),
-                lambda batch, _: seen.append({r.source_job_id: r.state for r in batch.collect()}),
-                mode="update",
+            streams.load_job_status(
+                streams.job_events(spark, str(tmp_path / "events")), out, str(tmp_path / "checkpoint")
             )
         )
 
+    def states(*receipts):
+        frame = spark.createDataFrame([(*r, "now") for r in receipts], schemas.JOB_RECEIPT)
+        found = jobs.readiness(frame, streams.read_job_status(spark, out)).collect()
+        return {r.source_job_id: r.state for r in found}
+
+    first, second = ("sb", "s1", "rb", "r1"), ("sb2", "s2", "rb2", "r2")
     write(tmp_path / "events/1.json", event("s1", "Complete", [], 1))
-    write(tmp_path / "events/2.json", event("other", "Complete", [], 1))
+    write(tmp_path / "events/2.json", event("s2", "Failed", ["InvalidManifestContent"], 3))
     run()
-    assert {k: v for batch in seen for k, v in batch.items()} == {"s1": "repl_unknown"}
+    assert states(first) == {"s1": "repl_unknown"}
     write(tmp_path / "events/3.json", event("r1", "Complete", [], 2))
     write(tmp_path / "events/4.json", event("s1", "Active", [], 0))
-    write(tmp_path / "events/5.json", event("s2", "Failed", ["InvalidManifestContent"], 3))
+    write(tmp_path / "events/5.json", event("s1", "Preparing", [], 1))
     run()
-    assert {k: v for batch in seen for k, v in batch.items()} == {"s1": "ready", "s2": "empty_source"}
+    # the receipt of s2 lands after its event
+    assert states(first, second) == {"s1": "ready", "s2": "empty_source"}
+    streams.compact_job_status(spark, out, str(tmp_path / "compacted"))
+    assert spark.read.parquet(str(tmp_path / "compacted")).count() == 3
 
 
 def test_manifest_stream(spark, tmp_path):
     inventory_files(spark, tmp_path / "in", OBJECTS)
-    done = []
-
-    def handle(batch, _):
-        for row in batch.select("manifest_path").toLocalIterator():
-            stats = plans.inventory_report(
-                spark, "a", row.manifest_path, str(tmp_path / "in"), str(tmp_path / "out"), DAY
-            )
-            done.append(stats.count())
-
+    out = str(tmp_path / "out")
     finish(
-        streams.run_available(
-            streams.manifest_arrivals(spark, str(tmp_path / "in")), str(tmp_path / "checkpoint"), handle
+        streams.load_inventory_reports(
+            streams.manifest_arrivals(spark, str(tmp_path / "in")), str(tmp_path / "in"), out, DAY, str(tmp_path / "cp")
         )
     )
-    assert done == [2]
+    read = inventory_source.read_report(spark, reports.latest_path(f"{out}/reports/manifests/batch=0"))
+    assert read.count() == 3
+    stats = tables.read_bucket_stats(spark, reports.latest_path(f"{out}/metadata/manifests/stats/*"))
+    assert storage.prefixes_of_stats(stats).count() == 2
 
 
 def test_request_stream(spark, tmp_path):
     write(tmp_path / "checksums/acme-main-a.txt", "go")
-    seen = []
+    listed = spark.createDataFrame([("acme-main-a", "k"), ("acme-main-b", "k")], "bucket string, key string")
+    heads = spark.createDataFrame([("acme-main-a", "k", 1, "x", "crc", None, None, None)], schemas.OBJECT_HEAD)
+    triggers = streams.request_triggers(spark, str(tmp_path / "checksums"))
     finish(
-        streams.run_available(
-            streams.request_triggers(spark, str(tmp_path / "checksums")),
-            str(tmp_path / "checkpoint"),
-            lambda batch, _: seen.extend(r.bucket for r in batch.collect()),
+        streams.load_checksum_requests(
+            triggers, listed, heads.union(heads), str(tmp_path / "out"), str(tmp_path / "checkpoint")
         )
     )
-    assert seen == ["acme-main-a"]
+    found = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.bucket, r.key, r.checksum) for r in found] == [("acme-main-a", "k", "crc")]
 
 
 def test_log_stream(spark, tmp_path):
@@ -426,7 +422,7 @@ def test_log_stream(spark, tmp_path):
     log = streams.read_loaded_log(spark, out)
     assert log.count() == 2 and "batch" not in log.columns
     assert log.where(F.col("event_date") == dt.date(2024, 2, 5)).count() == 2
-    assert spark.read.text(f"{out}/quarantine").count() == 1
+    assert [r.line for r in streams.read_quarantine(spark, out).collect()] == ["garbage"]
 
 
 def test_prefix_table_of_published_documents(spark, tmp_path, rows):

@@ -368,9 +368,18 @@ def test_large_collection_is_not_gathered(spark):
         plan = frame._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    below_grouping = plan[plan.index("min_by(") :].splitlines()
-    exchange = next(line for line in below_grouping if "Exchange" in line)
-    assert "hashpartitioning(collection_id" in exchange and "filename" in exchange
+    # from the grouping down to the scans: by file, and below that only the skip list by collection
+    exchanges = [line for line in plan[plan.index("min_by(") :].splitlines() if "Exchange" in line]
+    assert "hashpartitioning(collection_id" in exchanges[0] and "filename" in exchanges[0]
+    assert plan.index("min_by(") < plan.index("LeftAnti") < plan.index("LeftSemi")
+
+
+def test_skipped_collections_are_not_listed(spark):
+    rows = archive.rows_of_catalogue(catalogue(spark, [(1, "a", "warc"), (2, "b", "warc")]))
+    have = known(spark, (1, "a"))
+    totals = spark.createDataFrame([(1, 1), (2, 1)], "collection_id long, total long")
+    delta = archive.collection_delta(totals, have)
+    assert {r.filename for r in archive.new_files(rows, have, delta).collect()} == {"b"}
 
 
 def test_catalogue_round_trip(spark):

@@ -74,18 +74,28 @@ def quarantine(lines: DataFrame) -> DataFrame:
     return lines.where(~_is_record(_pieces())).select("line")
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """Typed log records of a DataFrame with one text column ``line``."""
+def parsed(lines: DataFrame, keep_others: bool = False) -> DataFrame:
+    """Typed log records of a DataFrame with one text column ``line``.
+
+    With ``keep_others`` every line gives a row: ``is_record`` tells records,
+    and other rows have only ``line``.
+    """
     field = {name: F.col("fields")[n] for n, name in enumerate(FIELDS)}
 
     def number(name: str, kind: str) -> Column:
         return dash_to_null(field[name]).try_cast(kind)
 
     # A generator, unlike a filter, does not evaluate the pattern a second time.
-    records = F.explode(F.filter(F.array(_pieces()), _is_record))
+    if keep_others:
+        found = lines.select("line", F.explode(F.array(_pieces())).alias("fields"))
+        found = found.withColumn("is_record", _is_record(F.col("fields")))
+        others = [F.when(~F.col("is_record"), F.col("line")).alias("line"), "is_record"]
+        found = found.withColumn("fields", F.when(F.col("is_record"), F.col("fields")))
+    else:
+        records = F.explode(F.filter(F.array(_pieces()), _is_record))
+        found, others = lines.select(records.alias("fields")), []
     return (
-        lines.select(records.alias("fields"))
-        .select(
+        found.select(
             field["bucket_owner"].alias("bucket_owner"),
             field["bucket"].alias("bucket"),
             log_time(field["time_str"]).alias("event_time"),
@@ -111,6 +121,7 @@ def parsed(lines: DataFrame) -> DataFrame:
             field["host_header"].alias("host_header"),
             field["tls_version"].alias("tls_version"),
             dash_to_null(field["access_point_arn"]).alias("access_point_arn"),
+            *others,
         )
     )
 

@@ -100,13 +100,18 @@ def collection_delta(totals: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
-def _files(rows: DataFrame, *figures: Column) -> DataFrame:
-    """WARC rows grouped by file.
+def _listed(rows: DataFrame, delta: DataFrame | None) -> DataFrame:
+    """WARC rows of the collections to process, dealt out by file.
 
-    Always grouped before anything is matched by collection: a join by
-    collection first would leave a large collection whole in one task.
+    Skipped collections go before anything is shuffled by file. That join is by
+    collection, and Spark splits a large one; the rows are then dealt by file, as
+    a grouping by file could otherwise keep all of a collection in one task.
     """
-    return rows.where(F.col("filetype") == WARC).groupBy(*FILE_KEY).agg(*figures)
+    listed = rows.where(F.col("filetype") == WARC)
+    if delta is not None:
+        wanted = delta.where(~F.col("skip")).select("collection_id")
+        listed = listed.join(wanted, "collection_id", "left_semi")
+    return listed.repartition(*FILE_KEY)
 
 
 def new_files(rows: DataFrame, known: DataFrame, delta: DataFrame | None = None) -> DataFrame:
@@ -116,15 +121,13 @@ def new_files(rows: DataFrame, known: DataFrame, delta: DataFrame | None = None)
     the collections it marks as skipped.
     """
     columns = [name for name in rows.columns if name not in ("position", *FILE_KEY)]
-    fresh = (
-        _files(rows, F.min_by(F.struct(*columns), "position").alias("first"))
+    return (
+        _listed(rows, delta)
         .join(known.select(*FILE_KEY), FILE_KEY, "left_anti")
+        .groupBy(*FILE_KEY)
+        .agg(F.min_by(F.struct(*columns), "position").alias("first"))
         .select(*FILE_KEY, "first.*")
     )
-    if delta is None:
-        return fresh
-    wanted = delta.where(~F.col("skip")).select("collection_id")
-    return fresh.join(wanted, "collection_id", "left_semi")
 
 
 def run_stats(rows: DataFrame, known: DataFrame, delta: DataFrame) -> DataFrame:
@@ -135,7 +138,9 @@ def run_stats(rows: DataFrame, known: DataFrame, delta: DataFrame) -> DataFrame:
     """
     recorded = known.select(*FILE_KEY).distinct().withColumn("recorded", F.lit(True))
     per_collection = (
-        _files(rows, F.count(F.lit(1)).alias("listed"))
+        _listed(rows, delta)
+        .groupBy(*FILE_KEY)
+        .agg(F.count(F.lit(1)).alias("listed"))
         .join(recorded, FILE_KEY, "left")
         .groupBy("collection_id")
         .agg(
@@ -170,7 +175,7 @@ def audit(
     """Inventory rows with one of seven outcomes.
 
     ``objects`` are the stored objects of the archive bucket: key,
-    content_length, metadata and error, one row per key. The order of the
+    content_length, metadata and error; of repeated rows of a key one counts. The order of the
     tests matters: bad time, absent, unreadable, expired, then the match. A
     stored digest that differs wins over an equal size.
     """
@@ -179,7 +184,7 @@ def audit(
         F.greatest(F.coalesce("content_length", F.lit(0)), F.lit(0)).alias("stored_size"),
         F.element_at("metadata", SHA1_KEY).alias("stored_sha1"),
         F.col("error").alias("stored_error"),
-    )
+    ).dropDuplicates(["object_key"])
     key = F.concat(F.lit(key_prefix), F.col("filename"))
     stored_at = rfc3339("store_time")
     expired = (

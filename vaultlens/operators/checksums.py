@@ -20,8 +20,9 @@ NOT_FOUND_CODE = "NotFound"
 def checksum_inventory(objects: DataFrame, heads: DataFrame) -> DataFrame:
     """Each listed object with the checksum recorded in its metadata.
 
-    ``objects`` has bucket and key; ``heads`` has one row of metadata per
-    object, with an error code where reading it failed. An error is looked at
+    ``objects`` has bucket and key; ``heads`` has the metadata of each object,
+    with an error code where reading it failed; of repeated rows of an object
+    one counts, so that no object is counted twice. An error is looked at
     before the checksum. Fields without a value are empty text, and the size
     is NULL where there was nothing to read.
     """
@@ -34,7 +35,7 @@ def checksum_inventory(objects: DataFrame, heads: DataFrame) -> DataFrame:
         "content_type",
         "checksum_crc64_nvme",
         "checksum_sha256",
-    )
+    ).dropDuplicates(["bucket", "key"])
     absent = F.col("seen").isNull() | (F.col("error") == NOT_FOUND_CODE)
     status = (
         F.when(F.coalesce(absent, F.lit(False)), F.lit(NOT_FOUND))

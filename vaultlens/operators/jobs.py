@@ -75,12 +75,13 @@ def newest_change() -> Column:
     return F.struct("time", status_order().alias("ended"), *STATUS_FIELDS)
 
 
-def latest_status(status: DataFrame) -> DataFrame:
+def latest_status(status: DataFrame, keep_time: bool = False) -> DataFrame:
     """Newest status of each job; of equal times, one that ends it."""
+    fields = [*STATUS_FIELDS, "time"] if keep_time else STATUS_FIELDS
     return (
         status.groupBy("job_id")
         .agg(F.max(newest_change()).alias("newest"))
-        .select("job_id", *[f"newest.{name}" for name in STATUS_FIELDS])
+        .select("job_id", *[f"newest.{name}" for name in fields])
     )
 
 

@@ -170,6 +170,7 @@ def archive_inventory(
         if "PATH_NOT_FOUND" not in str(error):
             raise
         known = spark.createDataFrame([], schemas.ARCHIVE_INVENTORY)
+    known = written(known.select("collection_id", "filename"), "archive-known")
     delta = archive.collection_delta(totals, known)
     columns = schemas.ARCHIVE_INVENTORY.fieldNames()
     # Both results are written before the inventory they read is added to.
