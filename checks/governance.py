@@ -53,9 +53,11 @@ def buckets_by_type(view: View):
     return buckets.of_types(_typed(view), ["public", "standard"]).drop("tags")
 
 
-@query("buckets_of_no_type", "SELECT name, bucket_type FROM @buckets WHERE 1 = 0")
+@query("buckets_of_no_type", "SELECT name, bucket_type FROM @buckets WHERE bucket_type = 'internal'")
 def buckets_of_no_type(view: View):
-    return buckets.of_types(_typed(view), []).drop("tags")
+    """No type asked for adds nothing to those of one type."""
+    typed = _typed(view)
+    return buckets.of_types(typed, ["internal"]).union(buckets.of_types(typed, [])).drop("tags")
 
 
 _PAIRS = """
@@ -76,13 +78,13 @@ def bucket_pairs(view: View):
 @query(
     "bucket_pairs_strict",
     _PAIRS
-    + "SELECT s.name AS source, r.name AS replication FROM s, r WHERE r.name = concat(s.name,'-repl')",
+    + "SELECT s.name AS source, r.name AS replication, CASE WHEN r.name IS NULL THEN"
+    " concat('no replication bucket found for ', chr(39), s.name, chr(39)) END AS problem"
+    " FROM s LEFT JOIN r ON r.name = concat(s.name,'-repl')",
 )
 def bucket_pairs_strict(view: View):
-    """The sources of this check all have replicas, so nothing fails."""
-    typed = _typed(view)
-    alone = buckets.unpaired(typed).withColumnRenamed("source", "name")
-    return buckets.strict_pairs(typed.join(alone, "name", "left_anti"))
+    """Every source with the reason for which the strict rule fails the job."""
+    return buckets.pair_verdicts(_typed(view))
 
 
 @query(

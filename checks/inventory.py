@@ -11,7 +11,7 @@ from vaultlens import schemas
 from vaultlens.functions.text import bytes_text, percent, percent_text
 from vaultlens.operators import inventory, metrics, storage
 from vaultlens.plans.reports import written
-from vaultlens.sources.inventory import data_files
+from vaultlens.sources.inventory import data_files, with_format_problem
 
 SNAPSHOT_DAY = dt.date(1996, 3, 2)
 METRICS_AS_OF = dt.datetime(2024, 1, 31)
@@ -107,7 +107,8 @@ def inventory_distinct_states(view: View):
 
 @query(
     "inventory_object_list",
-    "SELECT bucket, key, size, last_modified_date, storage_class FROM (SELECT DISTINCT * FROM @snapshots) ORDER BY bucket, key",
+    """SELECT bucket, key, size, last_modified_date, storage_class FROM @snapshots
+  GROUP BY bucket, key, size, last_modified_date, storage_class, replication_status""",
 )
 def inventory_object_list(view: View):
     return inventory.object_list(inventory.distinct_states(view("snapshots")))
@@ -115,7 +116,9 @@ def inventory_object_list(view: View):
 
 @query(
     "inventory_by_bucket",
-    "SELECT bucket, count(*) AS objects, CAST(sum(size) AS BIGINT) AS total_bytes FROM (SELECT DISTINCT * FROM @snapshots) GROUP BY bucket",
+    """WITH states AS (SELECT bucket, any_value(size) AS bytes FROM @snapshots
+  GROUP BY bucket, key, size, last_modified_date, storage_class, replication_status)
+SELECT bucket, count(*) AS objects, CAST(sum(bytes) AS BIGINT) AS total_bytes FROM states GROUP BY bucket""",
 )
 def inventory_by_bucket(view: View):
     return inventory.usage_by_bucket(inventory.distinct_states(view("snapshots")))
@@ -145,19 +148,31 @@ def inventory_without_snapshot(view: View):
     return inventory.without_snapshot(manifests.select("bucket").distinct(), latest)
 
 
+def _manifests(view: View):
+    parsed = F.from_json("document", schemas.INVENTORY_MANIFEST).alias("manifest")
+    return view("manifest_json").select(parsed).select("manifest.*")
+
+
 @query(
     "inventory_manifest_files",
     """SELECT concat('acme-main-b',CAST(o_custkey AS STRING)) AS bucket, concat('data/',CAST(o_orderkey AS STRING),'-',n,'.parquet') AS key,
   CASE WHEN n = 0 THEN o_orderkey ELSE 7 END AS size, CASE WHEN n = 0 THEN md5(CAST(o_orderkey AS STRING)) ELSE 'x' END AS md5
-  FROM @orders, (SELECT unnest([0, 1]) AS n) WHERE o_orderkey % 10 <> 0""",
+  FROM @orders, (SELECT unnest([0, 1]) AS n)""",
 )
 def inventory_manifest_files(view: View):
-    manifests = (
-        view("manifest_json")
-        .select(F.from_json("document", schemas.INVENTORY_MANIFEST).alias("manifest"))
-        .select("manifest.*")
+    return data_files(_manifests(view))
+
+
+@query(
+    "inventory_manifest_gate",
+    """SELECT concat('acme-main-b',CAST(o_custkey AS STRING)) AS bucket, concat('data/',CAST(o_orderkey AS STRING),'-0.parquet') AS first_file,
+  CASE WHEN o_orderkey % 10 = 0 THEN 'expected inventory format Parquet, got CSV' END AS problem FROM @orders""",
+)
+def inventory_manifest_gate(view: View):
+    """Every manifest with the reason for which the gate fails the job."""
+    return with_format_problem(_manifests(view)).select(
+        F.col("sourceBucket").alias("bucket"), F.col("files")[0]["key"].alias("first_file"), "problem"
     )
-    return data_files(manifests.where(F.col("fileFormat") == "Parquet"))
 
 
 @query(

@@ -21,18 +21,23 @@ def read_manifests(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def with_format_problem(manifests: DataFrame) -> DataFrame:
+    """Manifests with the ``problem`` of each that is in another format."""
+    wrong = F.concat(
+        F.lit(f"expected inventory format {SUPPORTED_FORMAT}, got "), F.coalesce("fileFormat", F.lit("none"))
+    )
+    return manifests.withColumn(
+        "problem", F.when(~F.col("fileFormat").eqNullSafe(F.lit(SUPPORTED_FORMAT)), wrong)
+    )
+
+
 def require_parquet(manifests: DataFrame) -> DataFrame:
     """Fail the job at the first manifest in another format."""
-    wrong = F.raise_error(
-        F.concat(
-            F.lit(f"expected inventory format {SUPPORTED_FORMAT}, got "),
-            F.coalesce("fileFormat", F.lit("none")),
-        )
-    )
-    return manifests.where(
-        F.when(F.col("fileFormat") == SUPPORTED_FORMAT, F.lit(True)).otherwise(
-            wrong.cast("boolean")
-        )
+    fail = F.raise_error(F.col("problem")).cast("boolean")
+    return (
+        with_format_problem(manifests)
+        .where(F.when(F.col("problem").isNull(), F.lit(True)).otherwise(fail))
+        .drop("problem")
     )
 
 
