@@ -434,47 +434,57 @@ def _config(view: View):
     )
 
 
+def _days(view: View):
+    """The same configuration on two snapshot days, the second without replicas."""
+    config = _config(view)
+    first = config.withColumn("snapshot_date", F.lit("1996-03-01"))
+    second = config.where("bucket_type <> 'replication'").withColumn("snapshot_date", F.lit("1996-03-02"))
+    return first.unionByName(second)
+
+
 _DRIFT = """
-WITH c AS (SELECT * FROM @config_flags),
+WITH days AS (SELECT unnest(['1996-03-01', '1996-03-02']) AS snapshot_date),
+c AS (SELECT * FROM days, (SELECT * FROM @config_flags) WHERE snapshot_date = '1996-03-01' OR bucket_type <> 'replication'),
 e AS (SELECT c.*, r.name IS NOT NULL AS paired,
   CASE WHEN tag_case IN ('NoSuchTagSet','AccessDenied') THEN NULL WHEN tag_case = 'valid' THEN rule_class
        WHEN lifecycle_case IN ('NoSuchLifecycleConfiguration','AccessDenied') THEN NULL ELSE rule_class END AS wanted
-  FROM c LEFT JOIN (SELECT name FROM c WHERE bucket_type = 'replication') r ON r.name = concat(c.name,'-repl')),
+  FROM c LEFT JOIN (SELECT snapshot_date AS day, name FROM c WHERE bucket_type = 'replication') r
+    ON r.name = concat(c.name,'-repl') AND day = snapshot_date),
 x AS (SELECT *, coalesce(wanted, CASE WHEN bucket_type = 'replication' THEN 'DEEP_ARCHIVE' ELSE 'INTELLIGENT_TIERING' END) AS expected FROM e),
 steps AS (
-SELECT name, bucket_type, 'transition-tag' AS step, CASE WHEN tag_case = 'NoSuchTagSet' THEN 'drift' WHEN tag_case = 'AccessDenied' THEN 'error'
+SELECT snapshot_date, name, bucket_type, 'transition-tag' AS step, CASE WHEN tag_case = 'NoSuchTagSet' THEN 'drift' WHEN tag_case = 'AccessDenied' THEN 'error'
   WHEN tag_case = 'valid' THEN 'ok' WHEN lifecycle_case = 'AccessDenied' THEN 'error' ELSE 'drift' END AS status FROM x WHERE bucket_type <> 'internal'
-UNION ALL SELECT name, bucket_type, 'versioning', CASE versioning_case WHEN 'on' THEN 'ok' WHEN 'off' THEN 'drift' ELSE 'error' END FROM x WHERE bucket_type <> 'internal'
-UNION ALL SELECT name, bucket_type, 'lifecycle', CASE WHEN lifecycle_case = 'AccessDenied' THEN 'error' WHEN lifecycle_case = 'good' AND expected = rule_class THEN 'ok' ELSE 'drift' END
+UNION ALL SELECT snapshot_date, name, bucket_type, 'versioning', CASE versioning_case WHEN 'on' THEN 'ok' WHEN 'off' THEN 'drift' ELSE 'error' END FROM x WHERE bucket_type <> 'internal'
+UNION ALL SELECT snapshot_date, name, bucket_type, 'lifecycle', CASE WHEN lifecycle_case = 'AccessDenied' THEN 'error' WHEN lifecycle_case = 'good' AND expected = rule_class THEN 'ok' ELSE 'drift' END
   FROM x WHERE bucket_type <> 'internal'
-UNION ALL SELECT name, bucket_type, 'replication', CASE WHEN NOT paired THEN 'error' WHEN replication_case = 'AccessDenied' THEN 'error' WHEN replication_case = 'good' THEN 'ok' ELSE 'drift' END
+UNION ALL SELECT snapshot_date, name, bucket_type, 'replication', CASE WHEN NOT paired THEN 'error' WHEN replication_case = 'AccessDenied' THEN 'error' WHEN replication_case = 'good' THEN 'ok' ELSE 'drift' END
   FROM x WHERE bucket_type IN ('standard','public')
-UNION ALL SELECT name, bucket_type, 'notifications', CASE bridge_case WHEN 'on' THEN 'ok' WHEN 'off' THEN 'drift' ELSE 'error' END FROM x WHERE bucket_type IN ('standard','public')
-UNION ALL SELECT name, bucket_type, 'logging', CASE logging_case WHEN 'good' THEN 'ok' WHEN 'AccessDenied' THEN 'error' ELSE 'drift' END FROM x WHERE bucket_type IN ('standard','public')
-UNION ALL SELECT name, bucket_type, 'inventory', CASE inventory_case WHEN 'good' THEN 'ok' WHEN 'AccessDenied' THEN 'error' ELSE 'drift' END FROM x WHERE bucket_type IN ('standard','public')
-UNION ALL SELECT name, bucket_type, 'public-access', CASE access_case WHEN 'good' THEN 'ok' ELSE 'drift' END FROM x WHERE bucket_type = 'public'
-UNION ALL SELECT name, bucket_type, 'bucket-policy', CASE policy_case WHEN 'good' THEN 'ok' WHEN 'broken' THEN 'error' ELSE 'drift' END FROM x WHERE bucket_type = 'public'
-UNION ALL SELECT name, bucket_type, 'setup', 'error' FROM x WHERE bucket_type = 'internal'),
-worst AS (SELECT name, bucket_type, CASE max(CASE status WHEN 'error' THEN 2 WHEN 'drift' THEN 1 ELSE 0 END) WHEN 2 THEN 'error' WHEN 1 THEN 'drift' ELSE 'ok' END AS status
-  FROM steps GROUP BY name, bucket_type)
+UNION ALL SELECT snapshot_date, name, bucket_type, 'notifications', CASE bridge_case WHEN 'on' THEN 'ok' WHEN 'off' THEN 'drift' ELSE 'error' END FROM x WHERE bucket_type IN ('standard','public')
+UNION ALL SELECT snapshot_date, name, bucket_type, 'logging', CASE logging_case WHEN 'good' THEN 'ok' WHEN 'AccessDenied' THEN 'error' ELSE 'drift' END FROM x WHERE bucket_type IN ('standard','public')
+UNION ALL SELECT snapshot_date, name, bucket_type, 'inventory', CASE inventory_case WHEN 'good' THEN 'ok' WHEN 'AccessDenied' THEN 'error' ELSE 'drift' END FROM x WHERE bucket_type IN ('standard','public')
+UNION ALL SELECT snapshot_date, name, bucket_type, 'public-access', CASE access_case WHEN 'good' THEN 'ok' ELSE 'drift' END FROM x WHERE bucket_type = 'public'
+UNION ALL SELECT snapshot_date, name, bucket_type, 'bucket-policy', CASE policy_case WHEN 'good' THEN 'ok' WHEN 'broken' THEN 'error' ELSE 'drift' END FROM x WHERE bucket_type = 'public'
+UNION ALL SELECT snapshot_date, name, bucket_type, 'setup', 'error' FROM x WHERE bucket_type = 'internal'),
+worst AS (SELECT snapshot_date, name, bucket_type, CASE max(CASE status WHEN 'error' THEN 2 WHEN 'drift' THEN 1 ELSE 0 END) WHEN 2 THEN 'error' WHEN 1 THEN 'drift' ELSE 'ok' END AS status
+  FROM steps GROUP BY snapshot_date, name, bucket_type)
 """
 
 
 @query("drift_steps", _DRIFT + "SELECT * FROM steps")
 def drift_steps(view: View):
-    return drift.report(drift.steps(_config(view)))
+    return drift.report(drift.steps(_days(view)))
 
 
 @query("drift_bucket_status", _DRIFT + "SELECT * FROM worst")
 def drift_bucket_status(view: View):
-    return drift.bucket_status(drift.steps(_config(view)))
+    return drift.bucket_status(_days(view))
 
 
 @query(
     "drift_summary",
     _DRIFT
-    + """SELECT count(*) AS processed, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'drift') AS drift,
-  count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'drift') = 0 AS is_ok FROM worst""",
+    + """SELECT snapshot_date, count(*) AS processed, count(*) FILTER (status = 'ok') AS ok, count(*) FILTER (status = 'drift') AS drift,
+  count(*) FILTER (status = 'error') AS errors, count(*) FILTER (status = 'drift') = 0 AS is_ok FROM worst GROUP BY snapshot_date""",
 )
 def drift_summary(view: View):
-    return drift.summary(drift.bucket_status(drift.steps(_config(view))), fail_on_drift=True)
+    return drift.summary(drift.bucket_status(_days(view)), fail_on_drift=True)

@@ -47,6 +47,8 @@ PROBLEMS = {
     "x-request": "reserved",
 }
 
+DAY = "2024-01-31"
+
 
 @pytest.fixture(scope="module")
 def one(spark):
@@ -331,6 +333,7 @@ def config(name="acme-main-a", kind="public", **changes):
         ),
         "public_access": (False, False, False, False),
         "policy": policy(name),
+        "snapshot_date": DAY,
     }
     row.update(changes)
     return tuple(row.get(field) for field in schemas.BUCKET_CONFIG.fieldNames())
@@ -357,7 +360,24 @@ def test_clean_buckets(spark, rows):
     steps = drift.steps(frame)
     assert steps.count() == 9 + 3
     assert {r.status for r in steps.collect()} == {"ok"}
-    assert tuple(drift.summary(drift.bucket_status(steps)).first()) == (2, 2, 0, 0, True)
+    assert tuple(drift.summary(drift.bucket_status(frame)).first()) == (DAY, 2, 2, 0, 0, True)
+
+
+def test_snapshots_of_two_days_are_kept_apart(spark):
+    """A replica of one day says nothing about the other; no row is doubled."""
+    frame = spark.createDataFrame(
+        [config(), REPLICA, REPLICA, config(snapshot_date="2024-02-01")], schemas.BUCKET_CONFIG
+    )
+    found = {(r.snapshot_date, r.name): r.status for r in drift.bucket_status(frame).distinct().collect()}
+    assert found == {
+        (DAY, "acme-main-a"): "ok",
+        (DAY, "acme-main-a-repl"): "ok",
+        ("2024-02-01", "acme-main-a"): "error",
+    }
+    assert drift.steps(frame).where("name = 'acme-main-a'").count() == 9 + 9
+    assert [r.processed for r in drift.summary(drift.bucket_status(frame)).orderBy("snapshot_date").collect()] == [3, 1]
+    plan = drift.bucket_status(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 1  # the replica's
 
 
 @pytest.mark.parametrize(
@@ -439,11 +459,11 @@ def test_summary_precedence(spark):
         ],
         schemas.BUCKET_CONFIG,
     )
-    found = drift.bucket_status(drift.steps(frame))
+    found = drift.bucket_status(frame)
     assert {r.name: r.status for r in found.collect()} == {
         "acme-main-a": "drift",
         "acme-main-a-repl": "ok",
         "acme-main-b": "error",
     }
-    assert tuple(drift.summary(found).first()) == (3, 1, 1, 1, True)
+    assert tuple(drift.summary(found).first()) == (DAY, 3, 1, 1, 1, True)
     assert not drift.summary(found, fail_on_drift=True).first().is_ok

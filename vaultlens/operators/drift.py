@@ -1,8 +1,9 @@
 """Which buckets differ from their expected configuration?
 
-Works on a table of configuration snapshots, one row per bucket, with an error
-code per section that could not be read. Each check yields ok, drift or error;
-the code for "not configured" is drift, any other code is an error.
+Works on a table of configuration snapshots, one row per bucket and snapshot
+date, with an error code per section that could not be read. Each check yields
+ok, drift or error; the code for "not configured" is drift, any other code is an
+error. Dates are kept apart: a bucket is compared with its replica of that date.
 """
 
 from __future__ import annotations
@@ -215,20 +216,32 @@ def _policy() -> Column:
 
 
 def with_replica(config: DataFrame) -> DataFrame:
-    """Add the name of the replica of each source bucket where there is one."""
+    """Add the name of the replica of each source bucket where there is one.
+
+    Repeated rows of a replica count as one.
+    """
     suffix = names.REPLICATION_SUFFIX
-    replicas = config.where(
-        (F.col("bucket_type") == "replication") & F.col("name").endswith(suffix)
-    ).select(
-        F.regexp_replace("name", f"{suffix}$", "").alias("name"),
-        F.col("name").alias("replica"),
+    replicas = (
+        config.where((F.col("bucket_type") == "replication") & F.col("name").endswith(suffix))
+        .select(
+            F.col("snapshot_date").alias("replica_date"),
+            F.regexp_replace("name", f"{suffix}$", "").alias("source"),
+            F.col("name").alias("replica"),
+        )
+        .distinct()
     )
-    return config.join(replicas, "name", "left")
+    same = (F.col("name") == F.col("source")) & F.col("snapshot_date").eqNullSafe(F.col("replica_date"))
+    return config.join(replicas, same, "left").drop("source", "replica_date")
 
 
-def steps(config: DataFrame) -> DataFrame:
-    """One row per bucket and check: name, bucket_type, step, status."""
-    checks = {
+def checked(config: DataFrame) -> DataFrame:
+    """One row per bucket and date with a struct ``checks`` of statuses by check.
+
+    Each check is worked out once; one that does not apply to the type of the
+    bucket is NULL. ``setup`` is an error for types that have no checks.
+    """
+    kind = F.col("bucket_type")
+    found = {
         "transition-tag": F.col("tag_status"),
         "versioning": _read("versioning_error", F.col("versioning") == "Enabled"),
         "lifecycle": _lifecycle(),
@@ -239,59 +252,54 @@ def steps(config: DataFrame) -> DataFrame:
         "public-access": _public_access(),
         "bucket-policy": _policy(),
     }
+    lists = {"standard": STANDARD_STEPS, "public": PUBLIC_STEPS, "replication": REPLICATION_STEPS}
+    statuses = [
+        F.when(kind.isin([name for name, steps in lists.items() if step in steps]), status).alias(step)
+        for step, status in found.items()
+    ]
+    setup = F.when(~F.coalesce(kind.isin(*lists), F.lit(False)), F.lit(ERROR)).alias("setup")
+    return with_transition_class(with_replica(config)).select(
+        "snapshot_date", "name", "bucket_type", F.struct(*statuses, setup).alias("checks")
+    )
 
-    def listed(wanted: list[str]) -> Column:
-        return F.array(
-            *[
-                F.struct(F.lit(step).alias("step"), checks[step].alias("status"))
-                for step in wanted
-            ]
-        )
 
-    unsupported = F.array(
-        F.struct(F.lit("setup").alias("step"), F.lit(ERROR).alias("status"))
-    )
-    results = (
-        F.when(F.col("bucket_type") == "standard", listed(STANDARD_STEPS))
-        .when(F.col("bucket_type") == "public", listed(PUBLIC_STEPS))
-        .when(F.col("bucket_type") == "replication", listed(REPLICATION_STEPS))
-        .otherwise(unsupported)
+CHECKS = [*PUBLIC_STEPS, "setup"]
+
+
+def steps(config: DataFrame) -> DataFrame:
+    """One row per bucket, date and check: step and status. No shuffle is needed."""
+    listed = F.array(
+        *[F.struct(F.lit(name).alias("step"), F.col(f"checks.`{name}`").alias("status")) for name in CHECKS]
     )
+    applied = F.filter(listed, lambda check: check["status"].isNotNull())
     return (
-        with_transition_class(with_replica(config))
-        .select("name", "bucket_type", F.explode(results).alias("result"))
-        .select("name", "bucket_type", "result.step", "result.status")
+        checked(config)
+        .select("snapshot_date", "name", "bucket_type", F.explode(applied).alias("result"))
+        .select("snapshot_date", "name", "bucket_type", "result.step", "result.status")
     )
 
 
 def report(step_rows: DataFrame) -> DataFrame:
     """Checks by bucket name, as the drift report lists them."""
-    return step_rows.orderBy("name", "step")
+    return step_rows.orderBy("snapshot_date", "name", "step")
 
 
-def bucket_status(step_rows: DataFrame) -> DataFrame:
-    """Worst status of each bucket."""
-    severity = (
-        F.when(F.col("status") == ERROR, F.lit(2))
-        .when(F.col("status") == DRIFT, F.lit(1))
-        .otherwise(F.lit(0))
-    )
-    worst = F.max(severity)
-    return step_rows.groupBy("name", "bucket_type").agg(
-        F.when(worst == 2, F.lit(ERROR))
-        .when(worst == 1, F.lit(DRIFT))
-        .otherwise(F.lit(OK))
-        .alias("status")
+def bucket_status(config: DataFrame) -> DataFrame:
+    """Worst status of each bucket and date, within its own row."""
+    any_is = lambda status: F.coalesce(
+        F.array_contains(F.array_compact(F.array(*[F.col(f"checks.`{name}`") for name in CHECKS])), status), F.lit(False)
     )
+    worst = F.when(any_is(ERROR), F.lit(ERROR)).when(any_is(DRIFT), F.lit(DRIFT)).otherwise(F.lit(OK))
+    return checked(config).select("snapshot_date", "name", "bucket_type", worst.alias("status"))
 
 
 def summary(status_rows: DataFrame, fail_on_drift: bool = False) -> DataFrame:
-    """Buckets processed, ok, with drift and with errors, and the verdict.
+    """Buckets processed, ok, with drift and with errors, and the verdict, by date.
 
     Only drift can fail a run, and only when asked to; errors are reported.
     """
     drift = F.count_if(F.col("status") == DRIFT)
-    return status_rows.agg(
+    return status_rows.groupBy("snapshot_date").agg(
         F.count(F.lit(1)).alias("processed"),
         F.count_if(F.col("status") == OK).alias("ok"),
         drift.alias("drift"),

@@ -274,6 +274,7 @@ REPLICATION_RULE = _struct(
 #: Configuration snapshot of a bucket. Each section has an ``_error`` column
 #: holding the error code met when the section was read, if any.
 BUCKET_CONFIG = _struct(
+    ("snapshot_date", _S),
     ("name", _S),
     ("bucket_type", _S),
     ("stack", _S),
