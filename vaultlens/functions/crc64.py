@@ -29,7 +29,8 @@ POLYNOMIAL = 0x9A6C9329AC4BC9B5
 ALL_ONES = 0xFFFFFFFFFFFFFFFF
 
 BLOCK = 256
-LENGTH_BITS = 48
+#: Lengths and offsets are non-negative 64-bit integers.
+LENGTH_BITS = 63
 #: Bytes digested in one vectorised pass; bounds the memory of a task.
 PASS_BYTES = 8 << 20
 
@@ -96,6 +97,8 @@ def move(registers: np.ndarray, lengths: np.ndarray, backward: bool = False) ->
     """Move each register by its own number of zero bytes."""
     out = registers.astype(np.uint64, copy=True)
     lengths = lengths.astype(np.int64)
+    if lengths.min(initial=0) < 0:
+        raise ValueError("a length or offset is negative")
     top = int(lengths.max(initial=0))
     for bit, tables in enumerate(_ladder(backward)):
         if top >> bit == 0:
@@ -106,14 +109,13 @@ def move(registers: np.ndarray, lengths: np.ndarray, backward: bool = False) ->
 
 
 def _raw_pass(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Zero-start registers of several slices of ``data``."""
+    """Zero-start registers of adjacent slices of ``data``."""
     blocks = np.maximum((lengths + BLOCK - 1) // BLOCK, 1)
     first = np.concatenate(([0], np.cumsum(blocks)))
     padded = np.zeros(int(first[-1]) * BLOCK, dtype=np.uint8)
     # Slices sit at the end of their blocks, so padding is in front.
-    begin = first[1:] * BLOCK - lengths
-    for at, start, length in zip(begin.tolist(), starts.tolist(), lengths.tolist()):
-        padded[at : at + length] = data[start : start + length]
+    runs = np.column_stack((blocks * BLOCK - lengths, lengths)).ravel()
+    padded[np.repeat(np.tile([False, True], len(blocks)), runs)] = data[starts[0] : starts[-1] + lengths[-1]]
 
     grid = np.ascontiguousarray(padded.view("<u2").reshape(-1, BLOCK // 2).T)
     table = _pair_table()
@@ -146,34 +148,27 @@ def raw_registers(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     starts = offsets[:-1].astype(np.int64)
     out = np.zeros(len(lengths), dtype=np.uint64)
     # Long values are digested in pieces, short ones many at a time.
-    pending: list[int] = []
-    held = 0
-
-    def flush() -> None:
-        nonlocal held
-        if pending:
-            rows = np.array(pending)
-            out[rows] = _raw_pass(data, starts[rows], lengths[rows])
-            pending.clear()
-            held = 0
-
-    for row, length in enumerate(lengths.tolist()):
-        if length > PASS_BYTES:
-            register = np.zeros(1, dtype=np.uint64)
-            for begin in range(0, length, PASS_BYTES):
-                size = np.array([min(PASS_BYTES, length - begin)])
-                piece = _raw_pass(data, starts[row : row + 1] + begin, size)
-                register = move(register, size) ^ piece
-            out[row] = register[0]
+    long = lengths > PASS_BYTES
+    passes = np.cumsum(np.where(long, 0, np.maximum(lengths, BLOCK))) // PASS_BYTES
+    edges = np.flatnonzero((np.diff(passes) > 0) | long[1:] | long[:-1]) + 1
+    for first, end in zip([0, *edges.tolist()], [*edges.tolist(), len(lengths)]):
+        if first == end:
             continue
-        if held + length > PASS_BYTES:
-            flush()
-        pending.append(row)
-        held += max(length, BLOCK)
-    flush()
+        if long[first]:
+            out[first] = _raw_long(data, starts[first : first + 1], int(lengths[first]))
+        else:
+            out[first:end] = _raw_pass(data, starts[first:end], lengths[first:end])
     return out
 
 
+def _raw_long(data: np.ndarray, start: np.ndarray, length: int) -> np.uint64:
+    register = np.zeros(1, dtype=np.uint64)
+    for begin in range(0, length, PASS_BYTES):
+        size = np.array([min(PASS_BYTES, length - begin)])
+        register = move(register, size) ^ _raw_pass(data, start + begin, size)
+    return register[0]
+
+
 def finish(registers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Add the start value and the final xor to zero-start registers."""
     start = np.full(len(registers), ALL_ONES, dtype=np.uint64)
