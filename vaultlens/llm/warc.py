@@ -191,8 +191,12 @@ def _commit(folder: str):
     return run
 
 
-def _uri(folder: str) -> str:
-    return folder if "://" in folder else "file:" + ("//" if folder.startswith("/") else "") + folder
+def _uri(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, as Spark understands it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = files.makeQualified(path).toUri().toString()
+    return f"file://{full.removeprefix('file:')}" if full.startswith("file:/") and full[5:7] != "//" else full
 
 
 def write(
@@ -208,7 +212,7 @@ def write(
     A folder whose store pyarrow's file systems cannot open is an error.
     """
     spark = prepare(pages.sparkSession)
-    folder = _uri(folder)
+    folder = _uri(spark, folder)
     bounds = shard_bounds(pages, shard_bytes)
     html = F.coalesce(F.col("html"), F.lit(""))
     shard = _shard(bounds).alias("shard")
@@ -281,7 +285,7 @@ def read(spark: SparkSession, folder: str, payloads: bool = False) -> DataFrame:
     One task reads a file at a time and holds one record of it.
     """
     prepare(spark)
-    folder = _uri(folder)
+    folder = _uri(spark, folder)
     manifest = spark.read.parquet(f"{folder}/_manifest")
     schema = T._parse_datatype_string(_READ)
     arrow = _arrow(schema)
