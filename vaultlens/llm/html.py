@@ -64,10 +64,10 @@ KINDS = {
     "advert": "ad ads advert advertisement advertising adbox sponsor sponsored promo promoted banner",
     "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs topbar toolbar pagination pager tabs toc",
     "header": "header masthead site-header pageheader",
-    "footer": "footer copyright colophon legal imprint",
-    "sidebar": "sidebar aside side rail widget widgets secondary",
+    "footer": "footer copyright colophon legal imprint contentinfo",
+    "sidebar": "sidebar aside side rail widget widgets secondary complementary",
     "comments": "comment comments commentlist disqus reply replies respond discussion",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay paywall subscribe newsletter signup",
+    "notice": "cookie cookies consent gdpr notice alert popup modal dialog overlay paywall subscribe newsletter signup",
     "form": "form login search searchform signin register",
     "related": "related recommended recommendations more-stories share sharing social follow tags taglist author-bio",
     "content": "article content post entry main story body text maincontent articlebody hentry page-content",
@@ -79,6 +79,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 _LABEL = re.compile(r"data-main\s*=\s*\"([01])\"")
 _WORD = re.compile(r"[a-z]+")
 
@@ -173,7 +174,7 @@ class Page:
             attributes = found[3] or ""
             kinds = _kinds(attributes) if "=" in attributes else frozenset()
             node, unseen = stack[-1][1], stack[-1][2]
-            if tag in UNSEEN:
+            if tag in UNSEEN or (attributes and _HIDDEN.search(attributes)):
                 unseen = True
                 if tag not in ("head", "title", "script", "style"):
                     add(" ")

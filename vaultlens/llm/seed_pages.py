@@ -62,6 +62,7 @@ _OTHER = [
     f'<div id="sidebar" data-main="0"><p>{_LINE}</p></div>',
     f'<form data-main="0">{_LINE}<input></form>',
     f'<section id="comments" data-main="0"><ol><li><p>{_TEXT}</p></li><li>{_LINE}</li></ol></section>',
+    f'<section id="comments" data-main="0"><article class="comment"><p>{_TEXT}</p></article></section>',
     f'<div class="related" data-main="0"><ul>{_LINKS}</ul></div>',
     f'<div class="share" data-main="0"><a href="/s">{_SHORT}</a></div>',
 ]
@@ -81,6 +82,10 @@ def seed_pages() -> Iterator[tuple[str, int]]:
                 0,
             )
             turn += 1
+    for start, end in _MAIN:
+        for body in (_SHORT, _LINE, _TEXT, f"<p>{_SHORT}</p>", f"<h1>{_SHORT}</h1><p>{_LINE}</p>"):
+            yield f"<html><body>{_OTHER[turn % len(_OTHER)]}{start}{body}{end}{_OTHER[-1 - turn % 5]}</body></html>", 0
+            turn += 1
     for other in _OTHER:
         for body in _BODY[:2]:
             yield f'<html><body data-main="1">{body}{other}</body></html>', 0
