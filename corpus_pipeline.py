@@ -44,7 +44,7 @@ STAGES = [
     ("mixing_sources", mixing_sources),
 ]
 
-#: SQL has no signatures and no connected components.
+#: Cutting passages out of a text until no word is hit is a loop that SQL lacks.
 ORACLE_SQL = None
 
 
