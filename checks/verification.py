@@ -70,7 +70,7 @@ def _written_sides(view: View, suffix: str = ""):
 @query("verification_report", _oracle(_REPORT))
 @query("verification_onepass_report", _oracle(_REPORT))
 def verification_report(view: View):
-    return verification.report(verification.compare(*_written_sides(view)))
+    return verification.report(written(verification.compare(*_written_sides(view)), "verification"))
 
 
 @query("verification_stats", _oracle(_STATS))

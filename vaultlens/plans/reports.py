@@ -58,9 +58,9 @@ def verification_report(
         return written(parsed, "verification-side")
 
     sides = side(source_manifest), side(replication_manifest)
-    reports.publish_csv(
-        verification.report(verification.compare(*sides)), f"{out}/reports/checksums/{name}", report_date
-    )
+    # the sort looks at its input twice, so that is written before
+    compared = written(verification.compare(*sides), "verification")
+    reports.publish_csv(verification.report(compared), f"{out}/reports/checksums/{name}", report_date)
     counts = verification.count(*sides)
     stats = f"{out}/metadata/checksums/stats/{name}"
     reports.publish_json(counts.select(*STATS_COLUMNS), stats, report_date)
