@@ -72,3 +72,16 @@ def test_clean_cuts_lines_and_keeps_columns(spark, edge_documents):
     assert len(found) == 40 and found[0]["text"] == rows[0][1] and found[0]["n_chars"] == 7
     assert found[5]["text"] == rows[5][1].split("\n")[0] and found[5]["n_chars"] == len(found[5]["text"])
     assert quality.clean(edge_documents).columns == edge_documents.columns
+
+
+def test_lines_of_a_large_host_are_judged_by_their_count(spark):
+    long, short = " ".join(f"notice{k}" for k in range(50)), "all rights reserved"
+    own = lambda n: " ".join(f"own{n}x{k}" for k in range(60))
+    shared = lambda n: ([long] if n < 30 or 200 <= n < 212 else []) + ([short] if 100 <= n < 130 or 200 <= n < 212 else [])
+    few = lambda n: [f"rare {long}"] if 300 <= n < 310 else ["a few words"] if 310 <= n < 330 else []
+    rows = [(n, "\n".join([own(n), *shared(n), *few(n)]), "h") for n in range(10_000)]
+    rows += [(20_000 + n, f"{own(20_000 + n)}\n{long}", "long only") for n in range(11)]
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4))
+    lost = {r["doc_id"]: r["words_removed"] for r in found.filter("words_removed > 0").collect()}
+    wanted = {n: 50 for n in range(1, 30)} | {n: 3 for n in range(101, 130)} | {n: 53 for n in range(200, 212)}
+    assert lost == wanted | {20_000 + n: 50 for n in range(1, 11)}

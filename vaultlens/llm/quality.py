@@ -2,7 +2,8 @@
 
 Lines are normalised and hashed; a line that more distinct documents of its host
 hold than the limit is removed everywhere but in the host's first document, and
-documents that lose too much of their words by it are rejected.
+documents that lose too much of their words by it are rejected. The limit is a
+count, lower for long lines, so it is the same in a host of any size.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from vaultlens.session import scratch_dir
 MIN_WORDS = 10
 WINDOW = 5
 MAX_REPEAT_PERCENT = 20
-#: A line is above the limit beyond both so many distinct documents of its host
-#: and this share of them.
+#: A line is above the limit beyond so many distinct documents of its host, a line
+#: of so many words or more already beyond the smaller number.
 MIN_LINE_DOCS = 20
+LONG_LINE_DOCS = 10
+LONG_LINE_WORDS = 20
+#: Share of the host's documents that the SQL of the registered query asks for besides.
 MAX_LINE_PERCENT = 10
 #: A document is depleted when fewer of its words than this share are left.
 MIN_LEFT_PERCENT = 30
@@ -113,23 +117,30 @@ def features(documents: DataFrame) -> DataFrame:
 
 
 def frequent_lines(
-    measured: DataFrame, min_docs: int = MIN_LINE_DOCS, max_percent: int = MAX_LINE_PERCENT
+    measured: DataFrame,
+    min_docs: int = MIN_LINE_DOCS,
+    max_percent: int | None = None,
+    long_docs: int = LONG_LINE_DOCS,
 ) -> DataFrame:
     """(source, hash, n_docs, first_doc) of the lines above the limits of their host.
 
     Exact copies of a document count as one. ``first_doc`` is the smallest id
-    among the documents with the line.
+    among the documents with the line. With ``max_percent`` a line must also be
+    in more than this share of the host's documents.
     """
     distinct = measured.groupBy("source", "content").agg(
-        F.first(F.array_distinct("lines.hash")).alias("hashes"), F.min("doc_id").alias("doc_id")
+        F.first(F.array_distinct("lines")).alias("lines"), F.min("doc_id").alias("doc_id")
     )
-    hosts = distinct.groupBy("source").agg(F.count("*").alias("host_docs"))
+    limit = F.when(F.col("words") >= LONG_LINE_WORDS, long_docs).otherwise(min_docs)
     lines = (
-        distinct.select("source", "doc_id", F.explode("hashes").alias("hash"))
-        .groupBy("source", "hash")
-        .agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-        .filter(F.col("n_docs") > min_docs)
+        distinct.select("source", "doc_id", F.explode("lines").alias("line"))
+        .groupBy("source", F.col("line.hash").alias("hash"))
+        .agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("line.words").alias("words"))
+        .filter(F.col("n_docs") > limit)
     )
+    if max_percent is None:
+        return lines.select("source", "hash", "n_docs", "first_doc")
+    hosts = distinct.groupBy("source").agg(F.count("*").alias("host_docs"))
     return (
         lines.alias("f")
         .join(hosts.alias("h"), F.col("f.source").eqNullSafe(F.col("h.source")))
@@ -157,8 +168,9 @@ def removed_lines(measured: DataFrame, frequent: DataFrame) -> DataFrame:
 def judge(
     documents: DataFrame,
     min_docs: int = MIN_LINE_DOCS,
-    max_percent: int = MAX_LINE_PERCENT,
+    max_percent: int | None = None,
     min_left_percent: int = MIN_LEFT_PERCENT,
+    long_docs: int = LONG_LINE_DOCS,
 ) -> DataFrame:
     """Features, ``base_failed``, ``words_removed`` and ``kept`` for each row.
 
@@ -170,7 +182,7 @@ def judge(
     folder = scratch_dir(spark, "quality")
     features(documents).write.parquet(folder)
     measured = spark.read.parquet(folder)
-    removed = removed_lines(measured, frequent_lines(measured, min_docs, max_percent))
+    removed = removed_lines(measured, frequent_lines(measured, min_docs, max_percent, long_docs))
     lost = F.coalesce(F.col("words_removed"), F.lit(0))
     failed = (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT

@@ -77,7 +77,9 @@ FROM m
 
 @query("op3_quality_rules", _QUALITY)
 def _quality_rules(table):
-    return quality.judge(table("documents")).select(
+    # the limits of the SQL: one count for all lines, and a share of the host
+    limits = {"max_percent": quality.MAX_LINE_PERCENT, "long_docs": quality.MIN_LINE_DOCS}
+    return quality.judge(table("documents"), **limits).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "words_removed", "kept",
     )
