@@ -97,3 +97,27 @@ def test_passages_are_cut_and_the_rest_stays(spark):
     assert found[2]["text"] == f"{around}. ! Ende, {around}"
     assert found[2]["n_chars"] == len(found[2]["text"])
     assert found[4]["text"] is None
+
+
+def test_number_of_automata_changes_no_cut(spark):
+    rows, items = case()
+    # 30 % by each of two items is 60 %; cutting one item joins the halves of another
+    pairs = [([f"p{n}x{k}" for k in range(12)], [f"q{n}x{k}" for k in range(12)]) for n in range(12)]
+    items += [(1000 + 2 * n + i, " ".join(item)) for n, pair in enumerate(pairs) for i, item in enumerate(pair)]
+    items += [(2000 + n, items[n][1]) for n in range(5)]
+    around = lambda n, size: " ".join(f"r{n}y{k}" for k in range(size))
+    half, nested = {}, {}
+    for n, (p, q) in enumerate(pairs):
+        half[3000 + n] = " ".join([*p, around(n, 16), *q])
+        nested[4000 + n] = (around(n, 40), [*p[:6], *q, *p[6:]])
+        nested[5000 + n] = (around(n, 40), [*q[:6], *p, *q[6:]])
+    rows += [*half.items(), *((doc_id, f"{text} {' '.join(inner)}") for doc_id, (text, inner) in nested.items())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    left = lambda block: Counter(map(tuple, decontamination.remove(docs, bench, block_words=block).collect()))
+    one, many = left(100_000), left(60)
+    assert one == many
+    found = {doc_id: text for doc_id, text in many}
+    assert not set(half) & set(found)
+    assert all(words(found[doc_id]) == words(text) for doc_id, (text, _) in nested.items())
+    assert not any(r[-1] for r in brute_force(list(found.items()), items))

@@ -19,7 +19,8 @@ from vaultlens.llm.tasks import binaries, prepare
 WINDOW = 10
 #: A document of which more than this share of words is hit is dropped.
 MAX_COVERAGE_PERCENT = 50
-#: Item words in one automaton; more items make more automata, run in turn.
+#: Item words in one automaton; more items make more automata. What they find is
+#: put together before anything is decided, so their number changes no result.
 BLOCK_WORDS = 100_000
 
 _KEPT = {*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)}
@@ -149,11 +150,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def automata(benchmark: DataFrame, window: int, block_words: int) -> Iterator[ItemAutomaton]:
-    """Automata of the items, each of about ``block_words`` words at most.
+    """Automata of the distinct items, each of about ``block_words`` words at most.
 
     The items of one block at a time come to the driver.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.agg(F.sum(F.regexp_count("text", F.lit("[0-9A-Za-z\\x80-\\x{10FFFF}]+")))).first()[0] or 0
     blocks = max(1, -(-total // block_words))
     own = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -249,51 +250,51 @@ def remove(
 ) -> DataFrame:
     """The documents without hit spans; those with too large a share of them go.
 
-    All columns stay; ``n_chars`` follows the text. A text is scanned again
-    after a cut, until none of its words is hit.
+    All columns stay; ``n_chars`` follows the text. The share is that of the words
+    hit by any item in the text as given. A text is scanned again after a cut, until
+    none of its words is hit by an item of any automaton.
     """
     spark = prepare(documents.sparkSession)
-    schema = documents.schema
-    names = documents.columns
-
-    def cleaner(shared):
-        def run(batches):
-            automaton = shared.value
-            for batch in batches:
-                texts = binaries(batch.column("text"))
-                changed, gone = {}, []
-                for row, text in enumerate(texts):
-                    found = words_of(text)
-                    spans, _ = automaton.scan(found)
-                    if not spans:
-                        continue
-                    if 100 * sum(z - a for a, z in spans) > max_coverage_percent * len(found):
-                        gone.append(row)
-                        continue
-                    while spans:
-                        text = cut(text, spans)
-                        spans, _ = automaton.scan(words_of(text))
-                    changed[row] = text.decode()
-                if changed:
-                    columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-                    values = columns["text"].to_pylist()
+    # which item is hit does not matter here: equal texts are one item
+    items = benchmark.select(F.lit(None).cast("string").alias("item_id"), "text")
+    shared = [spark.sparkContext.broadcast(automaton) for automaton in automata(items, window, block_words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [one.value for one in shared]
+
+        def hits(found: list[bytes]) -> list[tuple[int, int]]:
+            return merged([span for automaton in every for span in automaton.scan(found)[0]])
+
+        for batch in batches:
+            texts = binaries(batch.column("text"))
+            changed, gone = {}, []
+            for row, text in enumerate(texts):
+                found = words_of(text)
+                spans = hits(found)
+                if not spans:
+                    continue
+                if 100 * sum(z - a for a, z in spans) > max_coverage_percent * len(found):
+                    gone.append(row)
+                    continue
+                while spans:
+                    text = cut(text, spans)
+                    spans = hits(words_of(text))
+                changed[row] = text.decode()
+            if changed:
+                columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+                values = columns["text"].to_pylist()
+                for row, text in changed.items():
+                    values[row] = text
+                columns["text"] = pa.array(values, columns["text"].type)
+                if "n_chars" in columns:
+                    sizes = columns["n_chars"].to_pylist()
                     for row, text in changed.items():
-                        values[row] = text
-                    columns["text"] = pa.array(values, columns["text"].type)
-                    if "n_chars" in columns:
-                        sizes = columns["n_chars"].to_pylist()
-                        for row, text in changed.items():
-                            sizes[row] = len(text)
-                        columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
-                    batch = pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
-                if gone:
-                    dropped = set(gone)
-                    batch = batch.filter(pa.array([row not in dropped for row in range(batch.num_rows)]))
-                yield batch
-
-        return run
-
-    kept = documents
-    for automaton in automata(benchmark, window, block_words):
-        kept = kept.mapInArrow(cleaner(spark.sparkContext.broadcast(automaton)), schema)
-    return kept.select(*names)
+                        sizes[row] = len(text)
+                    columns["n_chars"] = pa.array(sizes, columns["n_chars"].type)
+                batch = pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
+            if gone:
+                dropped = set(gone)
+                batch = batch.filter(pa.array([row not in dropped for row in range(batch.num_rows)]))
+            yield batch
+
+    return documents.mapInArrow(run, documents.schema)
