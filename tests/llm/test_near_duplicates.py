@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -87,6 +88,51 @@ def test_kept_documents_keep_their_columns(edge_documents):
     assert ids.count(6) == 2 and {1, 2, 3, 4, 10, 12} <= set(ids)
 
 
+def kept_rows(rows):
+    """Rows kept of (doc_id, text), from all pairs of rows."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    group = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                group = [group[b] if g == group[a] else g for g in group]
+    out = Counter()
+    for g in set(group):
+        members = [rows[n] for n in range(len(rows)) if group[n] == g]
+        ids = [doc_id for doc_id, _ in members if doc_id is not None]
+        words = any(sets[n] for n in range(len(rows)) if group[n] == g)
+        if ids:
+            out.update(m for m in members if m[0] == min(ids))
+        else:
+            out.update([min(members, key=lambda m: hashlib.md5((m[1] or "").encode()).hexdigest())] if words else members)
+    return out
+
+
+def test_rows_without_id_or_of_a_shared_id_are_judged_by_their_text(spark):
+    pick = random.Random(9)
+    fresh = lambda: " ".join(f"v{pick.randrange(4000)}" for _ in range(60))
+    near = lambda text: text.replace(text.split()[0], "other", 1)
+    a, b, c, d, e, f = (fresh() for _ in range(6))
+    rows = [(1, a), (None, a), (None, fresh()), (None, fresh())]  # one null id is a copy
+    rows += [(2, b), (None, near(b)), (None, near(near(b)))]  # null ids near a document
+    rows += [(9, near(a)), (9, fresh()), (9, fresh())]  # one text of an id is a near copy
+    rows += [(None, c), (None, near(c)), (None, c), (None, c.upper())]  # null ids alone
+    rows += [(None, d), (None, d), (None, None), (None, ""), (None, " "), (None, None), (20, ""), (20, "")]
+    rows += [(30, e), (30, e), (30, near(e)), (31, e), (40, f), (12, near(f)), (None, f)]
+    # a null id joins two documents that are not near each other
+    chain = [f"c{k}" for k in range(60)]
+    rows += [(50, " ".join(chain)), (None, " ".join([*chain[5:], *(f"x{k}" for k in range(5))])),
+             (51, " ".join([*chain[10:], *(f"x{k}" for k in range(10))]))]
+    frame = spark.createDataFrame([(*r, "extra", "of") for r in rows], "doc_id long, text string, content string, gone_id string")
+    kept = near_duplicates.keep_one(frame.repartition(3))
+    assert kept.columns == frame.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == kept_rows(rows)
+    assert sum(kept_rows(rows).values()) < len(rows)
+
+
 def test_signature_hashes_follow_the_texts():
     one = near_duplicates.hashing.shingles(b"a b c d e f", 5)
     assert len(one) == 2

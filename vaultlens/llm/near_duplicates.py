@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaultlens.llm import hashing
@@ -58,7 +58,9 @@ def signature(values: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sketches of the texts, beside the other columns."""
     for batch in batches:
+        keys = [name for name in batch.schema.names if name != "text"]
         counts, digests, tokens = [], [], []
         for text in binaries(batch.column("text")):
             values = hashing.shingles(text, SHINGLE_WORDS)
@@ -67,12 +69,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens.append(signature(values).view(np.int64) if len(values) else np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays(
             [
-                batch.column("doc_id"),
+                *(batch.column(name) for name in keys),
                 pa.array(counts, pa.int64()),
                 pa.array(digests, pa.binary()),
                 pa.array(tokens, pa.list_(pa.int64())),
             ],
-            ["doc_id", "n_shingles", "digest", "tokens"],
+            [*keys, "n_shingles", "digest", "tokens"],
         )
 
 
@@ -172,18 +174,12 @@ def _written(frame: DataFrame, purpose: str) -> DataFrame:
     return frame.sparkSession.read.parquet(folder)
 
 
-def posted(sketches: DataFrame) -> DataFrame:
+def posted(classes: DataFrame) -> DataFrame:
     """(node, n, shared): the classes that can have links, and their tokens, rarest first.
 
-    A class is a distinct set, named by its smallest document id. ``shared``
-    leaves out tokens that no other class has.
+    ``classes`` are the distinct sets (node, n, tokens). ``shared`` leaves out tokens
+    that no other class has.
     """
-    classes = _written(
-        sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("digest")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens")),
-        "classes",
-    )
     tokens = classes.select("node", "n", F.explode("tokens").alias("token"))
     frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
     return (
@@ -244,13 +240,13 @@ def _across(held: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
     )
 
 
-def links(documents: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, component) of the classes with a link to another."""
+def links(given: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component) of the classes with a link to another, from texts (node, text)."""
     postings = _written(
         nodes.select("node", F.explode(F.slice("shared", 1, F.size("shared") - (MATCHES - 1))).alias("token")),
         "postings",
     )
-    texts = documents.select(F.col("doc_id").alias("node"), "text").join(nodes.select("node"), "node", "left_semi")
+    texts = given.join(nodes.select("node"), "node", "left_semi")
     texts = _written(texts.mapInArrow(_with_map, "node long, text string, map binary"), "texts")
     hubs = postings.groupBy("token").agg(F.min("node").alias("a"))
     stars = postings.join(hubs, "token").filter("node > a").select("a", F.col("node").alias("b")).distinct()
@@ -276,8 +272,13 @@ def find(documents: DataFrame) -> DataFrame:
     given = documents.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, digest binary, tokens array<long>"
     sketches = _written(given.mapInArrow(_sketch, schema), "sketches")
-    nodes = _written(posted(sketches), "nodes")
-    linked = links(given, nodes)
+    named = (
+        sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+        .groupBy("digest")
+        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    )
+    nodes = _written(posted(_written(named, "classes")), "nodes")
+    linked = links(given.withColumnRenamed("doc_id", "node"), nodes)
     classes = (
         sketches.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"))
         .join(linked, "node", "left")
@@ -292,10 +293,80 @@ def find(documents: DataFrame) -> DataFrame:
     )
 
 
+def content(text: Column) -> Column:
+    """Digest of a text; with the id it tells rows apart that differ in either."""
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def _gone(documents: DataFrame) -> DataFrame:
+    """(doc_id, content) of the rows whose component has another representative.
+
+    A class is a distinct set with a number of its own, whatever ids its rows have,
+    and is linked by the text of its first row. The first row of a component, in the
+    order of ids with null ids last, represents it.
+    """
+    keyed = documents.select("doc_id", content(F.col("text")).alias("content"), "text")
+    schema = "doc_id long, content string, n_shingles long, digest binary, tokens array<long>"
+    sketches = _written(keyed.mapInArrow(_sketch, schema), "sketches").filter("n_shingles > 0")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "content")
+    classes = _written(
+        sketches.groupBy("digest")
+        .agg(F.min(place).alias("row"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "classes",
+    )
+    nodes = _written(posted(classes), "nodes")
+    wanted = classes.join(nodes.select("node"), "node", "left_semi").select(
+        "node", F.col("row.doc_id").alias("id"), F.col("row.content").alias("of")
+    )
+    texts = (
+        keyed.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("content") == F.col("of")))
+        .select("node", "text")
+        .dropDuplicates(["node"])
+    )
+    own = classes.join(links(texts, nodes), "node", "left").select(
+        "digest", "row", F.coalesce("component", "node").alias("component")
+    )
+    firsts = own.groupBy("component").agg(F.min("row").alias("first"))
+    of_class = own.join(firsts, "component").select("digest", "first")
+    return (
+        sketches.select("doc_id", "content", "digest")
+        .join(of_class, "digest")
+        .filter(
+            ~F.col("doc_id").eqNullSafe(F.col("first.doc_id"))
+            | (F.col("doc_id").isNull() & (F.col("content") != F.col("first.content")))
+        )
+        .select("doc_id", "content")
+        .distinct()
+    )
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
     """The document with the smallest id of every component; all columns stay.
 
-    Of rows that share an id, each stays.
+    Rows are judged by their own text: one of an id's texts may go and another stay.
+    Of rows of a component that share its smallest id, each stays. A null id is no
+    id: such rows are linked as others are, go where a row with an id is in their
+    component, and else one of them stays. Rows without words all stay.
     """
-    gone = find(documents).filter("NOT kept").select("doc_id").distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    prepare(documents.sparkSession)
+    gone = _gone(documents.select("doc_id", "text")).select(
+        F.col("doc_id").alias("gone_id"), F.col("content").alias("gone_content")
+    )
+
+    def left(rows: DataFrame) -> DataFrame:
+        given = rows.select(F.struct("*").alias("doc"))
+        same = F.col("doc.doc_id").eqNullSafe(F.col("gone_id")) & (
+            content(F.col("doc.text")) == F.col("gone_content")
+        )
+        return given.join(gone, same, "left_anti")
+
+    with_words = F.coalesce(F.col("text").rlike(r"[^ \t-\r]"), F.lit(False))
+    nameless = F.col("doc_id").isNull() & with_words
+    once = (
+        left(documents.filter(nameless))
+        .withColumn("content", content(F.col("doc.text")))
+        .dropDuplicates(["content"])
+        .select("doc")
+    )
+    return left(documents.filter(~nameless)).unionByName(once).select("doc.*")
