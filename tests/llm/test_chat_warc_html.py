@@ -144,6 +144,21 @@ def test_html_of_other_layouts_and_edge_cases(spark):
     assert html.extract(frame.limit(0)).collect() == []
 
 
+def test_html_hides_by_attributes_only_and_keeps_math():
+    model = html.Model(html.seed_counts())
+    shown = ['title="The hidden valley"', "title='a hidden b'", 'data-title="A hidden gem"', 'class="prose hidden md:block"', 'aria-hidden="false"',
+             """onclick="this.style='display:none'" """, 'data-style="display:none"', 'style="display:nonesuch"', 'alt="x"title="hidden y"', '"hidden words"',
+             'title="a class=\'ad\' id=footer"', 'title=hidden', 'title = " hidden "']
+    for attributes in shown:
+        assert model.extract(f"<article {attributes}><p>{LONG}</p><p>Last</p></article>") == f"{LONG} Last", attributes
+        assert model.extract(f"<article><p>{LONG} <a {attributes}>link</a> end.</p></article>") == f"{LONG} link end.", attributes
+    for attributes in ["hidden", "HIDDEN", 'hidden=""', "hidden=until-found", "class=x hidden", "title='y'hidden/", 'style="color:red; DISPLAY : none !important"', "style=display:none", 'style="display&#58;none"']:
+        page = f"<article><p>{LONG}</p><div {attributes}><p>Unseen {LONG}</p></div><p>Last</p></article>"
+        assert model.extract(page) == f"{LONG} Last", attributes
+    formula = "<math display='block'><mrow><mi>a</mi><mo>+</mo><msup><mi>b</mi><mn>2</mn></msup></mrow></math>"
+    assert model.extract(f"<article><p>{LONG} With {formula} it holds.</p></article>") == f"{LONG} With a+b2 it holds."
+
+
 def test_marginals_are_those_of_all_assignments():
     model = html.Model(html.seed_counts())
     page = html.Page(f"<body><nav><a href='/'>x</a></nav><div class='post'><p>{LONG}</p><p>No.</p></div><footer>f</footer></body>")

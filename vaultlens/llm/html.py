@@ -35,14 +35,16 @@ SMOOTHING = 0.1
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Content of these is never text of the page.
 UNSEEN = frozenset(
-    "head title script style noscript template svg math iframe object canvas audio video select option button textarea".split()
+    "head title script style noscript template svg iframe object canvas audio video select option button textarea".split()
 )
 #: Read up to their end tag without looking for markup.
 RAW = frozenset("script style textarea title iframe noscript".split())
 #: Parts of a line, not nodes unless their names tell of something.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub "
-    "sup time tt u var del".split()
+    "sup time tt u var del math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced "
+    "menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd "
+    "maction semantics annotation annotation-xml".split()
 )
 #: Open elements that a start tag ends, up to the given ancestors.
 _P_ENDS = frozenset(
@@ -78,9 +80,8 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=[\"']))",
     re.S,
 )
-_NAMES = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
-_LABEL = re.compile(r"data-main\s*=\s*\"([01])\"")
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*none(?![\w-])", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 
@@ -171,10 +172,10 @@ class Page:
                 if tag == "hr":
                     end_run()
                 continue
-            attributes = found[3] or ""
-            kinds = _kinds(attributes) if "=" in attributes else frozenset()
+            attributes = _attributes(found[3]) if found[3] else {}
+            kinds = _kinds(attributes) if attributes else frozenset()
             node, unseen = stack[-1][1], stack[-1][2]
-            if tag in UNSEEN or (attributes and _HIDDEN.search(attributes)):
+            if tag in UNSEEN or (attributes and _is_hidden(attributes)):
                 unseen = True
                 if tag not in ("head", "title", "script", "style"):
                     add(" ")
@@ -183,8 +184,7 @@ class Page:
                 self.parent.append(node)
                 self.tag.append(tag)
                 self.kinds.append(kinds)
-                told = _LABEL.search(attributes) if "data-main" in attributes else None
-                self.label.append(int(told[1]) if told else None)
+                self.label.append({"0": 0, "1": 1}.get(attributes.get("data-main")))
                 self.own.append(0)
                 self.linked.append(0)
                 node = len(self.parent) - 1
@@ -258,10 +258,24 @@ KNOWN_TAGS = frozenset(
 MARKED_TAGS = frozenset("html body article main nav header footer aside form".split())
 
 
-def _kinds(attributes: str) -> frozenset:
+def _attributes(text: str) -> dict[str, str]:
+    """Values by name in lower case; of a name that is repeated the first counts."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), "".join(values))
+    return found
+
+
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or (
+        "style" in attributes and _NO_DISPLAY.search(unescape(attributes["style"])) is not None
+    )
+
+
+def _kinds(attributes: dict[str, str]) -> frozenset:
     found = set()
-    for name, *values in _NAMES.findall(attributes):
-        for value in "".join(values).lower().split():
+    for name in ("class", "id", "role"):
+        for value in attributes.get(name, "").lower().split():
             words = {value, *_WORD.findall(value)}
             found.update(_KIND_OF[word] for word in words if word in _KIND_OF)
     return frozenset(found - {"content"} or found)
