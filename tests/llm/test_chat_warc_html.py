@@ -65,6 +65,31 @@ def test_layouts_become_the_same_turns(spark):
     assert chat.digests(chat.formatted(chat.canonical(frame.limit(0)))).collect() == []
 
 
+def test_records_with_fields_of_other_layouts(spark):
+    u, a, s = "Ask", "Answer", "Be brief"
+    messages = [{"role": "user", "content": u}, {"role": "assistant", "content": a}]
+    two = [("user", u), ("assistant", a)]
+    good = {
+        1: ({"instruction": s, "input": u, "output": a, "text": "all of it"}, [("system", s), *two]),
+        2: ({"prompt": u, "messages": messages}, two),
+        3: ({"question": u, "answer": a, "text": "x", "role": "y", "input": None}, two),
+        4: ({"messages": [], "prompt": u, "response": a}, two),
+        5: ({"conversations": [{"from": "human", "value": u, "role": "r"}, {"from": "gpt", "value": a}], "text": "t", "output": "o"}, two),
+        6: ({"instruction": u, "output": a, "messages": "none", "completion": "c"}, two),
+    }
+    bad = {
+        20: (json.dumps({"messages": []}), "no messages"), 21: (json.dumps({"conversations": [], "text": "t"}), "no messages"),
+        22: (json.dumps({"prompt": u, "text": a}), "no declared layout"), 23: ("{}", "no declared layout"), 24: ("[1]", "no JSON object"),
+        25: ("no json", "no JSON object"), 26: (None, "no JSON object"), 27: (json.dumps({"messages": ["x"]}), "no declared layout"),
+    }
+    rows = [(n, 0, json.dumps(record)) for n, (record, _) in good.items()] + [(n, 0, record) for n, (record, _) in bad.items()]
+    rows += [(1, 1, bad[22][0])]  # beside a record that is written
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, record string")
+    assert formatted(frame) == {told(n, turns) for n, (_, turns) in good.items()}
+    wanted = {(n, 0, record, reason) for n, (record, reason) in bad.items()} | {(1, 1, *bad[22])}
+    assert set(map(tuple, chat.unmatched(chat.canonical(frame)).collect())) == wanted
+
+
 def pages_case():
     same, small = "s" * 150, "t" * 99
     return [

@@ -1,13 +1,16 @@
-"""Chat formatting: layouts told apart by a fingerprint of their field paths.
+"""Chat formatting: layouts told apart by their field paths.
 
-A record is JSON text. Its nested field paths, as far as some declared layout
-names them, are hashed; the hash selects the mapping that turns the record into
-turns of (role, text). Turns are written with control strings around them, and
-control strings inside texts are escaped so that reading restores them.
+A record is JSON text. The layout whose field paths it has, and of several the one
+with the most paths, selects the mapping that turns the record into turns of
+(role, text); other fields do not matter. Turns are written with control strings
+around them, and control strings inside texts are escaped so that reading restores
+them. Records without turns are told with a reason by :func:`unmatched`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,15 +94,14 @@ def field_paths(record: Column) -> Column:
     return F.sort_array(F.array_intersect(F.coalesce(paths, F.array().cast("array<string>")), known))
 
 
-def fingerprint(paths: Column) -> Column:
-    return F.sha2(F.array_join(paths, "\n"), 256)
-
+def layout_of(paths: Column) -> Column:
+    """The layout whose paths are all there.
 
-def layouts(spark) -> DataFrame:
-    """(fingerprint, layout) of every declared layout."""
-    rows = [(name, sorted(paths)) for name, paths, _ in LAYOUTS]
-    frame = spark.createDataFrame(rows, "layout string, paths array<string>")
-    return frame.select(fingerprint(F.col("paths")).alias("fingerprint"), "layout")
+    Of several, that of the most paths, then one of whole conversations, then the first.
+    """
+    ranked = sorted(LAYOUTS, key=lambda layout: (-len(layout[1]), "turn" in layout[2]))
+    missing = lambda own: F.size(F.array_except(F.array(*(F.lit(path) for path in own)), paths))
+    return F.coalesce(*(F.when(missing(own) == 0, F.lit(name)) for name, own, _ in ranked))
 
 
 def _role(name: Column) -> Column:
@@ -131,15 +133,40 @@ def _turns(record: Column, layout: Column) -> Column:
     return F.coalesce(*chosen)
 
 
+def _reason(record: Column, layout: Column) -> Column:
+    """Why a record has no turns."""
+    lists = [mapping["list"][0] for _, _, mapping in LAYOUTS if "list" in mapping]
+    empty = [F.coalesce(F.get_json_object(record, path) == "[]", F.lit(False)) for path in lists]
+    return (
+        F.when(F.json_object_keys(record).isNull(), "no JSON object")
+        .when(layout.isNotNull(), "turns cannot be read")
+        .when(reduce(lambda x, y: x | y, empty), "no messages")
+        .otherwise("no declared layout")
+    )
+
+
 def canonical(records: DataFrame) -> DataFrame:
-    """(conv_id, turn, layout, turns) of records (conv_id, turn, record).
+    """(conv_id, turn, layout, turns, reason, record) of records (conv_id, turn, record).
 
-    Records of no declared layout have null ``layout`` and ``turns``.
+    Records without turns have null ``turns``; ``reason`` says why and ``record`` is
+    theirs. Both are null for the others.
     """
     known = records.select(
-        "conv_id", "turn", "record", fingerprint(field_paths(F.col("record"))).alias("fingerprint")
-    ).join(layouts(records.sparkSession), "fingerprint", "left")
-    return known.select("conv_id", "turn", "layout", _turns(F.col("record"), F.col("layout")).alias("turns"))
+        "conv_id", "turn", "record", let(field_paths(F.col("record")), layout_of).alias("layout")
+    ).select("*", _turns(F.col("record"), F.col("layout")).alias("turns"))
+    return known.select(
+        "conv_id",
+        "turn",
+        "layout",
+        "turns",
+        F.when(F.col("turns").isNull(), _reason(F.col("record"), F.col("layout"))).alias("reason"),
+        F.when(F.col("turns").isNull(), F.col("record")).alias("record"),
+    )
+
+
+def unmatched(turns: DataFrame) -> DataFrame:
+    """(conv_id, turn, record, reason) of the canonical records that :func:`formatted` cannot write."""
+    return turns.filter(F.col("turns").isNull()).select("conv_id", "turn", "record", "reason")
 
 
 def _role_text(role: Column) -> Column:
@@ -156,6 +183,7 @@ def formatted(turns: DataFrame) -> DataFrame:
 
     A conversation becomes one string, so its records meet in one task; they are
     ordered by turn, then by their content. Repeated rows are repeated turns.
+    Records without turns are not here but in :func:`unmatched`.
     """
     pieces = F.transform(
         "turns",
