@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens import configure
-from vaultlens.llm import chat, decontamination, html, language_model, licenses, mixing, near_duplicates, quality, urls, warc
+from vaultlens.llm import alignment, chat, decontamination, html, language_model, licenses, mixing, near_duplicates, quality, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -338,3 +338,14 @@ def _html_extraction(table):
 @query("op1_lm_scoring")
 def _lm_scoring(table):
     return language_model.score(table("documents"))
+
+
+#: Vocabulary files of public tokenizers; they are read, never copied.
+TOKENIZERS = "/opt/tokenizers"
+
+
+@query("op12_cross_tokenizer_alignment")
+def _cross_tokenizer_alignment(table):
+    return alignment.align(
+        table("documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
+    )
