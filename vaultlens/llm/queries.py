@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens import configure
-from vaultlens.llm import alignment, chat, decontamination, html, language_model, licenses, mixing, near_duplicates, quality, urls, warc
+from vaultlens.llm import alignment, chat, decontamination, html, language_model, licenses, mixing, near_duplicates
+from vaultlens.llm import personal_data, quality, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -349,3 +350,8 @@ def _cross_tokenizer_alignment(table):
     return alignment.align(
         table("documents"), f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
     )
+
+
+@query("op13_personal_data")
+def _personal_data(table):
+    return personal_data.find(table("documents"))
