@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vaultlens import configure
 from vaultlens.llm import alignment, chat, decontamination, html, language_model, licenses, mixing, near_duplicates
-from vaultlens.llm import personal_data, quality, urls, warc
+from vaultlens.llm import personal_data, quality, urls, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -355,3 +355,8 @@ def _cross_tokenizer_alignment(table):
 @query("op13_personal_data")
 def _personal_data(table):
     return personal_data.find(table("documents"))
+
+
+@query("op11_embedding_whitening")
+def _embedding_whitening(table):
+    return whitening.whiten(table("embeddings"))
