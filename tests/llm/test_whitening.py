@@ -61,7 +61,8 @@ def test_secular_roots_equal_eigenvalues(seed):
 
 
 @pytest.mark.parametrize("equal", [False, True])
-def test_spectrum_equals_that_of_the_scatter(equal):
+@pytest.mark.parametrize("at_once", [False, True])
+def test_spectrum_equals_that_of_the_scatter(equal, at_once):
     pick = np.random.default_rng(5)
     rows = np.round(pick.normal(size=(300, 12)) * pick.uniform(1, 200, 12) + 100_000)
     if equal:
@@ -70,8 +71,11 @@ def test_spectrum_equals_that_of_the_scatter(equal):
     parts = []
     for part in np.array_split(rows, 4):
         own = whitening.Spectrum(12)
-        for row in part:
-            own.add(row)
+        if at_once:
+            own.add_all(*np.unique(part, axis=0, return_counts=True))
+        else:
+            for row in part:
+                own.add(row)
         parts.append(own)
     whole = parts[0]
     for part in parts[1:]:

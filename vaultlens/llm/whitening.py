@@ -24,6 +24,9 @@ from vaultlens.session import scratch_dir, ship_package
 COMPONENTS, RANK = 8, 64
 #: Whole numbers: floor(SCALE * entry) + SHIFT.
 SCALE, SHIFT = 1024, 100_000
+#: Vectors of a batch, as a multiple of their entries, from which their factor is
+#: taken first.
+FACTOR_FROM = 4
 #: States that one task combines.
 FAN_IN = 16
 #: Passes of refinement at most, and the residual, relative to the first eigenvalue,
@@ -67,6 +70,10 @@ def secular_roots(d: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         psi, both = (terms * left_side).sum(axis=1), terms.sum(axis=1)
         slope_psi, slope_both = (slopes * left_side).sum(axis=1), slopes.sum(axis=1)
         f = 1 + both
+        # as exact as the sum can be told
+        found = np.abs(f) <= 8 * _EPS * (1 + both - 2 * psi)
+        if found.all():
+            break
         low, high = np.where(f < 0, mu, low), np.where(f < 0, high, mu)
         d1, d2 = away[own, own], away[own, beside]
         q, s = slope_psi * d1 * d1, (slope_both - slope_psi) * d2 * d2
@@ -77,12 +84,11 @@ def secular_roots(d: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             step = np.where(a > 0, 2 * b / (a + root), (a - root) / (2 * c))
             step[-1] = d1[-1] + q[-1] / (f[-1] - slope_psi[-1] * d1[-1])
         new = mu + step
-        inside = (new > low) & (new < high)
-        new = np.where(inside, new, (low + high) / 2)
-        done = np.abs(new - mu) <= 4 * _EPS * np.abs(new)
-        mu = new
-        if done.all():
+        inside = (new >= low) & (new <= high) & (new != 0)
+        new = np.where(found, mu, np.where(inside, new, (low + high) / 2))
+        if (np.abs(new - mu) <= 4 * _EPS * np.abs(new)).all():
             break
+        mu = new
     return origin + mu, mu[:, None] - delta
 
 
@@ -97,11 +103,33 @@ class Spectrum:
 
     def add(self, vector: np.ndarray, times: int = 1) -> None:
         """A vector that occurs ``times`` times: one update centred on the running mean."""
-        off = vector - self.mean
-        self.n += times
-        self.mean = self.mean + off * (times / self.n)
-        if self.n > times:
-            self.update(off * np.sqrt(times * (self.n - times) / self.n))
+        self._shift(vector, times)
+
+    def add_all(self, rows: np.ndarray, times: np.ndarray) -> None:
+        """Distinct vectors and how often each occurs.
+
+        Many of them are first turned, without loss, into the triangular factor of
+        their scatter around their own mean: as many updates as a vector has entries.
+        """
+        if len(rows) <= FACTOR_FROM * self.size:
+            for row, n in zip(rows, times.tolist(), strict=True):
+                self.add(row, n)
+            return
+        n = int(times.sum())
+        # the mean as an offset from one of the vectors, which keeps its last bits
+        mean = rows[0] + times @ (rows - rows[0]) / n
+        factor = np.linalg.qr((rows - mean) * np.sqrt(times)[:, None], mode="r")
+        for row in factor:
+            self.update(row)
+        self._shift(mean, n)
+
+    def _shift(self, mean: np.ndarray, more: int) -> None:
+        """The update for the means of two parts, and the mean of both."""
+        off, n = mean - self.mean, self.n + more
+        if self.n:
+            self.update(off * np.sqrt(self.n * more / n))
+        self.mean = self.mean + off * (more / n)
+        self.n = n
 
     def merge(self, other: Spectrum) -> None:
         """Another spectrum, one rank-one update for each of its components and the means."""
@@ -110,11 +138,7 @@ class Spectrum:
         for value, vector in zip(other.values, other.vectors.T, strict=True):
             if value > 0:
                 self.update(vector * np.sqrt(value))
-        off, n = other.mean - self.mean, self.n + other.n
-        if self.n:
-            self.update(off * np.sqrt(self.n * other.n / n))
-        self.mean = self.mean + off * (other.n / n)
-        self.n = n
+        self._shift(other.mean, other.n)
         self.sums = [a + b for a, b in zip(self.sums, other.sums, strict=True)]
 
     def update(self, v: np.ndarray) -> None:
@@ -228,8 +252,7 @@ def spectrum_of(vectors: DataFrame, size: int, rank: int = RANK) -> Spectrum | N
             # halves of 32 bits add up without overflow
             for half, weight in ((rows >> 32, 1 << 32), (rows & 0xFFFFFFFF, 1)):
                 own.sums = [s + weight * int(m) for s, m in zip(own.sums, times @ half, strict=True)]
-            for row, n in zip(rows.astype(float), times.tolist(), strict=True):
-                own.add(row, n)
+            own.add_all(rows.astype(float), times)
         if own.n:
             yield from _states(iter([(0, own)]))
 
