@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.governance import _RECEIPT
 from checks.inventory import _STATS_ROWS
 from checks.registry import View, query
+from checks.streams import _landed_manifests
 from checks.verification import _REPORT, _STATS, _oracle, _sides, _written_sides
 from vaultlens import schemas
 from vaultlens.operators import inventory, verification
@@ -101,6 +102,15 @@ def inventory_files_scan(view: View):
     return found.select("bucket", "key", "size", "storage_class", "replication_status")
 
 
+@query("inventory_manifest_rows", _OBJECTS)
+def inventory_manifest_rows(view: View):
+    """Landed manifests, and the data files they list, read by tasks."""
+    spark, base = _landed_manifests(view)
+    manifests = inventory_source.read_manifests(spark, f"{base}/landed/*/*/manifest.json")
+    found = inventory_source.read_manifest_rows(manifests, base)
+    return found.select("bucket", "key", "size", "storage_class", "replication_status")
+
+
 @query("inventory_snapshots_scan", _OBJECTS)
 def inventory_snapshots_scan(view: View):
     spark, base = _landed_inventory(view)

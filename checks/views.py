@@ -195,6 +195,25 @@ SELECT concat('job-',CAST(o_orderkey AS STRING)) AS job_id FROM @orders WHERE o_
 SELECT concat('job-',CAST(o_orderkey AS STRING)) AS source_job_id, concat('job-',CAST(o_orderkey + 1 AS STRING)) AS repl_job_id,
   concat('acme-main-b',CAST(o_orderkey AS STRING)) AS source_bucket, concat('acme-main-b',CAST(o_orderkey AS STRING),'-repl') AS repl_bucket
 FROM @orders WHERE o_orderkey % 2 = 0""",
+    # One pair of jobs for each supplier, and their results.
+    "pair_jobs": """
+SELECT concat('sj-',CAST(s_suppkey AS STRING)) AS source_job_id, concat('rj-',CAST(s_suppkey AS STRING)) AS repl_job_id,
+  concat('acme-main-b',CAST(s_suppkey AS STRING)) AS source_bucket, concat('acme-main-b',CAST(s_suppkey AS STRING),'-repl') AS repl_bucket,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'Active' WHEN s_suppkey % 11 = 0 THEN 'Failed' ELSE 'Complete' END AS source_status,
+  CASE WHEN s_suppkey % 5 = 0 THEN 'Active' WHEN s_suppkey % 13 = 0 THEN 'Failed' ELSE 'Complete' END AS repl_status,
+  s_suppkey % 17 = 0 AS no_manifest
+FROM @supplier""",
+    "pair_results": """
+SELECT concat('sj-',CAST(l_suppkey AS STRING)) AS job_id, l_orderkey % 2 AS part, concat('acme-main-b',CAST(l_suppkey AS STRING)) AS bucket,
+  concat('k/',CAST(l_orderkey AS STRING),'-',CAST(l_linenumber AS STRING)) AS key, concat('v',CAST(l_partkey % 3 AS STRING)) AS version_id,
+  CASE WHEN l_orderkey % 29 = 0 THEN 'failed' ELSE 'succeeded' END AS task_status, md5(CAST(l_orderkey AS STRING)) AS checksum
+FROM @lineitem WHERE l_partkey % 13 <> 0
+UNION ALL
+SELECT concat('rj-',CAST(l_suppkey AS STRING)) AS job_id, l_orderkey % 2 AS part, concat('acme-main-b',CAST(l_suppkey AS STRING),'-repl') AS bucket,
+  concat('k/',CAST(l_orderkey AS STRING),'-',CAST(l_linenumber AS STRING)) AS key, concat('v',CAST(l_partkey % 3 AS STRING)) AS version_id,
+  CASE WHEN l_orderkey % 31 = 0 THEN 'failed' ELSE 'succeeded' END AS task_status,
+  md5(concat(CAST(l_orderkey AS STRING),CASE WHEN l_orderkey % 37 = 0 THEN 'x' ELSE '' END)) AS checksum
+FROM @lineitem WHERE l_partkey % 17 <> 0""",
     "dispatch_results": """
 SELECT concat('acme-main-b',CAST(c_custkey AS STRING)) AS name,
   CASE WHEN c_custkey % 17 = 0 THEN 'access denied' ELSE NULL END AS error

@@ -52,13 +52,16 @@ COUNTS = [
 _MESSAGE = "checksum_base64 STRING, checksumAlgorithm STRING"
 
 
-def with_checksums(results: DataFrame) -> DataFrame:
+def with_checksums(results: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Job results with the checksum taken out of the JSON message.
 
+    ``keep`` are further columns to hand on.
+
     The message is parsed once and dropped here, before any shuffle. One that
     is not valid JSON counts as having no checksum, see :func:`bad_messages`.
     """
     return results.withColumn("message", F.from_json("result_message", _MESSAGE)).select(
+        *keep,
         "bucket",
         "key",
         "version_id",
@@ -87,43 +90,47 @@ def _has_identity() -> Column:
     return F.col("key").isNotNull() & F.col("version_id").isNotNull()
 
 
-def compare(source: DataFrame, replication: DataFrame) -> DataFrame:
-    """Every report row, in no order; inputs as from :func:`with_checksums`."""
+def compare(source: DataFrame, replication: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every report row, in no order; inputs as from :func:`with_checksums`.
+
+    With ``by``, columns of both sides that are not null, rows are only compared where
+    these are equal, and the report keeps them: many bucket pairs in one run.
+    """
     return (
-        compared_pairs(source, replication)
-        .unionByName(_without_partner(source, replication, "missing_replica"))
-        .unionByName(_without_partner(replication, source, "missing_source"))
-        .unionByName(_alone(source, "failed_source", "missing_replica"))
-        .unionByName(_alone(replication, "failed_replication", "missing_source"))
+        compared_pairs(source, replication, by)
+        .unionByName(_without_partner(source, replication, "missing_replica", by))
+        .unionByName(_without_partner(replication, source, "missing_source", by))
+        .unionByName(_alone(source, "failed_source", "missing_replica", by))
+        .unionByName(_alone(replication, "failed_replication", "missing_source", by))
     )
 
 
-def compared_pairs(source: DataFrame, replication: DataFrame) -> DataFrame:
+def compared_pairs(source: DataFrame, replication: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of succeeded rows that both have a checksum: ok or mismatch."""
     usable = (F.col("task_status") == SUCCEEDED) & F.col("checksum").isNotNull()
     other = replication.where(usable).select(
-        "key", "version_id", F.col("checksum").alias("checksum_replication")
+        *by, "key", "version_id", F.col("checksum").alias("checksum_replication")
     )
     same = F.col("checksum_source") == F.col("checksum_replication")
     return (
         source.where(usable)
         .withColumnRenamed("checksum", "checksum_source")
-        .join(other, ["key", "version_id"])
+        .join(other, [*by, "key", "version_id"])
         .withColumn("status", F.when(same, F.lit("ok")).otherwise(F.lit("mismatch")))
-        .select(*REPORT_COLUMNS)
+        .select(*by, *REPORT_COLUMNS)
     )
 
 
-def _without_partner(side: DataFrame, other: DataFrame, missing: str) -> DataFrame:
+def _without_partner(side: DataFrame, other: DataFrame, missing: str, by: tuple[str, ...]) -> DataFrame:
     """Succeeded rows whose object version the other side does not list."""
     return (
         side.where(_has_identity() & (F.col("task_status") == SUCCEEDED))
-        .join(other.where(_has_identity()).select("key", "version_id"), ["key", "version_id"], "left_anti")
-        .select(*_listed(F.lit(missing)))
+        .join(other.where(_has_identity()).select(*by, "key", "version_id"), [*by, "key", "version_id"], "left_anti")
+        .select(*by, *_listed(F.lit(missing)))
     )
 
 
-def _alone(side: DataFrame, failed: str, missing: str) -> DataFrame:
+def _alone(side: DataFrame, failed: str, missing: str, by: tuple[str, ...]) -> DataFrame:
     """Rows that are listed without looking for a partner.
 
     Failed tasks are listed as they are, and a row without a key or version has
@@ -133,7 +140,7 @@ def _alone(side: DataFrame, failed: str, missing: str) -> DataFrame:
         ~_has_identity() & (F.col("task_status") == SUCCEEDED), F.lit(missing)
     )
     return side.withColumn("status", status).where(F.col("status").isNotNull()).select(
-        *_listed(F.col("status"))
+        *by, *_listed(F.col("status"))
     )
 
 
@@ -182,11 +189,12 @@ def stats(rows: DataFrame) -> DataFrame:
     )
 
 
-def _tally(side: DataFrame, own: str, other: str) -> DataFrame:
+def _tally(side: DataFrame, own: str, other: str, by: tuple[str, ...]) -> DataFrame:
     done = (F.col("task_status") == SUCCEEDED).cast("bigint")
     failed = (F.col("task_status") == FAILED).cast("bigint")
     none = F.lit(0).cast("bigint")
     return side.select(
+        *by,
         "key",
         "version_id",
         "checksum",
@@ -197,9 +205,11 @@ def _tally(side: DataFrame, own: str, other: str) -> DataFrame:
     )
 
 
-def count(source: DataFrame, replication: DataFrame) -> DataFrame:
+def count(source: DataFrame, replication: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Stats without the report, by counting instead of joining.
 
+    With ``by``, as for :func:`compare`, one row for each value of these columns.
+
     The rows of a key that agree are the product of the counts of each
     checksum, those that differ are the rest of the product of both totals.
     Both aggregates combine before they shuffle, so neither a key that fills
@@ -208,13 +218,13 @@ def count(source: DataFrame, replication: DataFrame) -> DataFrame:
     """
     names = [f"{side}_{name}" for side in ("s", "r") for name in ("rows", "done", "failed")]
     per_checksum = (
-        _tally(source, "s", "r")
-        .unionByName(_tally(replication, "r", "s"))
-        .groupBy("key", "version_id", "checksum")
+        _tally(source, "s", "r", by)
+        .unionByName(_tally(replication, "r", "s", by))
+        .groupBy(*by, "key", "version_id", "checksum")
         .agg(*[F.sum(name).alias(name) for name in names])
     )
     known = F.col("checksum").isNotNull()
-    per_object = per_checksum.groupBy("key", "version_id").agg(
+    per_object = per_checksum.groupBy(*by, "key", "version_id").agg(
         *[F.sum(name).alias(name) for name in names],
         F.sum(F.when(known, F.col("s_done"))).alias("s_known"),
         F.sum(F.when(known, F.col("r_done"))).alias("r_known"),
@@ -231,7 +241,7 @@ def count(source: DataFrame, replication: DataFrame) -> DataFrame:
         F.col("r_failed"),
     ]
     return with_verdict(
-        per_object.agg(
+        per_object.groupBy(*by).agg(
             *[
                 F.coalesce(F.sum(figure), F.lit(0)).alias(name)
                 for figure, name in zip(figures, COUNTS)

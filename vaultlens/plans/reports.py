@@ -25,6 +25,9 @@ STATS_COLUMNS = [
     "failed_replication",
 ]
 
+#: What names a pair of jobs.
+PAIR = ("source_bucket", "source_job_id", "repl_bucket", "repl_job_id")
+
 
 def written(rows: DataFrame, purpose: str) -> DataFrame:
     """Rows through a written table, so that several outputs share one run and
@@ -53,9 +56,8 @@ def verification_report(
 
     def side(manifest: str) -> DataFrame:
         manifests = job_source.read_manifests(spark, manifest)
-        paths = job_source.result_paths(manifests, results_root)
-        parsed = verification.with_checksums(job_source.read_results(spark, paths))
-        return written(parsed, "verification-side")
+        results = job_source.read_manifest_results(manifests, results_root)
+        return written(verification.with_checksums(results), "verification-side")
 
     sides = side(source_manifest), side(replication_manifest)
     # the sort looks at its input twice, so that is written before
@@ -68,6 +70,47 @@ def verification_report(
     return verification.with_verdict(stored)
 
 
+def pair_reports(
+    pairs: DataFrame, manifests_root: str, results_root: str, out: str, batch: str
+) -> DataFrame:
+    """Verification reports and stats of many decided pairs in one run.
+
+    ``pairs`` are receipts whose ``state`` is decided. Of the ready ones both manifests
+    are read; a pair that lacks one gets the state that says so. Reports go below
+    ``reports/checksums/<batch>`` in a folder for each source bucket, and stats of the
+    pairs below ``stats/<batch>``; both replace what an earlier try has written.
+    Returns the stats of the pairs that were verified.
+    """
+    spark = pairs.sparkSession
+    pairs = written(pairs, "pairs")
+    ready = pairs.where(F.col("state") == "ready")
+    ids = ready.select(F.explode(F.array("source_job_id", "repl_job_id")).alias("job_id")).distinct()
+    manifests = written(job_source.manifests_of_jobs(ids, manifests_root), "pair-manifests")
+    found = manifests.select("job_id").distinct()
+    whole = ready.join(found.withColumnRenamed("job_id", "source_job_id"), "source_job_id", "left_semi").join(
+        found.withColumnRenamed("job_id", "repl_job_id"), "repl_job_id", "left_semi"
+    )
+    whole = written(whole.select(*PAIR), "pairs-whole")
+
+    def side(job: str) -> DataFrame:
+        own = whole.join(manifests.withColumnRenamed("job_id", job), job).select(*PAIR, "Results")
+        results = job_source.read_manifest_results(own, results_root, *PAIR)
+        parsed = verification.with_checksums(results, keep=PAIR)
+        return written(parsed, "verification-side")
+
+    sides = side("source_job_id"), side("repl_job_id")
+    compared = written(verification.compare(*sides, by=PAIR), "verification")
+    order = [F.col("source_bucket"), verification.category_order(), F.col("bucket"), F.col("key"), F.col("version_id")]
+    rows = compared.orderBy(*order).select("source_bucket", *verification.REPORT_COLUMNS)
+    listed = rows.write.mode("overwrite").options(**reports.CSV_OPTIONS).partitionBy("source_bucket")
+    listed.csv(f"{out}/reports/checksums/{batch}")
+    counts = verification.count(*sides, by=PAIR).select(*PAIR, *STATS_COLUMNS)
+    # a pair of empty result files has counts too
+    zeros = whole.join(counts, list(PAIR), "left").fillna(0, STATS_COLUMNS)
+    zeros.write.mode("overwrite").parquet(f"{out}/stats/{batch}")
+    return spark.read.parquet(f"{out}/stats/{batch}")
+
+
 def inventory_report(
     spark: SparkSession,
     name: str,
@@ -82,8 +125,7 @@ def inventory_report(
     in one run. Returns the prefix table the stats were built from.
     """
     manifests = inventory_source.read_manifests(spark, manifest)
-    paths = inventory_source.file_paths(manifests, data_root)
-    rows = inventory_source.read_files(spark, paths)
+    rows = written(inventory_source.read_manifest_rows(manifests, data_root), "inventory-rows")
     reports.publish_csv(
         inventory.report(rows), f"{out}/reports/manifests/{name}", report_date
     )

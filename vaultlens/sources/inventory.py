@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaultlens import schemas
+from vaultlens.paths import qualified
 from vaultlens.sinks.reports import read_csv
+from vaultlens.sources.listed_files import read_listed
 
 SUPPORTED_FORMAT = "Parquet"
 
@@ -49,15 +51,26 @@ def data_files(manifests: DataFrame) -> DataFrame:
 
 
 def file_paths(manifests: DataFrame, root: str) -> list[str]:
-    """Paths to hand to the Parquet reader.
+    """Paths of the data files of a few manifests, for a look at them.
 
-    The reader takes its file list on the driver in any case; a manifest lists
-    data files, not objects, so the list stays short.
+    :func:`read_manifest_rows` reads any number without a list on the driver.
     """
     rows = data_files(require_parquet(manifests)).select("key").distinct()
     return sorted(f"{root.rstrip('/')}/{row.key}" for row in rows.toLocalIterator())
 
 
+def read_manifest_rows(manifests: DataFrame, root: str) -> DataFrame:
+    """Inventory rows of all data files that manifests list; no path passes the driver.
+
+    A manifest in another format fails the job; a file that is listed twice is read
+    once.
+    """
+    base = qualified(manifests.sparkSession, root)
+    listed = data_files(require_parquet(manifests)).where("key IS NOT NULL")
+    listed = listed.select(F.concat(F.lit(f"{base}/"), "key").alias("file"), F.col("size").alias("file_bytes"))
+    return read_listed(listed, schemas.INVENTORY, "parquet", size="file_bytes")
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Inventory rows of Parquet files; without files an empty table."""
     if not paths:
