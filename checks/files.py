@@ -6,17 +6,22 @@ from pyspark.sql import functions as F
 
 from checks.governance import _RECEIPT
 from checks.inventory import _STATS_ROWS
+from checks.objects import _CRC
 from checks.registry import View, query
 from checks.streams import _landed_manifests
 from checks.verification import _REPORT, _STATS, _oracle, _sides, _written_sides
 from vaultlens import schemas
+from vaultlens.functions import crc64
 from vaultlens.operators import inventory, verification
+from vaultlens.paths import qualified
 from vaultlens.plans.reports import STATS_COLUMNS
 from vaultlens.session import scratch_dir
 from vaultlens.sinks import receipts, reports
+from vaultlens.sinks.named_files import write_named
 from vaultlens.sources import inventory as inventory_source
 from vaultlens.sources import jobs as job_source
 from vaultlens.sources import tables
+from vaultlens.sources.listed_files import read_ranges, with_sizes
 
 DAY = "2024-01-31"
 
@@ -111,6 +116,30 @@ def inventory_manifest_rows(view: View):
     return found.select("bucket", "key", "size", "storage_class", "replication_status")
 
 
+#: The byte-wise digest of the fixity oracle, over files of ten documents.
+_FILES_CRC = _CRC.replace(
+    "FROM @documents",
+    """FROM (SELECT doc_id // 10 AS doc_id, string_agg(concat(text, chr(10)), '' ORDER BY doc_id, text) AS text
+    FROM @documents GROUP BY ALL)""",
+)
+
+
+@query(
+    "fixity_crc64nvme_ranges",
+    _FILES_CRC + "SELECT doc_id AS file_no, CAST(content_length AS BIGINT) AS content_length, checksum FROM digest",
+)
+def fixity_crc64nvme_ranges(view: View):
+    """Digests of landed files, read in ranges and pieces of odd sizes."""
+    documents = view("documents").select(F.floor(F.col("doc_id") / 10).alias("file_no"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spark = documents.sparkSession
+    base = scratch_dir(spark, "fixity-files")
+    name = F.concat(F.col("file_no").cast("string"), F.lit(".txt"))
+    write_named(documents, base, name, "text", "doc_id", "text")
+    files = documents.select("file_no", F.concat(F.lit(f"{qualified(spark, base)}/"), name).alias("file")).distinct()
+    pieces = read_ranges(with_sizes(files), range_bytes=10_007, piece_bytes=4_001)
+    return crc64.crc64_of_chunks(pieces, ["file_no"])
+
+
 @query("inventory_snapshots_scan", _OBJECTS)
 def inventory_snapshots_scan(view: View):
     spark, base = _landed_inventory(view)
