@@ -10,7 +10,9 @@ from checks.registry import View, query
 from vaultlens import schemas
 from vaultlens.functions.text import bytes_text, percent, percent_text
 from vaultlens.operators import inventory, metrics, storage
+from vaultlens.plans import intervals
 from vaultlens.plans.reports import written
+from vaultlens.session import scratch_dir
 from vaultlens.sources.inventory import data_files, with_format_problem
 
 SNAPSHOT_DAY = dt.date(1996, 3, 2)
@@ -105,6 +107,43 @@ def inventory_distinct_states(view: View):
     return inventory.distinct_states(view("snapshots"))
 
 
+#: Days as numbers; a stretch of days is numbered by what is left of the row number.
+_INTERVALS = """
+WITH listed AS (SELECT DISTINCT date_diff('day', DATE '2024-01-30', CAST(day AS DATE)) AS n, bucket, key, size, last_modified_date,
+    storage_class, replication_status FROM @snapshot_days),
+runs AS (SELECT *, n - row_number() OVER (PARTITION BY bucket, key, size, last_modified_date, storage_class, replication_status ORDER BY n) AS r
+  FROM listed)
+SELECT bucket, key, size, last_modified_date, storage_class, replication_status,
+  CAST(DATE '2024-01-30' + CAST(min(n) AS INTEGER) AS VARCHAR) AS valid_from,
+  CASE WHEN max(n) < 2 THEN CAST(DATE '2024-01-31' + CAST(max(n) AS INTEGER) AS VARCHAR) END AS valid_to
+FROM runs GROUP BY bucket, key, size, last_modified_date, storage_class, replication_status, r
+"""
+
+
+def _merged_days(view: View):
+    days = view("snapshot_days")
+    spark = days.sparkSession
+    base = scratch_dir(spark, "intervals")
+    for day in (dt.date(2024, 1, 30), dt.date(2024, 1, 31), dt.date(2024, 2, 1)):
+        intervals.merge_day(days.where(F.col("day") == day.isoformat()), base, day)
+    return intervals.read_intervals(spark, base)
+
+
+@query("inventory_state_intervals", _INTERVALS)
+def inventory_state_intervals(view: View):
+    return _merged_days(view).withColumn("last_modified_date", F.col("last_modified_date").cast("timestamp_ntz"))
+
+
+@query(
+    "inventory_states_of_intervals",
+    "SELECT DISTINCT bucket, key, size, last_modified_date, storage_class, replication_status FROM @snapshot_days",
+)
+def inventory_states_of_intervals(view: View):
+    """Distinct states from the interval table, equal to those from all snapshots."""
+    states = intervals.distinct_states(_merged_days(view))
+    return states.withColumn("last_modified_date", F.col("last_modified_date").cast("timestamp_ntz"))
+
+
 @query(
     "inventory_object_list",
     """SELECT bucket, key, size, last_modified_date, storage_class FROM @snapshots

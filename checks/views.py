@@ -39,6 +39,16 @@ SELECT bucket, key, size, last_modified_date, storage_class, replication_status
 UNION ALL
 SELECT bucket, key, CASE WHEN size % 50 = 0 THEN size + 1 ELSE size END AS size,
   last_modified_date, storage_class, 'COMPLETED' AS replication_status FROM @inventory""",
+    # Three days: sizes change and change back, every ninth object is gone on the third.
+    "snapshot_days": """
+SELECT '2024-01-30' AS day, bucket, key, size, last_modified_date, storage_class, replication_status FROM @inventory
+UNION ALL
+SELECT '2024-01-31' AS day, bucket, key, CASE WHEN size % 50 = 0 THEN size + 1 ELSE size END AS size,
+  last_modified_date, storage_class, 'COMPLETED' AS replication_status FROM @inventory
+UNION ALL
+SELECT '2024-02-01' AS day, bucket, key, size, last_modified_date, storage_class,
+  CASE WHEN size % 3 = 0 THEN replication_status ELSE 'COMPLETED' END AS replication_status FROM @inventory
+WHERE size IS NULL OR size % 9 <> 1""",
     "manifests": """
 SELECT concat('acme-main-b',CAST(o_custkey AS STRING)) AS bucket, {DAY} AS snapshot_date,
   concat('manifests/b',CAST(o_custkey AS STRING),'/',CAST(o_orderkey AS STRING),'/manifest.json') AS path

@@ -154,3 +154,24 @@ def people_operations(log: DataFrame) -> DataFrame:
             "http_status",
         )
     )
+
+
+def object_history(log: DataFrame) -> DataFrame:
+    """Requests, first and last time, and the last operation of every object.
+
+    One aggregate that combines before its shuffle, so a busy object costs no more. Of
+    requests of one time the largest request id is the last. Requests without a key
+    are those of their bucket.
+    """
+    last = F.max(F.struct("event_time", "request_id", "operation"))
+    return (
+        log.groupBy("bucket", "key")
+        .agg(F.count(F.lit(1)).alias("requests"), F.min("event_time").alias("first_time"), last.alias("last"))
+        .select("bucket", "key", "requests", "first_time", F.col("last.event_time").alias("last_time"), "last.operation")
+        .withColumnRenamed("operation", "last_operation")
+    )
+
+
+def requests_of(log: DataFrame, bucket: str, key: str) -> DataFrame:
+    """The requests of one object in time order."""
+    return log.where((F.col("bucket") == bucket) & (F.col("key") == key)).orderBy("event_time", "request_id")

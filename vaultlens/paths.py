@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import pyarrow.fs as pafs
 from pyspark.sql import SparkSession
 
@@ -18,3 +21,29 @@ def qualified(spark: SparkSession, folder: str) -> str:
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     """File system and path of a qualified URI."""
     return pafs.FileSystem.from_uri(uri)
+
+
+def replace_document(spark: SparkSession, folder: str, name: str, document: dict) -> None:
+    """Put a small JSON file in place in one rename: readers see the old or the new one."""
+    files, root = opened(qualified(spark, folder))
+    files.create_dir(root, recursive=True)
+    temporary = f"{root}/.{uuid.uuid4().hex}"
+    with files.open_output_stream(temporary) as out:
+        out.write(json.dumps(document).encode())
+    files.move(temporary, f"{root}/{name}")
+
+
+def read_document(spark: SparkSession, folder: str, name: str) -> dict | None:
+    """The JSON file of this name, None where there is none."""
+    files, root = opened(qualified(spark, folder))
+    if files.get_file_info(f"{root}/{name}").type != pafs.FileType.File:
+        return None
+    with files.open_input_stream(f"{root}/{name}") as stream:
+        return json.loads(stream.read())
+
+
+def children(spark: SparkSession, folder: str) -> list[pafs.FileInfo]:
+    """What lies directly in a folder, by name; nothing where there is no folder."""
+    files, root = opened(qualified(spark, folder))
+    found = files.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(found, key=lambda info: info.base_name)
