@@ -6,14 +6,16 @@ from pyspark.sql import functions as F
 
 from checks.governance import _RECEIPT
 from checks.inventory import _STATS_ROWS
-from checks.objects import _CRC
+from checks.objects import _CHECKSUMS, _CRC
 from checks.registry import View, query
 from checks.streams import _landed_manifests
 from checks.verification import _REPORT, _STATS, _oracle, _sides, _written_sides
 from vaultlens import schemas
 from vaultlens.functions import crc64
+from vaultlens.functions.names import file_stem
 from vaultlens.operators import inventory, verification
 from vaultlens.paths import qualified
+from vaultlens.plans import reports as plans
 from vaultlens.plans.reports import STATS_COLUMNS
 from vaultlens.session import scratch_dir
 from vaultlens.sinks import receipts, reports
@@ -169,3 +171,47 @@ def receipt_files(view: View):
     spark = rows.sparkSession
     base = receipts.write_receipts(rows, scratch_dir(spark, "receipts"), DAY)
     return job_source.read_receipt_lookup(spark, base).drop("created_at")
+
+
+_LANDED = """
+WITH l AS (SELECT * FROM @landed_requests),
+sized AS (SELECT request, CAST(sum(octet_length(encode(name)) + 1) AS BIGINT) AS size FROM l GROUP BY request)
+"""
+
+
+def _landed_requests(view: View):
+    lines = view("landed_requests")
+    base = scratch_dir(lines.sparkSession, "requests")
+    write_named(lines, base, F.concat("request", F.lit(".txt")), "name", "line_no", "name")
+    return lines.sparkSession, base
+
+
+@query(
+    "request_files",
+    _LANDED
+    + """SELECT request, CAST(row_number() OVER (PARTITION BY request ORDER BY line_no, name) - 1 AS INTEGER) AS line_no, name
+  FROM l JOIN sized USING (request) WHERE size <= 512""",
+)
+def request_files(view: View):
+    """Lines of landed request files of an allowed size."""
+    return tables.read_requests(*_landed_requests(view)).withColumn("request", file_stem("request"))
+
+
+@query("request_files_refused", _LANDED + "SELECT request, size FROM sized WHERE size > 512")
+def request_files_refused(view: View):
+    return tables.oversized_requests(*_landed_requests(view)).withColumn("request", file_stem("request"))
+
+
+@query(
+    "checksum_inventory_csv",
+    _CHECKSUMS
+    + """SELECT bucket, key, size, nullif(content_type, '') AS content_type, nullif(checksum, '') AS checksum,
+  nullif(checksum_algorithm, '') AS checksum_algorithm, status, nullif(detail, '') AS detail FROM listed""",
+)
+def checksum_inventory_csv(view: View):
+    """From a published inventory report to the published checksum inventory, read back."""
+    spark = view("inventory").sparkSession
+    base = scratch_dir(spark, "checksum-csv")
+    report = reports.publish_csv(inventory.report(view("inventory")), f"{base}/report", DAY, copy=False)
+    plans.checksum_inventory(spark, "all", report, view("object_head"), f"{base}/out", DAY)
+    return reports.read_latest_csv(spark, f"{base}/out/reports/checksum-inventory/all", schemas.CHECKSUM_INVENTORY)

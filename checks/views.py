@@ -236,6 +236,11 @@ SELECT concat('buckets/request-',CAST(o_custkey AS STRING),'.txt') AS request, o
        WHEN o_orderkey % 137 = 0 THEN 'a23456789b123456789c123456789d123456789e123456789f123456789g1234'
        WHEN o_orderkey % 3 = 0 THEN concat('Maps-',CAST(o_orderkey AS STRING),'-PUBLIC')
        ELSE concat('books-',CAST(o_orderkey AS STRING)) END AS name
+FROM @orders""",
+    # Requests of three customers each: about half are larger than a request may be.
+    "landed_requests": """
+SELECT concat('request-',CAST(CAST(floor(o_custkey / 3) AS BIGINT) AS STRING)) AS request, o_orderkey AS line_no,
+  CASE WHEN o_orderkey % 101 = 0 THEN '' ELSE concat('books-',CAST(o_orderkey AS STRING)) END AS name
 FROM @orders""",
     "names": """
 SELECT concat('reports/latest/manifests/acme-main-b',CAST(o_orderkey AS STRING),

@@ -21,6 +21,9 @@ TABLES: dict[str, StructType] = {
     "job_status": schemas.JOB_STATUS,
 }
 
+#: Fixed value: bytes a bucket request file may have.
+MAX_REQUEST_BYTES = 512
+
 
 def read_table(spark: SparkSession, name: str, path: str) -> DataFrame:
     """A landed Parquet table of :data:`TABLES` under its fixed schema."""
@@ -59,12 +62,14 @@ def read_archive_catalogue(spark: SparkSession, path: str) -> DataFrame:
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     """Lines of bucket request files: request, line_no, name.
 
-    A request file has at most 512 bytes, so it is read in one piece, which
-    also gives its lines their numbers.
+    A request file has at most ``MAX_REQUEST_BYTES``, so it is read in one piece,
+    which also gives its lines their numbers. Larger ones are left out before they are
+    opened, see :func:`oversized_requests`.
     """
     lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
     return (
         spark.read.text(path, wholetext=True)
+        .where(F.col("_metadata.file_size") <= MAX_REQUEST_BYTES)
         .where(F.col("value") != "")
         .select(
             F.col("_metadata.file_path").alias("request"),
@@ -73,6 +78,16 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def oversized_requests(spark: SparkSession, path: str) -> DataFrame:
+    """Request files that are refused for their size: request, size. None is opened."""
+    return (
+        spark.read.format("binaryFile")
+        .load(path)
+        .where(F.col("length") > MAX_REQUEST_BYTES)
+        .select(F.col("path").alias("request"), F.col("length").alias("size"))
+    )
+
+
 def read_contents(spark: SparkSession, path: str) -> DataFrame:
     """Whole files with their bytes, for fixity digests."""
     return (
