@@ -70,8 +70,9 @@ def release_scratch(spark: SparkSession) -> None:
 def ship_package(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python workers on every executor.
 
-    Only needed for the digest UDFs, and only when the package was not handed
-    to ``spark-submit --py-files``. Repeated calls ship nothing new.
+    Needed wherever functions of this package run in tasks: digests, listed and named
+    files, job pairs, copies of reports. Nothing is lost where the package was handed to
+    ``spark-submit --py-files`` as well. Repeated calls ship nothing new.
     """
     context = spark.sparkContext
     if not getattr(context, "_vaultlens_shipped", False):
