@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import View, query
 from vaultlens import schemas
 from vaultlens.functions.text import base64_to_hex
-from vaultlens.operators import jobs, verification
+from vaultlens.operators import jobs, onepass, verification
 from vaultlens.plans.reports import written
 from vaultlens.sources.jobs import parse_result_lines
 
@@ -68,13 +68,11 @@ def _written_sides(view: View, suffix: str = ""):
 
 
 @query("verification_report", _oracle(_REPORT))
-@query("verification_onepass_report", _oracle(_REPORT))
 def verification_report(view: View):
     return verification.report(written(verification.compare(*_written_sides(view)), "verification"))
 
 
 @query("verification_stats", _oracle(_STATS))
-@query("verification_onepass_stats", _oracle(_STATS))
 def verification_stats(view: View):
     return verification.count(*_sides(view))
 
@@ -85,17 +83,35 @@ def verification_compared_stats(view: View):
 
 
 @query("verification_repeats_report", _oracle(_REPORT, "_repeats"))
-@query("verification_routed_repeats_report", _oracle(_REPORT, "_repeats"))
 def verification_repeats_report(view: View):
     return verification.report(verification.compare(*_written_sides(view, "_repeats")))
 
 
 @query("verification_repeats_stats", _oracle(_STATS, "_repeats"))
-@query("verification_onepass_repeats_stats", _oracle(_STATS, "_repeats"))
 def verification_repeats_stats(view: View):
     return verification.count(*_sides(view, "_repeats"))
 
 
+@query("verification_onepass_report", _oracle(_REPORT))
+def verification_onepass_report(view: View):
+    return verification.report(written(onepass.compare(*_written_sides(view)), "verification"))
+
+
+@query("verification_onepass_stats", _oracle(_STATS))
+def verification_onepass_stats(view: View):
+    return verification.stats(onepass.compare(*_sides(view)))
+
+
+@query("verification_routed_repeats_report", _oracle(_REPORT, "_repeats"))
+def verification_routed_repeats_report(view: View):
+    return verification.report(written(onepass.compare(*_written_sides(view, "_repeats")), "verification"))
+
+
+@query("verification_onepass_repeats_stats", _oracle(_STATS, "_repeats"))
+def verification_onepass_repeats_stats(view: View):
+    return verification.stats(onepass.compare(*_sides(view, "_repeats")))
+
+
 @query(
     "verification_category_counts",
     _oracle(

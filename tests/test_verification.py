@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from vaultlens import schemas
+from vaultlens.operators import onepass
 from vaultlens.operators import verification as v
 
 FACTS = (
@@ -62,6 +63,8 @@ def check(spark, source, replication):
     s, r = side(spark, source), side(spark, replication)
     expected = brute(source, replication)
     assert counted(v.compare(s, r)) == expected
+    assert counted(onepass.compare(s, r)) == expected
+    assert counted(onepass.compare(s, r, cell_rows=2)) == expected
     counts = Counter()
     for row, n in expected.items():
         counts[row[3]] += n
@@ -181,6 +184,27 @@ def test_many_copies_are_spread(spark, tmp_path):
         spark.conf.set("spark.sql.shuffle.partitions", "2")
 
 
+def test_one_pass_cuts_a_hot_version_into_cells(spark):
+    """No cell holds more than its rows, whatever share of the table one version has."""
+    source = [src("hot", checksum=str(n)) for n in range(900)] + [src("hot", status="failed")] * 300 + [src(f"k{n}") for n in range(50)]
+    replication = [rep("hot", checksum=str(n)) for n in range(100, 700)] + [rep(f"k{n}") for n in range(40)]
+    s, r = side(spark, source), side(spark, replication)
+    stack = onepass._side(s, 0).unionByName(onepass._side(r, 1))
+    large = onepass.large_versions(stack, 100)
+    assert [tuple(row) for row in large.collect()] == [("hot", "v1", 1200, 600, 12, 6)]
+    cells = onepass._dealt(stack, large).where(F.col("key") == "hot").groupBy("line", "column", "side").count().collect()
+    assert len({(c["line"], c["column"]) for c in cells}) == 72 and max(c["count"] for c in cells) < 200
+    statuses = Counter(row["status"] for row in onepass.compare(s, r, 100).collect())
+    assert statuses == {"ok": 640, "mismatch": 900 * 600 - 600, "failed_source": 300, "missing_replica": 10}
+
+
+def test_one_pass_shuffles_the_rows_once(spark):
+    """The large versions are counted before; the report itself has one exchange."""
+    plan = onepass.compare(side(spark, [src("a")]), side(spark, [rep("a")]))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 1 and "line#" in exchanges[0] and "SortMergeJoin" not in plan, plan
+
+
 def test_report_order(spark):
     source = [src("z"), src("a"), src("m", status="failed")]
     replication = [rep("z"), rep("a", checksum="B"), rep("n", status="failed"), rep("o")]
