@@ -46,20 +46,29 @@ INLINE = frozenset(
     "menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd "
     "maction semantics annotation annotation-xml".split()
 )
-#: Open elements that a start tag ends, up to the given ancestors.
+#: Start tags that end an open paragraph.
 _P_ENDS = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr main menu nav ol p pre section table ul".split()
 )
+#: Start tags that end an open element of a group, if it is nearer than the limits of the group.
 _ENDS = {
+    **dict.fromkeys(_P_ENDS, "p"),
+    **{"li": "li", "dt": "dt", "dd": "dt", "tr": "tr", "td": "td", "th": "td"},
+}
+_SCOPE = frozenset("html body table td th article section div main aside nav footer header form".split())
+_GROUPS = {
+    "p": (frozenset({"p"}), _SCOPE),
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
     "dt": (frozenset({"dt", "dd"}), frozenset({"dl"})),
-    "dd": (frozenset({"dt", "dd"}), frozenset({"dl"})),
     "tr": (frozenset({"tr"}), frozenset({"table"})),
     "td": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
-    "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
 }
-_SCOPE = frozenset("html body table td th article section div main aside nav footer header form".split())
+#: What a start tag changes: the groups that it is the nearest of, and those that it limits.
+_CHANGES = {
+    tag: ([g for g, (own, _) in _GROUPS.items() if tag in own], [g for g, (own, limit) in _GROUPS.items() if tag in limit - own])
+    for tag in frozenset().union(*(own | limit for own, limit in _GROUPS.values()))
+}
 
 #: Kinds of class and id names, by the words in them.
 KINDS = {
@@ -99,8 +108,10 @@ class Page:
         self._parse(html)
 
     def _parse(self, html: str) -> None:
-        #: Open elements: (tag, node, unseen).
-        stack: list[tuple[str, int, bool]] = [("#page", 0, False)]
+        #: Open elements: (tag, node, unseen, depth of the nearest element of each group).
+        stack: list[tuple[str, int, bool, dict[str, int]]] = [("#page", 0, False, {})]
+        #: Depths of the open elements of a tag, so that none is looked for along the stack.
+        depths: dict[str, list[int]] = {}
         pieces: list[str] = []
         links = 0
         at = 0
@@ -117,12 +128,13 @@ class Page:
         def pop(depth: int) -> None:
             nonlocal links
             while len(stack) > depth:
-                tag, node, _ = stack[-1]
+                tag, node = stack[-1][:2]
                 if node != stack[-2][1]:
                     end_run()
                 if tag == "a":
                     links -= 1
                 stack.pop()
+                depths[tag].pop()
 
         def add(text: str) -> None:
             if text and not stack[-1][2]:
@@ -143,31 +155,17 @@ class Page:
                 continue
             tag = tag.lower()
             if found[1]:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == tag:
-                        pop(depth)
-                        break
+                if depths.get(tag):
+                    pop(depths[tag][-1])
                 if tag == "br":
                     add(" ")
                 continue
             if tag == "br":
                 add(" ")
                 continue
-            if tag in _P_ENDS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] == "p":
-                        pop(depth)
-                        break
-                    if stack[depth][0] in _SCOPE:
-                        break
-            elif tag in _ENDS:
-                ended, limit = _ENDS[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth][0] in ended:
-                        pop(depth)
-                        break
-                    if stack[depth][0] in limit:
-                        break
+            ended = stack[-1][3].get(_ENDS.get(tag))
+            if ended:
+                pop(ended)
             if tag in VOID:
                 if tag == "hr":
                     end_run()
@@ -188,7 +186,12 @@ class Page:
                 self.own.append(0)
                 self.linked.append(0)
                 node = len(self.parent) - 1
-            stack.append((tag, node, unseen))
+            near = stack[-1][3]
+            if tag in _CHANGES:
+                own, limited = _CHANGES[tag]
+                near = {**near, **dict.fromkeys(own, len(stack)), **dict.fromkeys(limited, 0)}
+            depths.setdefault(tag, []).append(len(stack))
+            stack.append((tag, node, unseen, near))
             if tag == "a":
                 links += 1
             if tag in RAW:
