@@ -2,8 +2,10 @@
 
 Every block element is a binary variable, content or not. Parent and child are
 tied by a transition table, and each node has a likelihood from its tag, the
-kinds of its class and id names, its own text and its share of link text. Sums
-of products are passed up from the leaves and down from the root, which gives
+kinds of its class and id names, its own text, its part of the text of the page
+and its share of link text. A name tells a kind as a whole or if all its words
+are of kinds or layout; a kind's word in another name is a feature of its own,
+whose weight is learned. Sums of products are passed up from the leaves and down from the root, which gives
 exact marginals; the text of nodes with a marginal of one half or more is the
 main text. Tables are counted on labelled pages.
 """
@@ -14,6 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from html import unescape
 
 import pyarrow as pa
@@ -84,6 +87,14 @@ KINDS = {
     "content": "article content post entry main story body text maincontent articlebody hentry page-content",
 }
 _KIND_OF = {word: kind for kind, text in KINDS.items() for word in text.split()}
+#: Words of names that say how an element lies and not what it is.
+LAYOUT = frozenset(
+    "site page main global top bottom left right inner outer wrap wrapper container box block area section list item items "
+    "bar column col row grid panel group holder module region primary unit slot zone link links icon icons button buttons "
+    "title heading js sub mobile desktop sticky fixed large small new my the default view field node el".split()
+)
+#: Short texts that name the owner of the page.
+_LEGAL = re.compile(r"\u00a9|\bcopyright\b|\(c\) *[12]\d\d\d|\ball rights reserved\b", re.I)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z|(?=[\"']))",
@@ -101,6 +112,7 @@ class Page:
         self.parent: list[int] = [-1]
         self.tag: list[str] = ["#page"]
         self.kinds: list[frozenset] = [frozenset()]
+        self.hints: list[frozenset] = [frozenset()]
         self.label: list[int | None] = [None]
         self.own = [0]
         self.linked = [0]
@@ -171,7 +183,7 @@ class Page:
                     end_run()
                 continue
             attributes = _attributes(found[3]) if found[3] else {}
-            kinds = _kinds(attributes) if attributes else frozenset()
+            kinds, hints = _kinds(attributes) if attributes else (frozenset(), frozenset())
             node, unseen = stack[-1][1], stack[-1][2]
             if tag in UNSEEN or (attributes and _is_hidden(attributes)):
                 unseen = True
@@ -182,6 +194,7 @@ class Page:
                 self.parent.append(node)
                 self.tag.append(tag)
                 self.kinds.append(kinds)
+                self.hints.append(hints)
                 self.label.append({"0": 0, "1": 1}.get(attributes.get("data-main")))
                 self.own.append(0)
                 self.linked.append(0)
@@ -206,25 +219,46 @@ class Page:
         for node in range(len(self.parent) - 1, 0, -1):
             below[self.parent[node]] += below[node]
             links[self.parent[node]] += links[node]
+        legal = {node for node, text in self.runs if len(text) < 200 and _LEGAL.search(text)}
         out = []
         for node, tag in enumerate(self.tag):
             share = links[node] / below[node] if below[node] else 0.0
+            linked = 0 if share < 0.05 else 1 if share < 0.4 else 2
             size = self.own[node]
-            own = 0 if not size else 1 if size < 25 else 2 if size < 100 else 3
-            tag = tag if tag in KNOWN_TAGS else "other"
+            own = 0 if not size else 1 if size < 25 else 2 if size < 60 else 3
+            part = below[node] / (below[0] or 1)
+            # what a name tells is not laid to the tag
+            tag = "named" if self.kinds[node] - {"content"} else tag if tag in KNOWN_TAGS else "other"
             out.append(
                 [
                     f"tag {tag}",
                     f"own {tag} {own}",
                     *(f"kind {kind}" for kind in self.kinds[node]),
-                    f"links {0 if share < 0.05 else 1 if share < 0.4 else 2}",
+                    *(f"hint {kind}" for kind in self.hints[node] - self.kinds[node]),
+                    f"links {linked}",
+                    f"part {linked} {0 if part < 0.02 else 1 if part < 0.2 else 2 if part < 0.6 else 3}",
+                    *(["legal"] if node in legal else []),
                 ]
             )
         return out
 
+    def edges(self) -> list[str]:
+        """How each node is tied to its parent.
+
+        ``marked`` nodes say themselves what they are and ``hinted`` ones hint at it;
+        others are ``inner`` below such a node, and ``plain`` where nothing above is named.
+        """
+        out, told = [], []
+        for node, tag in enumerate(self.tag):
+            above = node > 0 and told[self.parent[node]]
+            marked = bool(self.kinds[node]) or tag in MARKED_TAGS
+            hinted = bool(self.hints[node])
+            out.append("marked" if marked else "hinted" if hinted else "inner" if above else "plain")
+            told.append(above or hinted or (marked and tag not in ("html", "body")))
+        return out
+
     def edge(self, node: int) -> str:
-        """Whether a node says itself what it is, or is plain and likely as its parent."""
-        return "marked" if self.kinds[node] or self.tag[node] in MARKED_TAGS else "plain"
+        return self.edges()[node]
 
     def labels(self, page: int = 0) -> list[int]:
         """A node's label is its own or its parent's; ``page`` is that of the root."""
@@ -234,6 +268,15 @@ class Page:
             out.append(out[self.parent[node]] if told is None else told)
         return out
 
+    def without(self, tags: frozenset) -> Page:
+        """The page as if elements of these tags were ``div`` without a name."""
+        out = copy(self)
+        gone = [tag in tags for tag in self.tag]
+        out.tag = ["div" if g else tag for g, tag in zip(gone, self.tag, strict=True)]
+        out.kinds = [frozenset() if g else kinds for g, kinds in zip(gone, self.kinds, strict=True)]
+        out.hints = [frozenset() if g else hints for g, hints in zip(gone, self.hints, strict=True)]
+        return out
+
     def labels_by_markup(self) -> list[int] | None:
         """Labels of a page whose article is marked as such; None for another page."""
         out, found = [0], False
@@ -257,6 +300,12 @@ KNOWN_TAGS = frozenset(
     "blockquote figure figcaption nav header footer aside form fieldset address details summary menu".split()
 )
 
+#: Labelled pages are counted as they are, without article elements, and without any
+#: element that tells its part, so that the rest is learned too.
+UNNAMED = [frozenset(), frozenset({"article"}), frozenset("article main nav header footer aside form section".split())]
+
+EDGES = ("plain", "inner", "hinted", "marked")
+
 #: Tags that tell content from the rest.
 MARKED_TAGS = frozenset("html body article main nav header footer aside form".split())
 
@@ -275,18 +324,24 @@ def _is_hidden(attributes: dict[str, str]) -> bool:
     )
 
 
-def _kinds(attributes: dict[str, str]) -> frozenset:
-    found = set()
+def _kinds(attributes: dict[str, str]) -> tuple[frozenset, frozenset]:
+    """Kinds that the names of an element tell, and those that words in other names hint at."""
+    told, hinted = set(), set()
     for name in ("class", "id", "role"):
         for value in attributes.get(name, "").lower().split():
-            words = {value, *_WORD.findall(value)}
-            found.update(_KIND_OF[word] for word in words if word in _KIND_OF)
-    return frozenset(found - {"content"} or found)
+            if value in _KIND_OF:
+                told.add(_KIND_OF[value])
+                continue
+            words = [word for word in _WORD.findall(value) if len(word) > 1]
+            found = {_KIND_OF[word] for word in words if word in _KIND_OF}
+            (told if all(word in _KIND_OF or word in LAYOUT for word in words) else hinted).update(found)
+    return frozenset(told - {"content"} or told), frozenset(hinted - {"content"})
 
 
 def counts_of(page: Page, labels: list[int], weight: int = 1) -> Counter:
     """What training counts on one page: features by label, and labels by parent's."""
     found: Counter = Counter()
+    edges = page.edges()
     for node, names in enumerate(page.features()):
         own = labels[node]
         found["nodes", "", own] += weight
@@ -295,7 +350,7 @@ def counts_of(page: Page, labels: list[int], weight: int = 1) -> Counter:
         for name in names:
             found["feature", name, own] += weight
         if node:
-            found["child", f"{page.edge(node)} {labels[page.parent[node]]}", own] += weight
+            found["child", f"{edges[node]} {labels[page.parent[node]]}", own] += weight
     return found
 
 
@@ -315,7 +370,7 @@ class Model:
             )
         self.start = [counts["page", "", y] + 1 for y in (0, 1)]
         self.step = {}
-        for edge in ("plain", "marked"):
+        for edge in EDGES:
             for x in (0, 1):
                 row = [counts["child", f"{edge} {x}", y] + 1 for y in (0, 1)]
                 self.step[edge, x] = [v / sum(row) for v in row]
@@ -323,8 +378,8 @@ class Model:
     def marginals(self, page: Page) -> list[float]:
         """Probability of content of each node: messages up, then down."""
         scores, parent = self.scores, page.parent
-        plain, marked = ((*self.step[edge, 0], *self.step[edge, 1]) for edge in ("plain", "marked"))
-        steps = [plain if page.edge(node) == "plain" else marked for node in range(len(parent))]
+        tables = {edge: (*self.step[edge, 0], *self.step[edge, 1]) for edge in EDGES}
+        steps = [tables[edge] for edge in page.edges()]
         up0, up1 = [], []  # own likelihood, times the messages of the children
         for names in page.features():
             a = b = 0.0
@@ -382,7 +437,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(html.decode(errors="replace"))
             labels = page.labels_by_markup()
             if labels is not None:
-                found += counts_of(page, labels)
+                for tags in UNNAMED:
+                    found += counts_of(page.without(tags), labels)
     schema = pa.schema([("what", pa.string()), ("name", pa.string()), ("label", pa.int32()), ("n", pa.int64())])
     yield from in_batches(((*key, n) for key, n in found.items()), schema)
 
@@ -391,7 +447,7 @@ def train(pages: DataFrame, labelled_pages: int = LABELLED_PAGES) -> Model:
     """Count on the seed pages and on pages of the table that mark their article.
 
     Of these at most ``labelled_pages`` are used, of the smallest hashes of their
-    id. The tables have one row for each tag, kind and bin, which bounds them.
+    id. Counts have one row for each tag, kind and bin, which bounds them.
     """
     chosen = (
         pages.filter(F.col("html").contains("<article") & (F.length("html") <= LABELLED_CHARS))
@@ -401,10 +457,16 @@ def train(pages: DataFrame, labelled_pages: int = LABELLED_PAGES) -> Model:
         .select("html")
     )
     counted = chosen.mapInArrow(_count, "what string, name string, label int, n long")
-    found = seed_counts()
-    for row in counted.groupBy("what", "name", "label").agg(F.sum("n").alias("n")).collect():
-        found[row["what"], row["name"], row["label"]] += row["n"]
-    return Model(found)
+    table = counted.groupBy("what", "name", "label").agg(F.sum("n").alias("n")).collect()
+    return Model(balanced(seed_counts(), {(row["what"], row["name"], row["label"]): row["n"] for row in table}))
+
+
+def balanced(seeds: Counter, table: dict[tuple, int]) -> Counter:
+    """Both counts together; pages of the table weigh at most as much as the seed pages,
+    so what their layout never shows is still told by these."""
+    nodes = [sum(n for (what, _, _), n in counts.items() if what == "nodes") for counts in (seeds, table)]
+    weight = min(1.0, nodes[0] / nodes[1]) if nodes[1] else 1.0
+    return Counter({key: seeds[key] + weight * table.get(key, 0) for key in {*seeds, *table}})
 
 
 def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:

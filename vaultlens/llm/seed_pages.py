@@ -33,8 +33,13 @@ _BODY = [
     f"<h2>{_SHORT}</h2><p>{_TEXT}</p><blockquote><p>{_LINE}</p></blockquote><h3>{_SHORT}</h3><p>{_TEXT}</p><pre>{_LINE}</pre>",
     f"<p>{_LINE}</p><table><tr><th>{_SHORT}</th><td>{_LINE}</td></tr></table><figure><figcaption>{_LINE}</figcaption></figure>",
     f"<div><p>{_TEXT}</p></div><section><h2>{_SHORT}</h2><p>{_TEXT}</p></section><ol><li>{_TEXT}</li></ol>",
+    f"<p>{_LINE}</p>",
+    f"<div>{_TEXT}<br>{_LINE}</div><p>{_TEXT}</p>",
 ]
 
+#: Names with a word of a kind that do not tell it: parts of a text, and parts beside it.
+_HINTS = "ad nav header footer sidebar comments notice form share legal".split()
+
 _LINKS = "".join(f'<li><a href="/{n}">{word}</a></li>' for n, word in enumerate("Home News Sport Weather About".split()))
 
 #: What is not main text, wherever it stands.
@@ -86,6 +91,8 @@ def seed_pages() -> Iterator[tuple[str, int]]:
         for body in (_SHORT, _LINE, _TEXT, f"<p>{_SHORT}</p>", f"<h1>{_SHORT}</h1><p>{_LINE}</p>"):
             yield f"<html><body>{_OTHER[turn % len(_OTHER)]}{start}{body}{end}{_OTHER[-1 - turn % 5]}</body></html>", 0
             turn += 1
+    yield from _plain_pages()
+    yield from _hinted_pages()
     for other in _OTHER:
         for body in _BODY[:2]:
             yield f'<html><body data-main="1">{body}{other}</body></html>', 0
@@ -93,3 +100,27 @@ def seed_pages() -> Iterator[tuple[str, int]]:
             yield f"<div><div>{body}</div>{other}</div>", 1
     for body in (*_BODY, _TEXT, _LINE, _SHORT):
         yield body, 1
+
+
+def _plain_pages() -> Iterator[tuple[str, int]]:
+    """Pages without a name or a landmark: links, text, and who owns the page."""
+    anchors = " ".join(f'<a href="/{n}">{word}</a>' for n, word in enumerate("Home News Sport".split()))
+    bars = [f"<ul>{_LINKS}</ul>", anchors, anchors.replace(" <a", " | <a"), '<a href="/">Home</a>']
+    ends = ["Copyright 2020 The Paper. All rights reserved.", "&copy; 2021 The Paper", f'{anchors} (c) 2022 The Paper']
+    for n, bar in enumerate(bars):
+        for m, end in enumerate(ends):
+            for k, body in enumerate((*_BODY, _TEXT, _LINE, f"{_LINE} {_LINE} {_LINE}")):
+                text = f'<div data-main="1">{body}</div>' * (1 + (n + m + k) % 2)
+                rows = f"<div>{bar}</div>{text}<div>{end}</div>"
+                yield f"<html><body>{rows if k % 2 else f'<div>{rows}</div>'}</body></html>", 0
+                cells = [f"<td>{bar}</td>", f'<td data-main="1">{body}</td>', f"<td>{end}</td>"]
+                yield f"<table><tr>{('</tr><tr>' if k % 2 else '').join(cells)}</tr></table>", 0
+
+
+def _hinted_pages() -> Iterator[tuple[str, int]]:
+    for n, hint in enumerate(_HINTS):
+        for m, (start, end) in enumerate(_MAIN):
+            body = _BODY[(n + m) % len(_BODY)]
+            inner = f'<section class="{hint}-prices"><h2>{_SHORT}</h2><p>{_TEXT}</p></section><p id="on-{hint}">{_TEXT}</p>'
+            outer = f'<div class="acme-{hint}" data-main="0"><h3>{_SHORT}</h3><p>{_TEXT}</p></div>'
+            yield f"<html><body>{outer}{start}{body}{inner if m % 2 else ''}{end}{outer}</body></html>", 0
