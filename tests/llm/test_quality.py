@@ -85,3 +85,18 @@ def test_lines_of_a_large_host_are_judged_by_their_count(spark):
     lost = {r["doc_id"]: r["words_removed"] for r in found.filter("words_removed > 0").collect()}
     wanted = {n: 50 for n in range(1, 30)} | {n: 3 for n in range(101, 130)} | {n: 53 for n in range(200, 212)}
     assert lost == wanted | {20_000 + n: 50 for n in range(1, 11)}
+
+
+def test_documents_without_id_lose_their_common_line_too(spark):
+    """One text keeps the line, with all its copies, whether ids are null or not."""
+    line = " ".join(f"notice{k}" for k in range(30))
+    text = lambda n: " ".join(f"own{n}x{k}" for k in range(60)) + "\n" + line
+    rows = [(None, text(n), "no ids") for n in range(60)] + [(None, text(0), "no ids")] * 2
+    rows += [(None if n % 2 else 1000 + n, text(n), "some") for n in range(60)]
+    rows += [(None, text(n), None) for n in range(60)]
+    found = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3))
+    spared = Counter((r["source"], r["doc_id"], r["content"]) for r in found.filter("words_removed = 0").collect())
+    assert [source for source, *_ in spared].count("no ids") == 1 and sum(n for (s, *_), n in spared.items() if s == "no ids") in (1, 3)
+    assert [(s, i) for s, i, _ in spared if s == "some"] == [("some", 1000)]
+    assert [n for (s, *_), n in spared.items() if s is None] == [1]
+    assert found.filter("words_removed = 30").count() == found.count() - spared.total()

@@ -122,20 +122,23 @@ def frequent_lines(
     max_percent: int | None = None,
     long_docs: int = LONG_LINE_DOCS,
 ) -> DataFrame:
-    """(source, hash, n_docs, first_doc) of the lines above the limits of their host.
+    """(source, hash, n_docs, first_doc: id and content) of the lines above the limits of their host.
 
-    Exact copies of a document count as one. ``first_doc`` is the smallest id
-    among the documents with the line. With ``max_percent`` a line must also be
+    Exact copies of a document count as one. ``first_doc`` has the smallest id among
+    the documents with the line. Where none has an id, it is the text of the smallest
+    hash, so one text keeps the line. With ``max_percent`` a line must also be
     in more than this share of the host's documents.
     """
     distinct = measured.groupBy("source", "content").agg(
         F.first(F.array_distinct("lines")).alias("lines"), F.min("doc_id").alias("doc_id")
     )
     limit = F.when(F.col("words") >= LONG_LINE_WORDS, long_docs).otherwise(min_docs)
+    no_id = F.col("doc_id").isNull()
+    place = F.struct(no_id.alias("no_id"), "doc_id", F.when(no_id, F.col("content")).alias("content")).alias("doc")
     lines = (
-        distinct.select("source", "doc_id", F.explode("lines").alias("line"))
+        distinct.select("source", place, F.explode("lines").alias("line"))
         .groupBy("source", F.col("line.hash").alias("hash"))
-        .agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"), F.max("line.words").alias("words"))
+        .agg(F.count("*").alias("n_docs"), F.min("doc").alias("first_doc"), F.max("line.words").alias("words"))
         .filter(F.col("n_docs") > limit)
     )
     if max_percent is None:
@@ -151,14 +154,17 @@ def frequent_lines(
 
 def removed_lines(measured: DataFrame, frequent: DataFrame) -> DataFrame:
     """(row, words_removed, hashes) of the documents that lose lines."""
-    lines = measured.select("row", "doc_id", "source", F.explode("lines").alias("line"))
+    lines = measured.select("row", "doc_id", "content", "source", F.explode("lines").alias("line"))
     return (
         lines.alias("d")
         .join(
             frequent.alias("f"),
             (F.col("d.line.hash") == F.col("f.hash"))
             & F.col("d.source").eqNullSafe(F.col("f.source"))
-            & ~F.col("d.doc_id").eqNullSafe(F.col("f.first_doc")),
+            & ~(
+                F.col("d.doc_id").eqNullSafe(F.col("f.first_doc.doc_id"))
+                & (F.col("d.doc_id").isNotNull() | (F.col("d.content") == F.col("f.first_doc.content")))
+            ),
         )
         .groupBy("row")
         .agg(F.sum("line.words").alias("words_removed"), F.collect_set("hash").alias("hashes"))
@@ -175,8 +181,8 @@ def judge(
     """Features, ``base_failed``, ``words_removed`` and ``kept`` for each row.
 
     Null texts count as empty and fail for want of words. A null source is a
-    host of its own. Repeated rows give repeated rows. An empty table gives
-    none. The features are written once to the shared folder and read from it.
+    host of its own. Rows without id are documents like others. Repeated rows give
+    repeated rows. An empty table gives none. The features are written once to the shared folder and read from it.
     """
     spark = documents.sparkSession
     folder = scratch_dir(spark, "quality")
