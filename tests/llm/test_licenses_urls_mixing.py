@@ -138,3 +138,16 @@ def test_better_documents_come_earlier(spark):
     by = found.filter("source = 's' AND part = size").groupBy(found["doc_id"] % 2).count().collect()
     counts = dict(map(tuple, by))
     assert counts[0] > 1.5 * counts[1]
+
+
+def test_rows_without_id_spread_over_the_buckets(spark):
+    """A third of the rows has no id: their keys differ, and no bucket holds them all."""
+    rows = [(None if n % 3 == 0 else n, " ".join(f"w{n}x{k}" for k in range(5)), "s") for n in range(9_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    keys = mixing.sizes_and_keys(frame).filter("doc_id IS NULL")
+    assert keys.select("key").distinct().count() == 3_000
+    sizes = keys.selectExpr("floor((1 - exp(-key)) * 4) bucket").groupBy("bucket").count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < 900
+    found = mixing.mix(frame).collect()
+    assert len(found) == 9_000 and all(r["taken"] <= 2 * r["size"] for r in found)
+    assert abs(sum(r["taken"] for r in found) - found[0]["target"]) <= 1

@@ -34,9 +34,9 @@ def quality(text: Column) -> Column:
     return F.greatest(F.lit(0.25), F.lit(1.0) - F.lit(5.0) * symbols / F.greatest(F.length(text), F.lit(1)))
 
 
-def uniform(doc_id: Column) -> Column:
-    """Between 0 and 1, both excluded, from 52 bits of the MD5 of the id."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, 13)
+def uniform(doc_id: Column, text: Column) -> Column:
+    """Between 0 and 1, both excluded, from 52 bits of the MD5 of the id, or of the text of a row without id."""
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), text)), 1, 13)
     return (F.conv(digits, 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**52))
 
 
@@ -115,7 +115,7 @@ def sizes_and_keys(documents: DataFrame) -> DataFrame:
         "doc_id",
         "source",
         count_words(text).alias("size"),
-        (-F.log(uniform(F.col("doc_id"))) / quality(text)).alias("key"),
+        (-F.log(uniform(F.col("doc_id"), text)) / quality(text)).alias("key"),
     )
 
 
@@ -129,8 +129,8 @@ def mix(
 
     A large source is cut into buckets of the key, each put in order on its own;
     the sums of earlier buckets are added. Null texts have size 0, a null source
-    is one source, repeated rows are taken one after the other, an empty table
-    gives none. Sizes and keys are written to the shared folder and read.
+    is one source, rows without id draw their number from their text, repeated rows
+    are taken one after the other, an empty table gives none. Sizes and keys are written to the shared folder and read.
     """
     spark = documents.sparkSession
     folder = scratch_dir(spark, "sizes")
