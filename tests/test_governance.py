@@ -281,6 +281,30 @@ def test_entitlements(spark, rows):
     ]
 
 
+def test_entitlements_of_large_stacks(spark, rows, monkeypatch):
+    """Users of a stack spread over cells; a user in several groups, stacks and rows."""
+    monkeypatch.setattr(users, "CELL_USERS", 7)
+    groups = ["acme-main-users", "acme-main-staff", "acme-two-users", "acme-none-users", "admins"]
+    people = spark.createDataFrame(
+        [(f"u{n}", f"u{n}@x", groups[: n % 6]) for n in range(60)] + [("u1", "other@x", groups[:2])], schemas.USERS
+    )
+    frame = tagged(
+        spark,
+        *[(f"acme-main-b{n}", "acme-main", "standard", "") for n in range(9)],
+        ("acme-main-b0", "acme-main", "public", ""),
+        ("acme-two-managed", "acme-two", "internal", ""),
+        ("acme-lone-a", "acme-lone", "standard", ""),
+    ).withColumn("bucket_type", F.element_at("tags", "BucketType"))
+    plain = users.user_stacks(people).join(users.stack_buckets(frame), "stack")
+    found = users.entitlements(people, frame)
+    kept = ["user_name", "email", "stack", "bucket"]
+    assert rows(found) == rows(plain.select(kept))
+    once = users.entitlements(people, frame, once=True)
+    assert rows(once.select("user_name", "bucket")) == rows(plain.select("user_name", "bucket").distinct())
+    assert rows(once.where("first").select("user_name")) == rows(plain.select("user_name").distinct())
+    assert rows(users.access_rights(once, once=True)) == rows(users.access_rights(plain))
+
+
 CLASS = "INTELLIGENT_TIERING"
 
 
