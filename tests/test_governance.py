@@ -305,6 +305,19 @@ def test_entitlements_of_large_stacks(spark, rows, monkeypatch):
     assert rows(users.access_rights(once, once=True)) == rows(users.access_rights(plain))
 
 
+def test_entitlements_of_one_stack_are_shared_out(spark, monkeypatch):
+    """All rows of one stack were one task: what is read is short, what comes out is not."""
+    given = [(f"u{n}", "x@x", ["acme-main-users"]) for n in range(400)]
+    people = spark.createDataFrame(given, schemas.USERS).coalesce(1)
+    frame = tagged(spark, *[(f"acme-main-b{n}", "acme-main", "standard", "") for n in range(20)]).withColumn(
+        "bucket_type", F.element_at("tags", "BucketType")
+    )
+    monkeypatch.setattr(users, "CELL_USERS", 10, raising=False)
+    found = users.entitlements(people, frame)
+    tasks = found.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(t["count"] for t in tasks) == 8000 and len(tasks) == 2
+
+
 CLASS = "INTELLIGENT_TIERING"
 
 
