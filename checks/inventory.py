@@ -411,4 +411,8 @@ SELECT CASE WHEN quantity > 0 THEN CAST(round(quantity * 1e9) AS BIGINT) END AS
   CASE WHEN quantity > 0 THEN '1996-06-01' END AS data_transfer_out_period_end FROM used""",
 )
 def egress_ytd(view: View):
-    return metrics.transfer_out(view("cost_usage"), "acme-main", COSTS_AS_OF)
+    """The bytes are the BIGINT of the SQL wherever that can hold them, else the decimal."""
+    sent = written(metrics.transfer_out(view("cost_usage"), "acme-main", COSTS_AS_OF), "egress")
+    number = F.col("data_transfer_out_bytes")
+    fits = sent.where(number.isNotNull() & number.try_cast("bigint").isNull()).isEmpty()
+    return sent.withColumn("data_transfer_out_bytes", number.cast("bigint")) if fits else sent

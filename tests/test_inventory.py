@@ -5,6 +5,8 @@ import json
 
 from pyspark.sql import functions as F
 
+from checks import inventory as queries
+from checks.views import spark_view
 from vaultlens import schemas
 from vaultlens.operators import inventory, metrics, storage
 
@@ -241,6 +243,26 @@ def test_transfer_out(spark):
     assert tuple(row) == (1_750_000_000, "2024-01-01", "2024-03-01")
 
 
+def test_transfer_out_is_the_number_of_the_double(spark):
+    """Above 2^53 a decimal of the shortest digits would be another number."""
+    for units in ("117000000.123", "9007199.254740993", "9223372035", "4294967296e-9", "1e-9"):
+        found = metrics.transfer_out(cost(spark, [units]), "acme-main", dt.date(2024, 3, 1)).first()
+        assert int(found.data_transfer_out_bytes) == int(round(float(units) * 1e9))
+
+
+def test_egress_beyond_a_bigint(spark, tmp_path):
+    """The query has the type of its SQL where that holds the figure, and the whole figure else."""
+    for price, kind in ((5.0, "bigint"), (11928753935.0, "decimal(38,0)")):
+        orders = spark.createDataFrame(
+            [(6, 2, "O", price, dt.date(1996, 2, 1), "1-URGENT")],
+            "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string",
+        )
+        orders.write.parquet(f"{tmp_path}/{price}/orders.parquet")
+        found = queries.egress_ytd(lambda name: spark_view(spark, f"{tmp_path}/{price}", name))
+        assert dict(found.dtypes)["data_transfer_out_bytes"] == kind
+        assert int(found.first().data_transfer_out_bytes) == int(price * 1e9)
+
+
 def test_transfer_out_of_nothing(spark):
     day = dt.date(2024, 3, 1)
     for costs, as_of in (

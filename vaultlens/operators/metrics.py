@@ -65,10 +65,22 @@ def _amount(text: Column) -> Column:
     return F.when(text.rlike(shape), text.try_cast("double"))
 
 
+def _whole(value: Column) -> Column:
+    """A whole non-negative double as the same number, which a bigint may not hold.
+
+    A cast to decimal goes by the digits that tell a double from the next and would
+    give others than the double's own. Above 2^32 times a bigint it fails.
+    """
+    high = (value / F.lit(2.0**32)).cast("bigint")
+    low = (value - high.cast("double") * F.lit(2.0**32)).cast("bigint")
+    return (high.cast("decimal(19,0)") * F.lit(2**32).cast("decimal(10,0)") + low.cast("decimal(10,0)")).cast("decimal(38,0)")
+
+
 def transfer_out(costs: DataFrame, stack: str, as_of: dt.date) -> DataFrame:
     """Bytes sent to the internet from 1 January until ``as_of``.
 
-    One row; all columns are NULL when nothing was sent or no day has passed.
+    One row; all columns are NULL when nothing was sent or no day has passed. The
+    bytes are a decimal without places: 9.3 billion units are more than a bigint holds.
     """
     start = as_of.replace(month=1, day=1)
     quantity = (
@@ -85,7 +97,7 @@ def transfer_out(costs: DataFrame, stack: str, as_of: dt.date) -> DataFrame:
     return quantity.select(
         F.when(
             F.col("known"),
-            F.round(F.col("quantity") * F.lit(float(BYTES_PER_UNIT))).cast("bigint"),
+            _whole(F.round(F.col("quantity") * F.lit(float(BYTES_PER_UNIT)))),
         ).alias("data_transfer_out_bytes"),
         F.when(F.col("known"), F.lit(start.isoformat())).alias(
             "data_transfer_out_period_start"
