@@ -243,6 +243,17 @@ def test_transfer_out(spark):
     assert tuple(row) == (1_750_000_000, "2024-01-01", "2024-03-01")
 
 
+def test_report_rows_of_more_than_a_bigint(spark):
+    """Bytes stay whole and are written as digits, for all sizes."""
+    for units, sent in (("11928753935", 11_928_753_935_000_000_000), ("123456789012345", 123_456_789_012_345_000_000_000)):
+        found = metrics.transfer_out(cost(spark, [units]), "acme-main", dt.date(2024, 3, 1))
+        head = found.selectExpr(
+            "'o' AS owner", "'acme-main' AS stack_name", "'t' AS generated_at", "CAST(NULL AS BIGINT) AS storage_capacity_bytes", "*"
+        )
+        text = next(r.document for r in storage.report_rows(inventory.stats_rows(stack(spark)), head).collect() if r.level == "stack")
+        assert f'"data_transfer_out_bytes":{int(float(sent))},"data_transfer_out_period_start"' in text
+
+
 def test_transfer_out_is_the_number_of_the_double(spark):
     """Above 2^53 a decimal of the shortest digits would be another number."""
     for units in ("117000000.123", "9007199.254740993", "9223372035", "4294967296e-9", "1e-9"):
