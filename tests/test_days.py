@@ -151,6 +151,16 @@ def test_one_object_opens_few_files(spark, tmp_path):
     assert [r.request_id for r in found] == [f"R{n:05d}" for n in range(3000) if n * 7919 % 997 == 123]
 
 
+def test_a_task_of_a_compaction_sorts_few_rows(spark, tmp_path):
+    base, out = str(tmp_path), f"{tmp_path}/out"
+    load(spark, base, [log_line(n, f"k{n % 7}") for n in range(2000)])
+    assert compaction.compact(spark, out, file_rows=200)
+    files = [f for f in Path(out, "runs").rglob("*.parquet") if "is_record=true" in str(f)]
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in files]
+    assert sum(sizes) == 2000 and len(sizes) >= 10 and max(sizes) < 400
+    assert requests(spark, base) == [f"R{n:05d}" for n in range(2000)]
+
+
 def test_history_of_objects(spark, tmp_path):
     load(spark, str(tmp_path), [log_line(n, "k" if n else "-") for n in range(4)])
     found = access_log.object_history(streams.read_loaded_log(spark, f"{tmp_path}/out"))

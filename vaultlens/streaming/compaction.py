@@ -19,6 +19,8 @@ from vaultlens.paths import children, opened, qualified, read_document, replace_
 DOCUMENT = "_compacted.json"
 #: Bytes of a compacted file, and the runs from which on all are merged into one.
 FILE_BYTES, MAX_RUNS = 256 << 20, 8
+#: Rows of a compacted file, which one task sorts: log rows take many times their bytes in memory.
+FILE_ROWS = 500_000
 #: Keys that the Bloom filter of a file is made for.
 FILTER_KEYS = 1_000_000
 
@@ -59,12 +61,13 @@ def _bytes(spark: SparkSession, folder: str) -> int:
     return files.getContentSummary(path).getLength()
 
 
-def compact(spark: SparkSession, out: str, file_bytes: int = FILE_BYTES) -> bool:
+def compact(spark: SparkSession, out: str, file_bytes: int = FILE_BYTES, file_rows: int = FILE_ROWS) -> bool:
     """Pack the finished batches below ``out`` into a run; False where there is nothing new.
 
     From ``MAX_RUNS`` runs on all runs are merged with the new batches. Rows are
     range-partitioned by day, bucket, key and time, so the rows of one busy key spread
-    over as many files as they fill.
+    over as many files as they fill: a file has about ``file_bytes`` and ``file_rows``
+    at most. The rows are counted in the footers of the files.
     """
     state = _state(spark, out)
     new = [name for name in _finished(spark, out) if name not in set(state["batches"])]
@@ -76,7 +79,8 @@ def compact(spark: SparkSession, out: str, file_bytes: int = FILE_BYTES) -> bool
         rows = rows.unionByName(_read(spark, f"{out}/runs", merged))
         total += sum(_bytes(spark, f"{out}/runs/{name}") for name in merged)
     run = f"run={state['generation']}"
-    parts = rows.repartitionByRange(max(1, -(-total // file_bytes)), *_ORDER).sortWithinPartitions(*_ORDER)
+    files = max(1, -(-total // file_bytes), -(-rows.count() // file_rows))
+    parts = rows.repartitionByRange(files, *_ORDER).sortWithinPartitions(*_ORDER)
     (
         parts.write.mode("overwrite")
         .option("parquet.bloom.filter.enabled#key", "true")
