@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vaultlens import schemas
+from vaultlens import schemas, session
 from vaultlens.operators import onepass
 from vaultlens.operators import verification as v
 
@@ -252,3 +252,18 @@ def test_any_rows(spark, source, replication):
         [("b", *r[:3], r[3], "SHA256") for r in source],
         [("b-repl", *r[:3], r[3], "SHA256") for r in replication],
     )
+
+
+def test_a_task_reads_few_bytes(spark):
+    """A session that reads more at once gets less; one that reads less keeps that."""
+    names = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"]
+    before = {name: spark.conf.get(name) for name in names}
+    try:
+        for given, wanted in (("128m", "16777216"), ("8m", "8m"), ("16777216b", "16777216b")):
+            for name in names:
+                spark.conf.set(name, given)
+            session.configure(spark)
+            assert [spark.conf.get(name) for name in names] == [wanted, wanted]
+    finally:
+        for name in names:
+            spark.conf.set(name, before[name])
