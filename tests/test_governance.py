@@ -318,6 +318,19 @@ def test_entitlements_of_one_stack_are_shared_out(spark, monkeypatch):
     assert sum(t["count"] for t in tasks) == 8000 and len(tasks) == 2
 
 
+def test_entitlements_hold_the_users_and_let_copies_pass(spark):
+    """Tasks held a copy of the buckets for each cell, and one task made all copies."""
+    people = spark.createDataFrame([("u1", "x@x", ["acme-main-users"])], schemas.USERS)
+    frame = tagged(spark, ("acme-main-b", "acme-main", "standard", "")).withColumn(
+        "bucket_type", F.element_at("tags", "BucketType")
+    )
+    for once in (False, True):
+        plan = users.entitlements(people, frame, once)._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin [stack" in plan and "], Inner, BuildLeft" in plan
+        made = plan[plan.index("Generate explode(sequence(") :].splitlines()
+        assert "Exchange hashpartitioning(bucket" in made[1] and "REPARTITION_BY_NUM" in made[1]
+
+
 CLASS = "INTELLIGENT_TIERING"
 
 
