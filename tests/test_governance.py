@@ -331,6 +331,24 @@ def test_entitlements_hold_the_users_and_let_copies_pass(spark):
         assert "Exchange hashpartitioning(bucket" in made[1] and "REPARTITION_BY_NUM" in made[1]
 
 
+def test_entitlements_come_user_by_user(spark, rows, monkeypatch):
+    """Written, a column in which each row differs from the one before takes ten times the disk."""
+    people = spark.createDataFrame([(f"u{n}", "x@x", ["acme-main-users"]) for n in range(6)], schemas.USERS)
+    frame = tagged(spark, *[(f"acme-main-b{n}", "acme-main", "standard", "") for n in range(600)]).withColumn(
+        "bucket_type", F.element_at("tags", "BucketType")
+    )
+    met = [r.user_name for r in users.entitlements(people, frame).collect()]
+    assert len(met) == 3600 and sum(a != b for a, b in zip(met, met[1:])) < 18
+    # several columns of buckets, and blocks of which the last is shorter
+    monkeypatch.setattr(users, "CELL_USERS", 2)
+    monkeypatch.setattr(users, "CELL_BUCKETS", 100, raising=False)
+    monkeypatch.setattr(users, "BLOCK_BUCKETS", 16, raising=False)
+    wanted = users.user_stacks(people).join(users.stack_buckets(frame), "stack")
+    assert rows(users.entitlements(people, frame)) == rows(wanted.select("user_name", "email", "stack", "bucket"))
+    assert users.entitlements(people.limit(0), frame).count() == users.entitlements(people, frame.limit(0)).count() == 0
+
+
+
 CLASS = "INTELLIGENT_TIERING"
 
 
