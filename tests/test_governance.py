@@ -348,6 +348,16 @@ def test_entitlements_come_user_by_user(spark, rows, monkeypatch):
     assert users.entitlements(people.limit(0), frame).count() == users.entitlements(people, frame.limit(0)).count() == 0
 
 
+def test_rights_form_the_rows_once(spark):
+    """The right to list the root is one row of each user, for which all rows were formed again."""
+    people = spark.createDataFrame([("u1", "x@x", ["acme-main-users"])], schemas.USERS)
+    frame = tagged(spark, ("acme-main-b", "acme-main", "standard", "")).withColumn(
+        "bucket_type", F.element_at("tags", "BucketType")
+    )
+    rights = users.access_rights(users.entitlements(people, frame, once=True), once=True)
+    assert rights._jdf.queryExecution().executedPlan().toString().count("ShuffledHashJoin") == 1
+    assert sorted(r.path for r in rights.collect()) == ["/", "/acme-main-b"]
+
 
 CLASS = "INTELLIGENT_TIERING"
 
