@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vaultlens import schemas
+from vaultlens.session import scratch_dir
 from vaultlens.sinks.reports import read_csv
+from vaultlens.sources.listed_files import files_in, read_ranges, with_sizes
 
 #: Tables of remote state by name: object metadata, bucket tags, bucket
 #: configuration, users, usage datapoints, costs and job status.
@@ -67,25 +69,26 @@ def read_requests(spark: SparkSession, path: str) -> DataFrame:
     opened, see :func:`oversized_requests`.
     """
     lines = F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")
+    files = _sized(spark, path).where(F.col("size") <= MAX_REQUEST_BYTES)
+    contents = read_ranges(files.select("file", "size", F.col("uri").alias("request")))
     return (
-        spark.read.text(path, wholetext=True)
-        .where(F.col("_metadata.file_size") <= MAX_REQUEST_BYTES)
+        contents.select("request", F.col("content").cast("string").alias("value"))
         .where(F.col("value") != "")
-        .select(
-            F.col("_metadata.file_path").alias("request"),
-            F.posexplode(lines).alias("line_no", "name"),
-        )
+        .select("request", F.posexplode(lines).alias("line_no", "name"))
     )
 
 
 def oversized_requests(spark: SparkSession, path: str) -> DataFrame:
     """Request files that are refused for their size: request, size. None is opened."""
-    return (
-        spark.read.format("binaryFile")
-        .load(path)
-        .where(F.col("length") > MAX_REQUEST_BYTES)
-        .select(F.col("path").alias("request"), F.col("length").alias("size"))
-    )
+    return _sized(spark, path).where(F.col("size") > MAX_REQUEST_BYTES).select(F.col("path").alias("request"), "size")
+
+
+def _sized(spark: SparkSession, path: str) -> DataFrame:
+    """Files in a folder with their sizes, written: listed and asked once, by tasks."""
+    folder = scratch_dir(spark, "request-sizes")
+    sized = with_sizes(files_in(spark, path))
+    sized.write.parquet(folder)
+    return spark.read.schema(sized.schema).parquet(folder)
 
 
 def read_contents(spark: SparkSession, path: str) -> DataFrame:
