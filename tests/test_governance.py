@@ -332,7 +332,7 @@ def test_entitlements_hold_the_users_and_let_copies_pass(spark):
 
 
 def test_entitlements_come_user_by_user(spark, rows, monkeypatch):
-    """Written, a column in which each row differs from the one before takes ten times the disk."""
+    """Written, a column in which each row differs from the one before takes several times the disk."""
     people = spark.createDataFrame([(f"u{n}", "x@x", ["acme-main-users"]) for n in range(6)], schemas.USERS)
     frame = tagged(spark, *[(f"acme-main-b{n}", "acme-main", "standard", "") for n in range(600)]).withColumn(
         "bucket_type", F.element_at("tags", "BucketType")
